@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op3_sentencepiece_byte_bpe
 from .exact_dedup import OP6_SQL, op6_block_naming_dedup
+from .quality import op7_weak_supervision
 from .sharding import OP9_SQL, op9_rendezvous_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece_byte_bpe": op3_sentencepiece_byte_bpe,
     "op6_block_naming_dedup": op6_block_naming_dedup,
+    "op7_weak_supervision": op7_weak_supervision,
     "op9_rendezvous_sharding": op9_rendezvous_sharding,
 }
 
