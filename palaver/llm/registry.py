@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op3_sentencepiece_byte_bpe
 from .exact_dedup import OP6_SQL, op6_block_naming_dedup
+from .packing import op10_cutting_stock_packing
 from .quality import op7_weak_supervision
 from .sharding import OP9_SQL, op9_rendezvous_sharding
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_block_naming_dedup": op6_block_naming_dedup,
     "op7_weak_supervision": op7_weak_supervision,
     "op9_rendezvous_sharding": op9_rendezvous_sharding,
+    "op10_cutting_stock_packing": op10_cutting_stock_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
