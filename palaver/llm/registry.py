@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op3_sentencepiece_byte_bpe
 from .exact_dedup import OP6_SQL, op6_block_naming_dedup
+from .minhash import op1_minhash_near_dedup
 from .packing import op10_cutting_stock_packing
 from .quality import op7_weak_supervision
 from .sharding import OP9_SQL, op9_rendezvous_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_sentencepiece_byte_bpe": op3_sentencepiece_byte_bpe,
     "op6_block_naming_dedup": op6_block_naming_dedup,
     "op7_weak_supervision": op7_weak_supervision,
