@@ -10,6 +10,7 @@ from .byte_bpe import op3_sentencepiece_byte_bpe
 from .exact_dedup import OP6_SQL, op6_block_naming_dedup
 from .minhash import op1_minhash_near_dedup
 from .packing import op10_cutting_stock_packing
+from .pii import op8_crf_personal_data
 from .quality import op7_weak_supervision
 from .sharding import OP9_SQL, op9_rendezvous_sharding
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece_byte_bpe": op3_sentencepiece_byte_bpe,
     "op6_block_naming_dedup": op6_block_naming_dedup,
     "op7_weak_supervision": op7_weak_supervision,
+    "op8_crf_personal_data": op8_crf_personal_data,
     "op9_rendezvous_sharding": op9_rendezvous_sharding,
     "op10_cutting_stock_packing": op10_cutting_stock_packing,
 }
