@@ -13,9 +13,11 @@ from .packing import op10_cutting_stock_packing
 from .pii import op8_crf_personal_data
 from .quality import op7_weak_supervision
 from .sharding import OP9_SQL, op9_rendezvous_sharding
+from .warc import OP2_SQL, op2_warc_index_merge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_warc_index_merge": op2_warc_index_merge,
     "op3_sentencepiece_byte_bpe": op3_sentencepiece_byte_bpe,
     "op6_block_naming_dedup": op6_block_naming_dedup,
     "op7_weak_supervision": op7_weak_supervision,
@@ -25,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_index_merge": OP2_SQL,
     "op6_block_naming_dedup": OP6_SQL,
     "op9_rendezvous_sharding": OP9_SQL,
 }
