@@ -86,6 +86,12 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but for those that ``exact_duplicates`` drops; rows without a doc_id stay."""
+    dropped, _ = stash(exact_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op6_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 

@@ -197,5 +197,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` but for those that ``near_duplicates`` doesn't keep."""
+    dropped, _ = stash(near_duplicates(docs, words, percent).filter("NOT kept").select("doc_id").distinct(), "dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

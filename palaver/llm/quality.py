@@ -156,6 +156,18 @@ def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 500, tolerance: f
     return share, rates, posterior
 
 
+def _posteriors(measured: DataFrame) -> dict[int, float]:
+    """The posterior of every vote pattern in a table with a column ``votes``, fitted over all of its rows."""
+    seen = measured.groupBy("votes").count().orderBy("votes").collect()  # at most 3^10 rows
+    _, _, posterior = fit(np.array([r["votes"] for r in seen], np.int64), np.array([r["count"] for r in seen], float))
+    return {r["votes"]: float(p) for r, p in zip(seen, posterior, strict=True)}
+
+
+def _base_failed(n_words, n_repeat_words):
+    """On numbers or columns alike."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
 def judge_documents(docs: DataFrame) -> DataFrame:
     """Base counts, verdict and posterior of each row of ``docs`` (doc_id, text), in any order.
 
@@ -165,14 +177,30 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     measured, _ = stash(docs.select("doc_id", "text").mapInArrow(_measured, _SCHEMA), "measures")
-    seen = measured.groupBy("votes").count().orderBy("votes").toPandas()  # at most 3^10 rows
-    patterns, counts = seen["votes"].to_numpy(np.int64), seen["count"].to_numpy(float)
-    _, _, posterior = fit(patterns, counts)
-    known = spark.createDataFrame([(int(p), float(q)) for p, q in zip(patterns, posterior, strict=True)], "votes int, posterior double")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    joined = measured.join(F.broadcast(known), "votes").withColumn("base_failed", failed)
+    known = spark.createDataFrame(list(_posteriors(measured).items()), "votes int, posterior double")
+    joined = measured.join(F.broadcast(known), "votes").withColumn("base_failed", _base_failed(F.col("n_words"), F.col("n_repeat_words")))
     return joined.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & (F.col("posterior") >= KEEP_AT)).alias("kept"), "posterior")
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge_documents`` keeps, with all their columns.
+
+    The texts are measured twice, for the fit and for the verdict, which moves no text
+    between tasks.
+    """
+    measured, _ = stash(docs.select("doc_id", "text").mapInArrow(_measured, _SCHEMA).select("votes"), "votes")
+    posterior, place = _posteriors(measured), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for text in batch.column(place):
+                m = measure(text.as_py())
+                keep.append(bool(not _base_failed(m["n_words"], m["n_repeat_words"]) and posterior[votes(m)] >= KEEP_AT))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"))
