@@ -8,7 +8,10 @@ what moves between tasks afterwards is one small row a piece.
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +32,11 @@ END_ID = 2
 #: Tokens by which length classes differ; a class counts as its longest member, so a piece wastes GRANULE / 2 at the mean.
 GRANULE = 16
 #: Words whose ids a worker remembers; a bound on memory that changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+
+
+#: Marks that never start or join a token with letters; the apostrophe does.
+_MARKS = b".,!?;:#*$%&|"
 
 
 class WordEncoder:
@@ -38,21 +45,36 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads would only wait in turns
         self._tokenizer = Tokenizer.from_file(path)
         self._ids: dict[bytes, bytes] = {}
 
+    def _encode(self, words: list[bytes]) -> None:
+        encoded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
+        self._ids.update((w, array("I", e.ids).tobytes()) for w, e in zip(words, encoded, strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Remember new words.  Marks behind an ASCII letter are a token run of their own, so a word with such an end is its front and its end."""
+        fronts = {w: w.rstrip(_MARKS) for w in words}
+        split = {w: f for w, f in fronts.items() if len(f) < len(w) and f[-1:].isalpha()}
+        ends = {w[len(f) :] for w, f in split.items()}
+        self._encode(list((words - split.keys() | set(split.values()) | ends).difference(self._ids)))
+        known = self._ids
+        known.update((w, known[f] + known[w[len(f) :]]) for w, f in split.items())
+
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the text."""
+        """32-bit ids of the text in the byte order of the machine."""
+        data = text.encode("utf-8", "surrogatepass")
+        if b"<|" not in data:  # special tokens are found by their case
+            data = data.lower()
         out = []
-        for part in blocks(text.encode("utf-8", "surrogatepass")):
+        for part in blocks(data):
             words = part.split()
-            known = self._ids
-            if len(known) > REMEMBERED:
-                known.clear()
-            if new := [w for w in set(words) if w not in known]:
-                encoded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
-            out.append(b"".join(map(known.__getitem__, words)))
+            if len(self._ids) > REMEMBERED:
+                self._ids.clear()
+            if new := set(words).difference(self._ids):
+                self._learn(new)
+            out.append(b"".join(map(self._ids.__getitem__, words)))
         return b"".join(out)
 
 
@@ -66,7 +88,9 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def cut_documents(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID, granule: int = GRANULE) -> DataFrame:
     """The pieces of every document: full sequences, then the rest.  ``units`` is the length in granules, rounded up."""
-    end = np.array([end_id], "<u4").tobytes()
+    if sys.byteorder != "little" or array("I").itemsize != 4:
+        raise RuntimeError("checksums are of little-endian 32-bit ids")
+    end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
