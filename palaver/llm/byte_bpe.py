@@ -13,10 +13,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -27,8 +29,7 @@ from .tables import table
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Matches that are held at once, and matches whose ids a worker remembers; neither changes a result.
 MATCHES_AT_ONCE = 200_000
-REMEMBERED = 400_000
-_OFFSET = 256
+REMEMBERED = 800_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -41,7 +42,9 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 def as_characters(data: bytes) -> str:
-    return "".join(map(chr, (b + _OFFSET for b in data)))
+    pairs = bytearray(b"\x00\x01" * len(data))  # byte b and 1 are the character 256 + b in UTF-16
+    pairs[::2] = data
+    return pairs.decode("utf-16-le")
 
 
 def _varint(n: int) -> bytes:
@@ -75,8 +78,23 @@ def model_bytes(entries: list[bytes]) -> bytes:
     return pieces + _bytes(2, trainer) + _bytes(3, normalizer)
 
 
+class Ragged:
+    """Byte strings laid end to end, gathered by arrays of their numbers."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self._bytes = np.frombuffer(b"".join(strings), np.uint8)
+        self._lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        self._starts = np.cumsum(self._lengths) - self._lengths
+
+    def gather(self, numbers: np.ndarray) -> bytes:
+        lengths = self._lengths[numbers]
+        ends = np.cumsum(lengths)
+        shift = self._starts[numbers] - (ends - lengths)
+        return self._bytes[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+
 class ByteBpe:
-    """Encoder and decoder over one rank file; keeps the ids of frequent matches."""
+    """Encoder and decoder over one rank file; keeps the ids of frequent matches as bytes of 32-bit numbers."""
 
     def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> None:
         import sentencepiece
@@ -85,37 +103,42 @@ class ByteBpe:
         self._rank = {e: r for r, e in enumerate(self.entries)}
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.entries))
         self._pattern = regex.compile(pattern)
-        self._ids: dict[str, tuple[int, ...]] = {}
+        self._ids: dict[str, bytes] = {}
+        self._texts = Ragged(self.entries)
+        self._numerals = Ragged([b"%d " % r for r in range(len(self.entries))])
 
-    def _learn(self, matches: set[str]) -> None:
+    def _learn(self, matches: list[str]) -> None:
         if len(self._ids) > REMEMBERED:
             self._ids.clear()
-        new = [m for m in matches if m not in self._ids]
         parts = []
-        for m in new:
+        for m in set(matches).difference(self._ids):
             data = m.encode("utf-8")
             if (rank := self._rank.get(data)) is not None:
-                self._ids[m] = (rank,)
+                self._ids[m] = rank.to_bytes(4, sys.byteorder)
             else:
                 parts.append((m, as_characters(data)))
         for (m, _), ids in zip(parts, self._model.encode([p for _, p in parts], num_threads=1) if parts else (), strict=True):
-            self._ids[m] = tuple(i - 1 for i in ids)
+            self._ids[m] = (np.array(ids, np.uint32) - np.uint32(1)).tobytes()
 
-    def encode_parts(self, text: str) -> Iterator[list[int]]:
+    def encode_parts(self, text: str) -> Iterator[np.ndarray]:
         """The ids of a whole text, a bounded number of matches at a time."""
         found = self._pattern.finditer(text) if len(text) > 8 * MATCHES_AT_ONCE else None
         while True:
             matches = [m[0] for m in islice(found, MATCHES_AT_ONCE)] if found is not None else self._pattern.findall(text)
-            self._learn(set(matches))
-            yield list(chain.from_iterable(map(self._ids.__getitem__, matches)))
+            self._learn(matches)
+            yield np.frombuffer(b"".join(map(self._ids.__getitem__, matches)), np.uint32)
             if found is None or len(matches) < MATCHES_AT_ONCE:
                 return
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.encode_parts(text)))
+        return np.concatenate(list(self.encode_parts(text))).tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.entries.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self._texts.gather(np.asarray(ids, np.int64))
+
+    def numerals(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, each with a space behind it."""
+        return self._numerals.gather(ids)
 
 
 @lru_cache(2)
@@ -125,20 +148,15 @@ def encoder(path: str) -> ByteBpe:
 
 def digests(bpe: ByteBpe, text: str | None) -> tuple[int, str, str]:
     """(number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded bytes) of a whole text."""
-    n, of_ids, of_bytes, numerals = 0, hashlib.sha256(), hashlib.sha256(), _numerals(len(bpe.entries))
+    n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
     for ids in bpe.encode_parts(text or ""):
-        if ids:
-            of_ids.update((" " * (n > 0) + " ".join(map(numerals.__getitem__, ids))).encode())
+        if len(ids):
+            of_ids.update((b" " if n else b"") + bpe.numerals(ids)[:-1])
             of_bytes.update(bpe.decode(ids))
             n += len(ids)
     return n, of_ids.hexdigest(), of_bytes.hexdigest()
 
 
-@lru_cache(2)
-def _numerals(n: int) -> list[str]:
-    return list(map(str, range(n)))
-
-
 def encode_documents(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """One row for each row of (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
 
