@@ -13,12 +13,14 @@ from .packing import op10_cutting_stock_packing
 from .pii import op8_crf_personal_data
 from .quality import op7_weak_supervision
 from .sharding import OP9_SQL, op9_rendezvous_sharding
+from .spans import op5_sentence_spans
 from .warc import OP2_SQL, op2_warc_index_merge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_warc_index_merge": op2_warc_index_merge,
     "op3_sentencepiece_byte_bpe": op3_sentencepiece_byte_bpe,
+    "op5_sentence_spans": op5_sentence_spans,
     "op6_block_naming_dedup": op6_block_naming_dedup,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_crf_personal_data": op8_crf_personal_data,

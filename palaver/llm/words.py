@@ -9,6 +9,7 @@ that a text costs a few array passes and no Python call a word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 
@@ -70,14 +71,23 @@ def word_hashes(data: bytes) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def _edges(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start, and one past where they end."""
+    inside = np.zeros(len(a) + 2, np.int8)
+    inside[1:-1] = ~IS_SPACE[a]
+    edges = np.diff(inside)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
 def _block_hashes(data: bytes) -> np.ndarray:
     if not data:
         return np.empty(0, _U)
     a = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(a) + 2, np.int8)
-    inside[1:-1] = ~IS_SPACE[a]
-    edges = np.diff(inside)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    starts, ends = _edges(a)
+    return _hashes(a, starts, ends)
+
+
+def _hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _powers_to(len(a))
     sums = np.zeros(len(a) + 1, _U)
     np.cumsum(_BYTE_VALUE[a] * power, out=sums[1:])
@@ -92,3 +102,38 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mix(out * _MIX_B + _GOLDEN) + words[k : len(words) - n + 1 + k]
     return mix(out)
+
+
+class Words(NamedTuple):
+    hashes: np.ndarray
+    start_points: np.ndarray  # code points before the word
+    end_points: np.ndarray  # and before what follows it
+    marked: np.ndarray  # its last byte is a mark
+    newline_after: np.ndarray  # a line ends between it and the next word, or the text's end
+
+
+def scan_words(data: bytes, marks: np.ndarray) -> Words:
+    """The words of a text with their places; ``marks`` is a table of bytes."""
+    parts, points = [], 0
+    for block in blocks(data):
+        a = np.frombuffer(block, np.uint8)
+        starts, ends = _edges(a)
+        before = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80)])
+        lines = np.concatenate([[0], np.cumsum(a == 10)])
+        following = np.concatenate([starts[1:], [len(a)]]) if len(starts) else starts
+        parts.append((_hashes(a, starts, ends), before[starts] + points, before[ends] + points, marks[a[ends - 1]], lines[following] > lines[ends], lines[starts[0]] > 0 if len(starts) else lines[-1] > 0))
+        points += int(before[-1])
+    carried = False  # a block may begin with the line end that follows the last word of the one before
+    for k, part in reversed(list(enumerate(parts))):
+        if len(part[0]) and carried:
+            part[4][-1] = True
+        carried = bool(part[5]) or (carried and not len(part[0]))
+    return Words(*(np.concatenate([p[c] for p in parts]) for c in range(5)))
+
+
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """One hash for each run of words [start, stop)."""
+    power, inverse = _powers_to(len(words) + 1)
+    sums = np.zeros(len(words) + 1, _U)
+    np.cumsum(words * power[: len(words)], out=sums[1:])
+    return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(_U) * _GOLDEN)
