@@ -29,12 +29,13 @@ def indexed_tokens(text: Column) -> Column:
     return tokens(index_text(bounded_index_text(text)))
 
 
-def _holds_phrase(words: Column, phrase: list[str]) -> Column:
-    if len(phrase) == 1:
-        return F.array_contains(words, phrase[0])
-    starts = F.sequence(F.lit(0), F.size(words) - len(phrase))
-    at = F.exists(starts, lambda k: F.slice(words, k + 1, len(phrase)) == F.array(*map(F.lit, phrase)))
-    return F.when(F.size(words) >= len(phrase), at).otherwise(F.lit(False))
+def _holds_phrase(line: Column, phrase: list[str]) -> Column:
+    """On tokens written as a line with a space around each."""
+    return F.contains(line, F.lit(f" {' '.join(phrase)} "))
+
+
+def _count(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == term))
 
 
 def bm25(tf: Column, df: Column, length: Column, docs: Column, mean_length: Column) -> Column:
@@ -52,10 +53,9 @@ def scan_search(corpus: DataFrame, id_col: str, text_col: str, query: str) -> Da
         return corpus.select(F.col(id_col).alias("id"), F.lit(0.0).alias("bm25")).limit(0)
     terms = list(dict.fromkeys(t for p in phrases for t in p))
     words = corpus.select(F.col(id_col).alias("id"), indexed_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    tf = [F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{k}") for k, t in enumerate(terms)]
-    matched = F.lit(True)
-    for p in phrases:
-        matched = matched & _holds_phrase(F.col("w"), p)
+    tf = [_count(F.col("w"), t).alias(f"tf{k}") for k, t in enumerate(terms)]
+    line = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    matched = _all([_holds_phrase(line, p) for p in phrases])
     counted = words.select("id", F.size("w").alias("dl"), *tf, matched.alias("matched"))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
     scored = counted.filter("matched").crossJoin(F.broadcast(stats))  # one row
@@ -100,11 +100,15 @@ def index_search(spark, path: str, query: str) -> DataFrame:
     ok = F.col("hits") == len(terms)
     for p in phrases:
         if len(p) > 1:
-            starts = F.element_at("where", F.lit(p[0]))
-            ok = ok & F.exists(starts, lambda s, p=p: _all([F.array_contains(F.element_at("where", F.lit(t)), s + k) for k, t in enumerate(p) if k]))
+            ok = ok & _side_by_side(p)
     return per_doc.filter(ok).select("id", "bm25")
 
 
+def _side_by_side(phrase: list[str]) -> Column:
+    at = [F.element_at("where", F.lit(t)) for t in phrase]
+    return F.exists(at[0], lambda s: _all([F.array_contains(at[k], s + k) for k in range(1, len(phrase))]))
+
+
 def _all(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:

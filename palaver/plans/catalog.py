@@ -4,7 +4,526 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from palaver.functions import instants, places, redact, snippet, text, tools, vectors
+from palaver.operators import budgets, filters, graph, lexical, merge, ranking, sessions, usage
+from palaver.plans.canonical import EPOCH, NOW_MS, SQL, store, table
+from palaver.schema import violations
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Two words that many documents have, and one that splits into two tokens.
+TERMS, PHRASE = "the that", "of,the"
+
+
+def query(sql: str | None = None, canonical: bool = True) -> Callable[[Query], Query]:
+    """Register a query under its name; ``sql`` continues the canonical tables' WITH clause unless told otherwise."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = (SQL if canonical else "") + sql
+        return f
+
+    return keep
+
+
+# --- Plain-text retrieval -------------------------------------------------------------
+
+_TOKENS = r"""tok AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(substr(text, 1, 16000), '')), '[\p{L}\p{N}]+') AS w FROM documents
+), cnt AS (
+  SELECT doc_id, w, len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS t0, len(list_filter(w, lambda x: x = 'that')) AS t1 FROM tok
+), stats AS (
+  SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM cnt
+), hits AS (
+  SELECT doc_id, ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / avgdl))
+    + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS bm25 FROM cnt, stats WHERE t0 > 0 AND t1 > 0
+)"""
+
+
+def _hits(spark: SparkSession, sf_dir: str, words: str = TERMS) -> DataFrame:
+    found = lexical.scan_search(table(spark, sf_dir, "documents"), "doc_id", "text", words)
+    return found.withColumn("bm25", F.round("bm25", 6))
+
+
+@query("WITH " + _TOKENS + " SELECT doc_id FROM hits", False)
+def fts_and(spark, sf_dir):
+    return _hits(spark, sf_dir).select(F.col("id").alias("doc_id"))
+
+
+@query("WITH " + _TOKENS + " SELECT doc_id FROM tok WHERE list_bool_or(list_transform(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))", False)
+def fts_phrase(spark, sf_dir):
+    return _hits(spark, sf_dir, PHRASE).select(F.col("id").alias("doc_id"))
+
+
+@query("WITH " + _TOKENS + """ SELECT doc_id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY round(bm25, 6) DESC, doc_id) AS rank,
+  round(1.0 / (60 + row_number() OVER (ORDER BY round(bm25, 6) DESC, doc_id)), 9) AS score FROM hits ORDER BY rank LIMIT 20""", False)
+def bm25_top20(spark, sf_dir):
+    best = ranking.ranked(_hits(spark, sf_dir), "bm25", limit=20)
+    return best.select(F.col("id").alias("doc_id"), "bm25", F.col("rank").cast("long"), F.round(ranking.rrf(F.col("rank")), 9).alias("score"))
+
+
+@query("WITH " + _TOKENS + """, a AS (SELECT 'd' || doc_id AS id, 1.0 / (60 + row_number() OVER (ORDER BY round(bm25, 6) DESC, doc_id)) AS score FROM hits ORDER BY round(bm25, 6) DESC, doc_id LIMIT 512
+), b AS (SELECT 's' || conv_id AS id, 1.0 / (60 + row_number() OVER (ORDER BY count(*) DESC, conv_id)) AS score FROM conversations GROUP BY conv_id ORDER BY count(*) DESC, conv_id LIMIT 512)
+SELECT id, round(score, 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY score DESC, id LIMIT 60""", False)
+def rrf_union(spark, sf_dir):
+    documents = ranking.ranked(_hits(spark, sf_dir), "bm25").select(F.concat(F.lit("d"), "id").alias("id"), "rank")
+    talked = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    convs = ranking.ranked(talked, "n").select(F.concat(F.lit("s"), "id").alias("id"), "rank")
+    return ranking.page(ranking.union_of_corpora(documents, convs).withColumn("score", F.round("score", 9)), 0, 60)
+
+
+_MESSAGE_HITS = r""", mt AS (
+  SELECT message_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM messages
+), mc AS (SELECT message_id, len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS tf FROM mt
+), ms AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (tf > 0) AS df FROM mc
+), mh AS (
+  SELECT message_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS bm25 FROM mc, ms WHERE tf > 0
+), mr AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, message_id) AS rank FROM mh QUALIFY rank <= 512
+), side AS (SELECT message_id, CASE WHEN min(is_sidechain) = max(is_sidechain) THEN min(is_sidechain) END AS side, min(session_id) AS session_id FROM placements GROUP BY ALL
+), sc AS (
+  SELECT r.message_id, m.role, s.session_id, round(greatest(0.0, 1.0 / (60 + rank)
+    * greatest(0.3, pow(0.5, greatest(0, 1707776000000 - coalesce(ts_sec * 1000, 1707776000000)) / (30 * 86400000.0)))
+    - CASE WHEN coalesce(side, false) THEN 0.25 / 61 ELSE 0 END + CASE WHEN repo_slug = 'github.com/acme/r1' THEN 0.5 / 61 ELSE 0 END), 9) AS score
+  FROM mr r JOIN messages m USING (message_id) JOIN side s USING (message_id) LEFT JOIN sessions USING (session_id)
+)"""
+
+
+def _scored_messages(spark, sf_dir) -> DataFrame:
+    """Message hits of one word, ranked and weighed by age, sidechain and repository."""
+    s = store(spark, sf_dir)
+    found = lexical.scan_search(s.messages, "message_id", "text", "the").withColumn("bm25", F.round("bm25", 6))
+    best = ranking.ranked(found, "bm25").withColumnRenamed("id", "message_id")
+    facts = merge.constant_or_null(s.placements, ["is_sidechain"]).join(sessions.owning_session(s), "message_id")
+    told = best.join(s.messages.select("message_id", "role", "ts_sec"), "message_id").join(facts, "message_id").join(s.sessions.select("session_id", "repo_slug"), "session_id", "left")
+    score = ranking.final_score(ranking.rrf(F.col("rank")), F.col("ts_sec"), F.col("is_sidechain"), F.col("repo_slug") == "github.com/acme/r1", NOW_MS)
+    return told.select("message_id", "role", "session_id", F.round(score, 9).alias("score"))
+
+
+@query(_MESSAGE_HITS + " SELECT * FROM sc")
+def rank_signals(spark, sf_dir):
+    return _scored_messages(spark, sf_dir)
+
+
+@query(_MESSAGE_HITS + " SELECT * FROM sc ORDER BY score DESC, message_id LIMIT 10")
+def rank_window_page1(spark, sf_dir):
+    return ranking.page(_scored_messages(spark, sf_dir), 0, 10, id_col="message_id")
+
+
+@query(_MESSAGE_HITS + " SELECT * FROM sc ORDER BY score DESC, message_id LIMIT 10 OFFSET 10")
+def rank_window_page2(spark, sf_dir):
+    return ranking.page(_scored_messages(spark, sf_dir), 10, 10, id_col="message_id")
+
+
+@query(_MESSAGE_HITS + " SELECT *, count(*) OVER (PARTITION BY session_id) AS occurrences FROM sc QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, message_id) = 1")
+def group_by_session(spark, sf_dir):
+    return ranking.group_by_session(_scored_messages(spark, sf_dir), id_col="message_id")
+
+
+@query(_MESSAGE_HITS + " SELECT message_id FROM sc WHERE role NOT IN ('system', 'developer')")
+def noise_filter(spark, sf_dir):
+    return filters.visible(_scored_messages(spark, sf_dir), store(spark, sf_dir)).select("message_id")
+
+
+# --- Filters and facets ---------------------------------------------------------------
+
+
+@query(" SELECT message_id FROM messages m WHERE EXISTS (SELECT 1 FROM placements p JOIN docs d USING (document_id) WHERE p.message_id = m.message_id AND d.provider_id IN ('claude-code', 'pi'))")
+def filter_provider_or(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return filters.by_provider(s.messages, s, ["claude", "pi", "pi"]).select("message_id")
+
+
+@query(f" SELECT message_id FROM messages WHERE ts_sec >= {EPOCH + 600} AND ts_sec < {EPOCH + 6000}")
+def filter_time_half_open(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return filters.by_time(s.messages, s, (EPOCH + 600, 0), (EPOCH + 6000, 0)).select("message_id")
+
+
+@query(" SELECT DISTINCT message_id FROM placements JOIN sessions USING (session_id) WHERE repo_slug = 'github.com/acme/r2'")
+def filter_repo(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return filters.by_repo(s.messages, s, "github.com/acme/r2").select("message_id")
+
+
+@query(" SELECT message_id FROM messages m WHERE EXISTS (SELECT 1 FROM tool_activities a WHERE a.message_id = m.message_id AND kind = 'web' AND name = 'purchase')")
+def filter_semi_activity(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return filters.by_tool(s.messages, s, "web", "purchase").select("message_id")
+
+
+@query(" SELECT message_id FROM messages WHERE message_id NOT IN (SELECT message_id FROM placements WHERE is_sidechain)")
+def facet_main_only(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return filters.by_sidechain(s.messages, s, "main_only").select("message_id")
+
+
+@query(" SELECT message_id FROM messages WHERE message_id IN (SELECT message_id FROM placements WHERE is_sidechain)")
+def facet_subagent_only(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return filters.by_sidechain(s.messages, s, "subagent_only").select("message_id")
+
+
+# --- Vectors and fusion ---------------------------------------------------------------
+
+_COSINE = """q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0
+), c AS (SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6) AS cosine FROM embeddings, q)"""
+
+
+def _query_vector(spark, sf_dir) -> list[float]:
+    return [float(x) for x in table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0]]
+
+
+def _nearest(spark, sf_dir, k: int, floor: float | None = None) -> DataFrame:
+    found = ranking.top_k_cosine(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), k, "vec_id", floor=floor)
+    return found.select(F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
+@query("WITH " + _COSINE + " SELECT vec_id, cosine FROM c ORDER BY cosine DESC, vec_id LIMIT 25", False)
+def cosine_topk(spark, sf_dir):
+    return _nearest(spark, sf_dir, 25)
+
+
+@query("WITH " + _COSINE + " SELECT vec_id, cosine FROM c WHERE cosine >= 0.3 ORDER BY cosine DESC, vec_id LIMIT 100", False)
+def cosine_floor_topk(spark, sf_dir):
+    return _nearest(spark, sf_dir, 100, 0.3)
+
+
+@query("WITH " + _TOKENS + ", " + _COSINE + """, l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(bm25, 6) DESC, doc_id) AS r FROM hits QUALIFY r <= 100
+), s AS (SELECT vec_id AS id, row_number() OVER (ORDER BY cosine DESC, vec_id) AS r FROM c QUALIFY r <= 100)
+SELECT id, round(coalesce(0.5 / (60 + l.r), 0) + coalesce(0.5 / (60 + s.r), 0), 9) AS score FROM l FULL JOIN s USING (id) ORDER BY score DESC, id LIMIT 50""", False)
+def hybrid_rrf(spark, sf_dir):
+    words = ranking.ranked(_hits(spark, sf_dir), "bm25", limit=100)
+    near = ranking.ranked(_nearest(spark, sf_dir, 100).withColumnRenamed("vec_id", "id"), "cosine", limit=100)
+    return ranking.page(ranking.fuse(words, near).withColumn("score", F.round("score", 9)), 0, 50)
+
+
+@query("WITH " + _COSINE + """, t AS (SELECT label FROM c ORDER BY cosine DESC, vec_id LIMIT 10)
+SELECT round(count(*) FILTER (label = (SELECT label FROM embeddings WHERE vec_id = 0)) / 10.0, 6) AS recall_at_10 FROM t""", False)
+def recall_at_k(spark, sf_dir):
+    vecs = table(spark, sf_dir, "embeddings")
+    wanted = vecs.filter("vec_id = 0").select(F.col("label").alias("wanted"))
+    near = _nearest(spark, sf_dir, 10).join(vecs.select("vec_id", "label"), "vec_id").join(F.broadcast(wanted), F.lit(True))  # one row
+    return near.agg(F.round(F.count_if(F.col("label") == F.col("wanted")) / 10.0, 6).alias("recall_at_10"))
+
+
+# --- Sessions -------------------------------------------------------------------------
+
+
+@query(" SELECT message_id, min(session_id) AS session_id FROM placements GROUP BY message_id")
+def owning_session_min(spark, sf_dir):
+    return sessions.owning_session(store(spark, sf_dir))
+
+
+@query(" SELECT message_id, (list({'d': document_id, 'o': ordinal, 'p': placement_id, 's': session_id} ORDER BY document_id, ordinal, placement_id))[1].p AS placement_id FROM placements GROUP BY message_id")
+def authoritative_placement(spark, sf_dir):
+    return sessions.authoritative_placement(store(spark, sf_dir)).select("message_id", "placement_id")
+
+
+@query(" SELECT message_id, session_id, string_agg(DISTINCT placement_id, ',' ORDER BY placement_id) AS placements FROM placements GROUP BY ALL")
+def message_contexts(spark, sf_dir):
+    return sessions.message_contexts(store(spark, sf_dir)).withColumn("placements", F.array_join("placements", ","))
+
+
+@query(" SELECT message_id, count(DISTINCT session_id) AS sessions, string_agg(DISTINCT session_id, ',' ORDER BY session_id) AS candidates FROM placements GROUP BY message_id HAVING count(DISTINCT session_id) > 1")
+def edge_ambiguity(spark, sf_dir):
+    return sessions.ambiguous_messages(store(spark, sf_dir)).withColumn("candidates", F.array_join("candidates", ","))
+
+
+@query(""", heard AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY session_id ORDER BY document_id, ordinal) AS talk FROM placed WHERE role IN ('user', 'assistant', 'tool'))
+ SELECT session_id, talk::BIGINT AS talk, max(message_id) FILTER (role = 'user') AS user_message, coalesce(string_agg(message_id, ',' ORDER BY document_id, ordinal) FILTER (role <> 'user'), '') AS replies FROM heard WHERE talk > 0 GROUP BY ALL""")
+def talk_islands(spark, sf_dir):
+    return sessions.talks(sessions.occurrences(store(spark, sf_dir))).withColumn("replies", F.array_join("replies", ","))
+
+
+@query(""" SELECT session_id, (list({'t': text} ORDER BY document_id, ordinal) FILTER (role = 'user'))[1].t AS first_user_message, count(*) AS message_count, count(*) FILTER (role = 'user') AS turn_count,
+ array_to_string(list_sort(list_distinct(list(document_id))), ',') AS documents FROM placed GROUP BY session_id""")
+def session_summary(spark, sf_dir):
+    return sessions.summary(sessions.occurrences(store(spark, sf_dir))).withColumn("documents", F.array_join(F.array_sort("documents"), ","))
+
+
+_PEEK = r""", said AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM placed WHERE role = 'user'), pk AS (
+ SELECT session_id, substr((list({'t': t} ORDER BY document_id, ordinal) FILTER (t <> ''))[1].t, 1, 200) AS a, substr((list({'t': t} ORDER BY document_id DESC, ordinal DESC) FILTER (t <> ''))[1].t, 1, 200) AS b FROM said GROUP BY session_id HAVING count(*) FILTER (t <> '') > 0)"""
+
+
+@query(_PEEK + " SELECT session_id, a AS first_user_text, b AS last_user_text FROM pk")
+def session_peek(spark, sf_dir):
+    return sessions.peek(sessions.occurrences(store(spark, sf_dir)))
+
+
+@query(_PEEK + " SELECT s.session_id, substr(coalesce(nullif(title, ''), a), 1, 80) AS title FROM sessions s LEFT JOIN pk USING (session_id)")
+def session_title(spark, sf_dir):
+    return sessions.titles(store(spark, sf_dir))
+
+
+@query(" SELECT session_id, strftime(make_timestamp(max(ts_sec) * 1000000), '%Y-%m-%d') AS latest FROM placed WHERE ts_sec IS NOT NULL GROUP BY session_id")
+def latest_activity(spark, sf_dir):
+    return sessions.latest_activity(store(spark, sf_dir))
+
+
+@query(""", firsts AS (SELECT session_id, message_id, min({'d': document_id, 'o': ordinal}) AS spot FROM placements GROUP BY ALL)
+ SELECT session_id, string_agg(message_id, ',' ORDER BY spot, message_id) AS messages FROM firsts GROUP BY session_id""")
+def session_members(spark, sf_dir):
+    return sessions.members(store(spark, sf_dir)).withColumn("messages", F.array_join("messages", ","))
+
+
+@query(" SELECT m.message_id, role, bool_or(is_sidechain) AS is_sidechain FROM messages m JOIN placements USING (message_id) GROUP BY ALL")
+def message_facts(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return sessions.message_facts(s, s.messages.select("message_id"))
+
+
+_SESSION = "ses_v1_c1"
+_WALK = """, edge AS (
+  SELECT p.session_id, p.placement_id AS child, p.document_id AS cd, e.parent_message_id FROM placements p JOIN edges e ON e.child_placement_id = p.placement_id
+), par AS (
+  SELECT e.session_id, e.child, CASE WHEN count(*) = 1 THEN min(t.placement_id) WHEN count(*) FILTER (t.document_id = e.cd) = 1 THEN min(t.placement_id) FILTER (t.document_id = e.cd) END AS parent
+  FROM edge e JOIN placements t ON t.session_id = e.session_id AND t.message_id = e.parent_message_id GROUP BY ALL
+), cand AS (
+  SELECT p.*, m.ts_sec FROM placements p JOIN messages m USING (message_id)
+  WHERE NOT is_sidechain OR session_id NOT IN (SELECT session_id FROM placements WHERE NOT is_sidechain)
+), rated AS (
+  SELECT c.*, e.parent_message_id, NOT EXISTS (SELECT 1 FROM cand d JOIN edges g ON g.child_placement_id = d.placement_id WHERE d.session_id = c.session_id AND g.parent_message_id = c.message_id) AS leaf
+  FROM cand c LEFT JOIN edges e ON e.child_placement_id = c.placement_id
+), pick AS (
+  SELECT session_id, placement_id FROM rated
+  QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY leaf DESC, (leaf AND parent_message_id IS NOT NULL) DESC, (ts_sec IS NOT NULL) DESC, ts_sec DESC, document_id DESC, ordinal DESC, placement_id DESC) = 1
+), walk AS (
+  SELECT session_id, placement_id, 0 AS step FROM pick
+  UNION ALL SELECT w.session_id, par.parent, step + 1 FROM walk w JOIN par ON par.session_id = w.session_id AND par.child = w.placement_id WHERE par.parent IS NOT NULL
+), line AS (SELECT session_id, placement_id, (max(step) OVER (PARTITION BY session_id) - step)::INT AS position FROM walk)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query()
+def mainline_walk(spark, sf_dir):
+    return graph.mainline(store(spark, sf_dir)).select("session_id", "placement_id", "position")
+
+
+ORACLE_SQL["mainline_walk"] = _recursive(SQL + _WALK + " SELECT session_id, placement_id, position FROM line")
+
+
+@query()
+def message_window(spark, sf_dir):
+    s = store(spark, sf_dir)
+    one = s.with_tables(placements=s.placements.filter(F.col("session_id") == _SESSION))
+    chain = graph.mainline(one).join(s.placements.select("placement_id", "message_id"), "placement_id")
+    first = chain.orderBy("position").select("message_id").first()[0]
+    return sessions.message_window(chain, first, 2).select("message_id", "position")
+
+
+ORACLE_SQL["message_window"] = _recursive(SQL + _WALK + f" SELECT message_id, position FROM line JOIN placements USING (session_id, placement_id) WHERE session_id = '{_SESSION}' AND position <= 2")
+
+
+@query(""" SELECT session_id, placement_id, (row_number() OVER (PARTITION BY session_id ORDER BY ts_sec IS NOT NULL, ts_sec, document_id, ordinal, placement_id) - 1)::INT AS position FROM placed""")
+def full_order(spark, sf_dir):
+    return graph.full_order(store(spark, sf_dir)).select("session_id", "placement_id", "position")
+
+
+@query(" SELECT child_placement_id, parent_message_id FROM edges WHERE parent_message_id NOT IN (SELECT message_id FROM messages)")
+def orphan_parents(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return s.edges.join(s.messages, s.edges["parent_message_id"] == s.messages["message_id"], "left_anti").select("child_placement_id", "parent_message_id")
+
+
+@query(""" SELECT 'two_edges' AS rule, count(*) AS n FROM (SELECT child_placement_id FROM edges GROUP BY ALL HAVING count(*) > 1)
+ UNION ALL SELECT 'missing_message', count(*) FROM placements WHERE message_id NOT IN (SELECT message_id FROM messages)
+ UNION ALL SELECT 'missing_document', count(*) FROM placements WHERE document_id NOT IN (SELECT document_id FROM docs)
+ UNION ALL SELECT 'duplicate_message', count(*) FROM (SELECT message_id FROM messages GROUP BY ALL HAVING count(*) > 1)
+ UNION ALL SELECT 'unknown_role', count(*) FROM messages WHERE role NOT IN ('user', 'assistant', 'system', 'developer', 'tool')""")
+def validate_graph_rules(spark, sf_dir):
+    return violations(store(spark, sf_dir)).filter(F.col("rule").isin("two_edges", "missing_message", "missing_document", "duplicate_message", "unknown_role"))
+
+
+# --- Usage, repositories, status ------------------------------------------------------
+
+
+@query(""" SELECT count(DISTINCT session_id) AS sessions, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens,
+ sum(cache_write_tokens)::BIGINT AS cache_write_tokens, sum(reasoning_tokens)::BIGINT AS reasoning_tokens, count(*) FILTER (token_source = 'observed') AS observed_events, count(*) FILTER (token_source = 'derived') AS derived_events FROM usage_events""")
+def usage_totals(spark, sf_dir):
+    return usage.totals(store(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, sum(event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM events)
+ SELECT user_id, event_id, (total - coalesce(lag(total) OVER (PARTITION BY user_id ORDER BY event_id), 0))::BIGINT AS input_tokens FROM r QUALIFY total - coalesce(lag(total) OVER (PARTITION BY user_id ORDER BY event_id), 0) > 0""", False)
+def usage_delta_lag(spark, sf_dir):
+    """Counters that never fall: the fold agrees with differences of neighbours."""
+    order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = table(spark, sf_dir, "events").withColumn("t", F.sum(F.col("event_id") % 50).over(order)).filter("t > 0")
+    reports = counted.select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("place"), F.lit(False).alias("forked"), F.array("t", F.lit(0), F.lit(0), F.lit(0)).cast("array<long>").alias("total"), F.lit(None).cast("array<long>").alias("last"))
+    return usage.cumulative_deltas(reports).select(F.col("source").cast("long").alias("user_id"), F.col("place").alias("event_id"), "input_tokens")
+
+
+@query(" SELECT repo_slug, count(*) AS sessions FROM sessions WHERE repo_slug IS NOT NULL GROUP BY repo_slug")
+def repo_totals(spark, sf_dir):
+    return usage.repo_totals(store(spark, sf_dir))
+
+
+@query(" SELECT provider_id, count(DISTINCT session_id) AS sessions FROM placements JOIN docs USING (document_id) GROUP BY provider_id")
+def sessions_by_provider(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return s.placements.join(s.documents, "document_id").groupBy("provider_id").agg(F.countDistinct("session_id").alias("sessions"))
+
+
+@query(" SELECT (SELECT count(*) FROM messages) AS messages, (SELECT count(*) FROM placements) AS placements, (SELECT count(DISTINCT document_id || session_id || message_id) FROM placements) AS source_claims, (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM sessions) AS sessions")
+def status_counts(spark, sf_dir):
+    s = store(spark, sf_dir)
+    placed = s.placements.agg(F.count(F.lit(1)).alias("placements"), F.countDistinct("document_id", "session_id", "message_id").alias("source_claims"))
+    out = s.messages.agg(F.count(F.lit(1)).alias("messages")).crossJoin(placed)  # one row each
+    for name in ("documents", "sessions"):
+        out = out.crossJoin(getattr(s, name).agg(F.count(F.lit(1)).alias(name)))
+    return out
+
+
+@query(" SELECT (SELECT count(*) FROM tool_activities WHERE message_id NOT IN (SELECT message_id FROM messages)) AS activities, (SELECT count(*) FROM usage_events WHERE message_id NOT IN (SELECT message_id FROM messages)) AS usage_events")
+def orphan_counts(spark, sf_dir):
+    return merge.orphan_counts(store(spark, sf_dir))
+
+
+@query(" SELECT session_id, provider_id IN ('claude-code', 'codex', 'pi', 'opencode') AND id_state = 'resolved' AND trim(provider_session_id) <> '' AS available FROM resume_claims")
+def resume_availability(spark, sf_dir):
+    return places.resume_available(store(spark, sf_dir).resume_claims).select("session_id", "available")
+
+
+@query(""" SELECT session_id, CASE WHEN cwd IS NOT NULL THEN '(cd ' || cwd || ' && ' ELSE '' END || CASE provider_id WHEN 'claude-code' THEN 'claude --resume ' WHEN 'codex' THEN 'codex resume ' WHEN 'pi' THEN 'pi --session '
+ ELSE 'opencode ' || CASE WHEN cwd IS NOT NULL THEN cwd || ' ' ELSE '' END || '--session ' END || provider_session_id || CASE WHEN cwd IS NOT NULL THEN ')' ELSE '' END AS command FROM resume_claims""")
+def resume_commands(spark, sf_dir):
+    claims = store(spark, sf_dir).resume_claims
+    return claims.select("session_id", places.resume_command(F.col("provider_id"), F.col("provider_session_id"), F.col("cwd")).alias("command"))
+
+
+# --- Catalog --------------------------------------------------------------------------
+
+
+@query(""", known AS (SELECT '/src/' || conv_id || '.jsonl' AS source_path, conv_id FROM convs)
+ SELECT source_path FROM known WHERE conv_id % 4 IN (0, 1) AND conv_id % 3 = 0""")
+def tombstone_anti(spark, sf_dir):
+    s = store(spark, sf_dir)
+    number = F.regexp_extract("source_path", r"(\d+)\.jsonl$", 1).cast("long")
+    complete = spark.createDataFrame([("claude-code",), ("codex",)], "provider_id string")
+    return merge.tombstones(s.source_scans.select("source_path", "provider_id"), s.source_scans.filter(number % 3 != 0), complete).select("source_path")
+
+
+@query(""", claims AS (SELECT 'a' AS src, message_id, role, text FROM messages UNION ALL SELECT 'b', message_id, CASE WHEN ordinal = 1 THEN 'tool' ELSE role END, text || '!' FROM placed WHERE ordinal <= 1 AND placement_id LIKE 'plc_v1_c%')
+ SELECT message_id FROM claims GROUP BY message_id HAVING count(DISTINCT role) > 1""")
+def dup_conflict_check(spark, sf_dir):
+    return merge.merge_conflicts(_two_sources(spark, sf_dir)).select("message_id")
+
+
+def _two_sources(spark, sf_dir) -> DataFrame:
+    placed = sessions.occurrences(store(spark, sf_dir)).filter("placement_id LIKE 'plc\\_v1\\_c%'").withColumn("provider_id", F.lit("x"))
+    one = placed.select(F.lit("a").alias("source_path"), "message_id", "role", "text", "ts_raw", "provider_id")
+    two = placed.filter("ordinal <= 1").select(F.lit("b").alias("source_path"), "message_id", F.when(F.col("ordinal") == 1, "tool").otherwise(F.col("role")).alias("role"), F.concat("text", F.lit("!")).alias("text"), "ts_raw", "provider_id")
+    return one.unionByName(two)
+
+
+@query(" SELECT message_id, text || CASE WHEN ordinal <= 1 THEN '!' ELSE '' END AS text FROM placed WHERE placement_id LIKE 'plc_v1_c%'")
+def merge_longest_text(spark, sf_dir):
+    return merge.merge_messages(_two_sources(spark, sf_dir)).select("message_id", "text")
+
+
+@query(" SELECT message_id, CASE WHEN min(is_sidechain) = max(is_sidechain) THEN min(is_sidechain) END AS is_sidechain, CASE WHEN min(session_id) = max(session_id) THEN min(session_id) END AS session_id FROM placements GROUP BY message_id")
+def constant_or_null(spark, sf_dir):
+    return merge.constant_or_null(store(spark, sf_dir).placements, ["is_sidechain", "session_id"])
+
+
+@query(" SELECT message_id, role FROM messages WHERE message_id > 'msg_v1_c2' ORDER BY message_id LIMIT 30")
+def list_page(spark, sf_dir):
+    return merge.list_page(store(spark, sf_dir).messages, 30, "msg_v1_c2").select("message_id", "role")
+
+
+_ASKED = ["msg_v1_c3t1", "msg_v1_c0t0", "msg_v1_none", "msg_v1_c3t1"]
+
+
+@query(" SELECT a.pos::INT AS pos, a.id AS message_id, m.role FROM (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{i}')" for k, i in enumerate(_ASKED)) + ") AS t(pos, id)) a LEFT JOIN messages m ON m.message_id = a.id")
+def get_many_ordered(spark, sf_dir):
+    return merge.get_many(store(spark, sf_dir).messages, _ASKED).select("pos", "message_id", "role")
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events", False)
+def seq_numbering(spark, sf_dir):
+    return merge.sequence(table(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id", F.col("seq").cast("long"))
+
+
+@query("""WITH b AS (SELECT user_id, event_id, event_id % 4 = 0 AS bad FROM events)
+ SELECT user_id, CASE WHEN count(*) FILTER (bad) = 0 THEN 'clean' WHEN max(event_id) FILTER (NOT bad) > max(event_id) FILTER (bad) THEN 'partial' ELSE 'invalid' END AS health FROM b GROUP BY user_id""", False)
+def jsonl_health(spark, sf_dir):
+    from palaver.sources.reading import health
+
+    return health(table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("line_no"), (F.col("event_id") % 4 == 0).alias("bad")), "user_id")
+
+
+@query("WITH r AS (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) AS running FROM documents) SELECT doc_id, running::BIGINT AS running FROM r WHERE running <= 20000", False)
+def budget_prefix(spark, sf_dir):
+    """A page of documents cut by a budget: as many rows as a page has go into the running sum."""
+    page = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(budgets.Budget().max_items)
+    return ranking.running_budget(page, [F.col("doc_id")], "n_chars", 20_000).select("doc_id", "running")
+
+
+# --- Functions ------------------------------------------------------------------------
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS target FROM events", False)
+def json_target_chain(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    wrapped = F.concat(F.lit('{"path": "", "command": " '), F.get_json_object("props", "$.k"), F.lit(' "}'))
+    return events.select("event_id", tools.json_target(wrapped).alias("target"))
+
+
+_SECRET = "ghp_" + "a1" * 18
+
+
+@query(f"""SELECT doc_id, replace(replace(text, '\n', ' {_SECRET}\n'), '{_SECRET}', '[redacted:github_token]') AS text FROM documents""", False)
+def redact_prefix_shapes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    planted = F.replace("text", F.lit("\n"), F.lit(f" {_SECRET}\n"))
+    return docs.select("doc_id", redact.redact(planted).alias("text"))
+
+
+@query("SELECT doc_id, ceil(octet_length(encode(text)) / 4.0)::BIGINT AS tokens FROM documents", False)
+def estimate_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT * FROM (VALUES (1, '日 本 語 日本 本語 abc'), (2, 'abc 語'), (3, 'plain text')) AS t(id, spread)", False)
+def han_bigrams(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "日本語 abc"), (2, "abc語"), (3, "plain text")], "id int, t string")
+    return rows.select("id", text.index_text(F.col("t")).alias("spread"))
+
+
+@query("SELECT event_id, floor(epoch(ts))::BIGINT AS sec, (extract('microseconds' FROM ts)::BIGINT % 1000000 * 1000)::INT AS nanos FROM events", False)
+def search_instants(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    raw = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    at = instants.search_instant(raw)
+    return events.select("event_id", at["sec"].alias("sec"), at["nanos"].alias("nanos"))
+
+
+@query()
+def snippets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", snippet.snippet(F.col("text"), text.literal_terms(F.lit(TERMS)), 120).alias("snippet"))
+
+
+@query()
+def hash_embeddings(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations")
+    return said.select("conv_id", "turn", vectors.embed(F.col("text")).alias("embedding"))
+
+
+@query()
+def handoff_candidates(spark, sf_dir):
+    from palaver.operators import handoff
+
+    s = store(spark, sf_dir)
+    hits = _scored_messages(spark, sf_dir).join(s.messages.select("message_id", "text"), "message_id").withColumnRenamed("message_id", "id")
+    best = ranking.ranked(hits, "score", limit=handoff.HIT_LIMIT)
+    return handoff.within_budget(handoff.candidates(best.drop("role"), s), 20, 4000).select("id", "rank", "document_id", "tokens", "redacted", "kept")
