@@ -468,6 +468,25 @@ def budget_prefix(spark, sf_dir):
     return ranking.running_budget(page, [F.col("doc_id")], "n_chars", 20_000).select("doc_id", "running")
 
 
+# --- Windows over events (extensions) -------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", False)
+def event_windows(spark, sf_dir):
+    from palaver.streaming.incremental import event_windows as windows
+
+    return windows(table(spark, sf_dir, "events"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS end, user_id, count(*) AS n FROM s GROUP BY user_id, k""", False)
+def activity_sessions(spark, sf_dir):
+    from palaver.streaming.incremental import activity_sessions as gaps
+
+    return gaps(table(spark, sf_dir, "events"))
+
+
 # --- Functions ------------------------------------------------------------------------
 
 

@@ -112,6 +112,13 @@ def number_records(records: DataFrame) -> DataFrame:
     return sequence(records)
 
 
+def index_facts(spark: SparkSession, facts: list[tuple[str, str]]) -> DataFrame:
+    """Messages out of plain facts (fact, text): the identity follows from the fact alone."""
+    rows = spark.createDataFrame(facts, "fact string, text string")
+    nothing = F.lit(None)
+    return rows.select(identity.derive("message", F.col("fact")).alias("message_id"), F.lit("user").alias("role"), "text", nothing.cast("string").alias("ts_raw"), nothing.cast("long").alias("ts_sec"), nothing.cast("int").alias("ts_nanos"), F.lit("facts").alias("provider_id"))
+
+
 class Busy(RuntimeError):
     """Another writer holds the store."""
 

@@ -140,3 +140,36 @@ def test_vectors(spark):
     assert v.shape == (384,) and abs(float((v * v).sum()) - 1) < 1e-5
     got = one(spark, vectors.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0))))
     assert got == 0.0
+
+
+def test_payload_activities(spark):
+    import json
+
+    from palaver.functions import payload_activities as old
+
+    payload = {"message": {"content": [{"type": "tool_use", "name": "read", "input": {"path": "a"}}, {"type": "tool_result", "content": [{"text": "An Error came"}]}, {"type": "tool_use", "name": "Task", "input": {}}]}}
+    assert [a[:5] for a in old.activities(payload)] == [("file_operation", "assistant", "read", "a", "unknown"), ("tool_result", "assistant", "tool_result", None, "failure"), ("tool_call", "assistant", "Task", None, "unknown")]
+    df = spark.createDataFrame([("m", json.dumps(payload)), ("n", "no json"), ("o", None)], "message_id string, payload string")
+    assert [r["target"] for r in old.targets(old.extract(df), "file_operation").collect()] == ["a"]
+
+
+def test_frames(spark):
+    import json
+
+    from palaver.operators import envelopes
+
+    secret = "ghp_" + "a1" * 18
+    got = json.loads(envelopes.response("search", {"hits": [{"text": f"key {secret}"}]}, generation=3))
+    assert got["data"]["hits"][0]["text"] == "key [redacted:github_token]" and got["redaction"]["redacted_count"] == 1
+    assert "ghp_" not in envelopes.failure("get", "not_found", f"x {secret}")
+    row = envelopes.lines(spark.createDataFrame([("m", f"k {secret}", 1)], "message_id string, text string, n int"), "list").first()[0]
+    assert json.loads(row)["data"] == {"message_id": "m", "text": "k [redacted:github_token]", "n": 1}
+    assert envelopes.width("日本é") == 5 and envelopes.cut("日本語", 5) == "日本…"
+    assert envelopes.shown([{"a": "x", "b": None}], ["a", "b"], [3, 2]) == "a    b\nx"
+
+
+def test_facts(spark):
+    from palaver.sources.ingest import index_facts
+
+    got = index_facts(spark, [("f1", "one"), ("f2", "two")]).collect()
+    assert got[0]["message_id"] == identity.derive_value("message", "f1") and got[1]["text"] == "two"
