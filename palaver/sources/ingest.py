@@ -8,8 +8,7 @@ folder of its own and then named in a pointer file, so readers see all of it or
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,61 +128,80 @@ class StaleProjection(RuntimeError):
 
 @dataclass
 class Generations:
-    """Generations of a store below one folder of the driver's file system; ``CURRENT`` names the one that readers see."""
+    """Generations of a store below a folder that driver and executors share, on any file system that Spark writes to.
+
+    ``CURRENT`` names the one that readers see; ``WRITER`` is there while one is written.
+    A path without a scheme is of the default file system of Hadoop.
+    """
 
     root: str
 
-    def _pointer(self) -> str:
-        return os.path.join(self.root, "CURRENT")
+    def _at(self, spark: SparkSession, name: str):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root.rstrip('/')}/{name}")
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def current(self) -> dict | None:
+    def _write(self, spark: SparkSession, name: str, text: str) -> None:
+        """A new file; an existing one is an error."""
+        fs, path = self._at(spark, name)
+        out = fs.create(path, False)
         try:
-            with open(self._pointer()) as f:
-                return json.load(f)
-        except FileNotFoundError:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def current(self, spark: SparkSession) -> dict | None:
+        fs, path = self._at(spark, "CURRENT")
+        if not fs.exists(path):
             return None
+        stream = fs.open(path)
+        try:
+            return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def path(self) -> str:
-        now = self.current()
+    def open(self, spark: SparkSession) -> Store:
+        now = self.current(spark)
         if now is None:
             raise FileNotFoundError("the store has no generation")
         if now["projection_version"] != PROJECTION_VERSION:
             raise StaleProjection("rebuild the store")
-        return os.path.join(self.root, now["folder"])
-
-    def open(self, spark: SparkSession) -> Store:
-        return Store.read(spark, f"file://{self.path()}")
+        return Store.read(spark, f"{self.root.rstrip('/')}/{now['folder']}")
 
-    def _activate(self, expected: dict | None, new: dict) -> bool:
-        """Name a new generation if the current one is still the expected."""
-        if self.current() != expected:
+    def _activate(self, spark: SparkSession, expected: dict | None, new: dict) -> bool:
+        """Name a new generation, by one rename, if the current one is still the expected."""
+        if self.current(spark) != expected:
             return False
-        fd, temporary = tempfile.mkstemp(dir=self.root)
-        with os.fdopen(fd, "w") as f:
-            json.dump(new, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temporary, self._pointer())
+        temporary = f"CURRENT-{uuid.uuid4().hex}"
+        self._write(spark, temporary, json.dumps(new))
+        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        (_, source), (_, target) = self._at(spark, temporary), self._at(spark, "CURRENT")
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        qualified = [p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p) for p in (source, target)]
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified[0].toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(*qualified, how)
         return True
 
     def commit(self, store: Store, content: str) -> bool:
         """Write a generation and name it; False, and nothing written, where the content is that of the current one."""
-        os.makedirs(self.root, exist_ok=True)
-        lease = os.path.join(self.root, "WRITER")
+        spark = store.messages.sparkSession
+        fs, lease = self._at(spark, "WRITER")
         try:
-            os.close(os.open(lease, os.O_CREAT | os.O_EXCL))
-        except FileExistsError:
-            raise Busy("another writer holds the store") from None
+            self._write(spark, "WRITER", "")
+        except Exception as e:
+            if fs.exists(lease):
+                raise Busy("another writer holds the store") from None
+            raise e
         try:
-            before = self.current()
+            before = self.current(spark)
             if before is not None and before["content"] == content:
                 return False
             number = (before["generation"] if before else 0) + 1
-            folder = f"generation-{number}"
-            store.write(f"file://{os.path.join(self.root, folder)}")
-            return self._activate(before, {"generation": number, "folder": folder, "content": content, "projection_version": PROJECTION_VERSION})
+            folder = f"generation-{number}-{uuid.uuid4().hex[:8]}"  # what an interrupted writer left is never named
+            store.write(f"{self.root.rstrip('/')}/{folder}")
+            return self._activate(spark, before, {"generation": number, "folder": folder, "content": content, "projection_version": PROJECTION_VERSION})
         finally:
-            os.unlink(lease)
+            fs.delete(lease, False)
 
 
 def content_digest(files: DataFrame) -> str:

@@ -154,11 +154,15 @@ def home(tmp_path_factory):
 
 
 def test_sync_and_search(spark, home, tmp_path):
-    generations = ingest.Generations(str(tmp_path / "store"))
+    generations = ingest.Generations(f"file://{tmp_path}/store")
     assert api.sync(spark, str(home), generations)
-    assert not api.sync(spark, str(home), generations) and generations.current()["generation"] == 1
+    assert not api.sync(spark, str(home), generations) and generations.current(spark)["generation"] == 1
     store = generations.open(spark)
     assert store.messages.count() == 6 and api.doctor(store).filter("n > 0").count() == 0
+    (tmp_path / "store/WRITER").touch()
+    with pytest.raises(ingest.Busy):
+        generations.commit(store, "other")
+    (tmp_path / "store/WRITER").unlink()
     engine = api.Engine(spark, store, now_ms=1_704_067_200_000 + 86_400_000)
     hits = engine.search(api.Search("parser")).collect()
     assert [h["id"] for h in hits][0].startswith(("msg_v1_m1", "ses_v1_")) and {h["id"] for h in hits} >= {"msg_v1_m1"}
