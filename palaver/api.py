@@ -312,22 +312,35 @@ def capabilities(spark: SparkSession) -> DataFrame:
 
 
 def sync(spark: SparkSession, home: str, generations: ingest.Generations, only: Iterable[str] | None = None) -> bool:
-    """Read all providers' folders below a home and publish a generation if anything differs; whether it did.
+    """Read what is new or changed in the providers' folders below a home, and publish a generation if anything differs; whether it did.
 
-    Folders that do not exist are passed over.
+    Sources whose bytes a former scan has read are carried over.  A known source that is
+    gone takes its entities along, unless another source has them; but only in folders
+    that were scanned: one that does not exist says nothing about its sources.
     """
-    import os
-
-    files = None
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files, scanned = None, []
     for provider, root, extension in providers.roots(home):
-        if (only is None or provider in only) and os.path.isdir(root):
-            found = reading.discover(spark, f"file://{root}", extension).withColumn("provider_id", F.lit(provider))
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        if (only is None or provider in only) and path.getFileSystem(conf).exists(path):
+            found = reading.discover(spark, root, extension).withColumn("provider_id", F.lit(provider))
             files = found if files is None else files.unionByName(found)
+            scanned.append((provider,))
     if files is None:
         return False
     snap = reading.snapshot(files)
-    digest = ingest.content_digest(snap)
-    return generations.commit(ingest.canonicalize(ingest.parse_files(snap)), digest)
+    if generations.current(spark) is None:
+        return generations.commit(ingest.canonicalize(ingest.parse_files(snap)), ingest.content_digest(snap))
+    prior = generations.open(spark)
+    scans = prior.source_scans
+    gone = merge.tombstones(scans, snap, spark.createDataFrame(scanned, "provider_id string"))
+    todo = snap.join(reading.unchanged(snap, scans, ingest.PARSER_VERSION).select("source_path"), "source_path", "left_anti")
+    stay = scans.join(gone.select("source_path"), "source_path", "left_anti").join(todo.select("source_path"), "source_path", "left_anti")
+    now = snap.select("source_path", "fingerprint").unionByName(stay.join(snap, "source_path", "left_anti").select("source_path", "fingerprint"))
+    digest = ingest.content_digest(now)
+    if generations.current(spark)["content"] == digest:
+        return False
+    return generations.commit(ingest.renewed(ingest.carried_over(prior, stay), ingest.canonicalize(ingest.parse_files(todo))), digest)
 
 
 __all__ = ["DIMENSIONS", "Engine", "InvalidRequest", "NotFound", "Search", "capabilities", "doctor", "estimate_tokens", "sync"]

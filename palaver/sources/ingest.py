@@ -102,6 +102,46 @@ def canonicalize(events: DataFrame, namespace: str = "") -> Store:
     return Store(messages, placements, edges, documents, sessions, activities, usage, claims, scans)
 
 
+def carried_over(prior: Store, scans: DataFrame) -> Store:
+    """What a former generation has from the sources in ``scans`` (rows of its source scans)."""
+    of = scans.select("document_id").distinct()
+    placements = prior.placements.join(of, "document_id", "left_semi")
+    messages, sessions = placements.select("message_id").distinct(), placements.select("session_id").distinct()
+    own = placements.select(F.col("placement_id").alias("child_placement_id"))
+    return Store(
+        prior.messages.join(messages, "message_id", "left_semi"),
+        placements,
+        prior.edges.join(own, "child_placement_id", "left_semi"),
+        prior.documents.join(of, "document_id", "left_semi"),
+        prior.sessions.join(sessions, "session_id", "left_semi"),
+        prior.tool_activities.join(messages, "message_id", "left_semi"),
+        prior.usage_events.join(sessions, "session_id", "left_semi"),
+        prior.resume_claims.join(sessions, "session_id", "left_semi"),
+        scans.select(*prior.source_scans.columns),
+    )
+
+
+def renewed(kept: Store, new: Store) -> Store:
+    """Both together.  The longer text of a message stays; what was observed of a message, and of a session without one, is that of the sources read last."""
+    said = kept.messages.withColumn("source_path", F.lit("0")).unionByName(new.messages.withColumn("source_path", F.lit("1")))
+    at = order_instant(F.col("ts_raw"))
+    messages = merge_messages(said).select("message_id", "role", "text", "ts_raw", at["sec"].alias("ts_sec"), at["nanos"].alias("ts_nanos"), "provider_id")
+    fresh, sessions = new.messages.select("message_id"), new.sessions.select("session_id")
+    old_usage = kept.usage_events.join(fresh, "message_id", "left_anti")
+    old_usage = old_usage.filter("message_id IS NOT NULL").unionByName(old_usage.filter("message_id IS NULL").join(sessions, "session_id", "left_anti"))
+    both = kept.union(new)
+    return both.with_tables(
+        messages=messages,
+        placements=both.placements.dropDuplicates(["placement_id"]),
+        edges=both.edges.dropDuplicates(["child_placement_id"]),
+        documents=both.documents.dropDuplicates(["document_id"]),
+        sessions=kept.sessions.unionByName(new.sessions.join(kept.sessions, "session_id", "left_anti")),
+        tool_activities=kept.tool_activities.join(fresh, "message_id", "left_anti").unionByName(new.tool_activities),
+        usage_events=old_usage.unionByName(new.usage_events),
+        resume_claims=kept.resume_claims.join(sessions, "session_id", "left_anti").unionByName(new.resume_claims),
+    )
+
+
 def report(events: DataFrame) -> DataFrame:
     """(source_path, provider_id, committed, skipped, note) of every file that was read."""
     return events.filter("kind = 'source'").select("source_path", "provider_id", "committed", "skipped", "note")

@@ -155,8 +155,8 @@ def home(tmp_path_factory):
 
 def test_sync_and_search(spark, home, tmp_path):
     generations = ingest.Generations(f"file://{tmp_path}/store")
-    assert api.sync(spark, str(home), generations)
-    assert not api.sync(spark, str(home), generations) and generations.current(spark)["generation"] == 1
+    assert api.sync(spark, f"file://{home}", generations)
+    assert not api.sync(spark, f"file://{home}", generations) and generations.current(spark)["generation"] == 1
     store = generations.open(spark)
     assert store.messages.count() == 6 and api.doctor(store).filter("n > 0").count() == 0
     (tmp_path / "store/WRITER").touch()
@@ -194,7 +194,17 @@ def test_sync_and_search(spark, home, tmp_path):
     q = api.Search("parser", limit=1)
     assert engine.resume_page(q, engine.cursor(q, 1), engine.now_ms).offset == 1
     (home / ".codex/sessions/d/r.jsonl").write_bytes(CODEX + jl({"type": "response_item", "payload": {"type": "message", "role": "user", "id": "m9", "content": [{"type": "input_text", "text": "again"}]}}))
-    assert api.sync(spark, str(home), generations) and generations.open(spark).messages.count() == 7
+    assert api.sync(spark, f"file://{home}", generations) and generations.open(spark).messages.count() == 7
+    again = generations.open(spark)
+    assert again.usage_events.count() == 3 and again.tool_activities.count() == 3 and api.doctor(again).filter("n > 0").count() == 0
+    # A source that is gone takes what only it had; a folder that is gone says nothing.
+    copy = home / ".claude/projects/p/copy.jsonl"
+    copy.write_bytes(CLAUDE.split(b"\n")[1] + b"\n")
+    (home / ".claude/projects/p/a.jsonl").rename(home / "a.kept")
+    (home / ".codex").rename(home / ".codex-kept")
+    assert api.sync(spark, f"file://{home}", generations)
+    assert {r["message_id"] for r in generations.open(spark).messages.collect()} == {"msg_v1_u1", "msg_v1_m1", "msg_v1_m2", "msg_v1_m9"}
+    copy.unlink(), (home / "a.kept").rename(home / ".claude/projects/p/a.jsonl"), (home / ".codex-kept").rename(home / ".codex")
 
 
 def test_reports(spark, home):
