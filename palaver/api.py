@@ -314,7 +314,8 @@ def capabilities(spark: SparkSession) -> DataFrame:
 def sync(spark: SparkSession, home: str, generations: ingest.Generations, only: Iterable[str] | None = None) -> bool:
     """Read what is new or changed in the providers' folders below a home, and publish a generation if anything differs; whether it did.
 
-    Sources whose bytes a former scan has read are carried over.  A known source that is
+    Sources whose bytes a former scan has read are carried over, and so are known ones
+    whose end is torn just now.  A known source that is
     gone takes its entities along, unless another source has them; but only in folders
     that were scanned: one that does not exist says nothing about its sources.
     """
@@ -335,8 +336,11 @@ def sync(spark: SparkSession, home: str, generations: ingest.Generations, only:
     scans = prior.source_scans
     gone = merge.tombstones(scans, snap, spark.createDataFrame(scanned, "provider_id string"))
     todo = snap.join(reading.unchanged(snap, scans, ingest.PARSER_VERSION).select("source_path"), "source_path", "left_anti")
+    held = reading.torn(todo).join(scans.select("source_path"), "source_path", "left_semi")
+    todo = todo.join(held, "source_path", "left_anti")
     stay = scans.join(gone.select("source_path"), "source_path", "left_anti").join(todo.select("source_path"), "source_path", "left_anti")
-    now = snap.select("source_path", "fingerprint").unionByName(stay.join(snap, "source_path", "left_anti").select("source_path", "fingerprint"))
+    read = snap.join(held, "source_path", "left_anti").select("source_path", "fingerprint")
+    now = read.unionByName(stay.join(read.select("source_path"), "source_path", "left_anti").select("source_path", "fingerprint"))
     digest = ingest.content_digest(now)
     if generations.current(spark)["content"] == digest:
         return False

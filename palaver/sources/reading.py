@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +88,27 @@ def health(records: DataFrame, source: str = "source_path") -> DataFrame:
     last = lambda bad: F.max(F.when(F.col("bad") == bad, F.col("line_no")))
     ends = records.groupBy(source).agg(last(True).alias("b"), last(False).alias("g"))
     return ends.select(source, F.when(F.col("b").isNull(), "clean").when(F.col("g") > F.col("b"), "partial").otherwise("invalid").alias("health"))
+
+
+def file_health(content: bytes) -> str:
+    """``health`` of one file of JSON lines: whether it ends in a record that was not written to its end."""
+    bad = good = 0
+    try:
+        for line, value in json_lines(content):
+            if value is None:
+                bad = line.number
+            else:
+                good = line.number
+    except RecordTooLong:
+        return "invalid"
+    return "clean" if not bad else "partial" if good > bad else "invalid"
+
+
+def torn(files: DataFrame) -> DataFrame:
+    """Paths of JSON-lines files whose end is torn: what a former scan read of them is kept."""
+
+    @F.pandas_udf("string")
+    def check(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: file_health(bytes(c)))
+
+    return files.filter("source_path LIKE '%.jsonl'").filter(check(F.col("content")) == "invalid").select("source_path")

@@ -132,6 +132,10 @@ def test_lines_keep_byte_places():
         list(reading.lines(b"x" * 11, 10))
 
 
+def test_file_health():
+    assert [reading.file_health(c) for c in (b'{"a":1}\n', b'{"a"\n{"a":1}\n', b'{"a":1}\n{"a', b"junk", b"")] == ["clean", "partial", "invalid", "invalid", "clean"]
+
+
 def test_selection():
     assert providers.select(CLAUDE).provider_id == "claude-code" and providers.select(CODEX).provider_id == "codex"
     with pytest.raises(providers.Unrecognised):
@@ -197,6 +201,11 @@ def test_sync_and_search(spark, home, tmp_path):
     assert api.sync(spark, f"file://{home}", generations) and generations.open(spark).messages.count() == 7
     again = generations.open(spark)
     assert again.usage_events.count() == 3 and again.tool_activities.count() == 3 and api.doctor(again).filter("n > 0").count() == 0
+    # A torn end leaves what was read before.
+    whole = (home / ".codex/sessions/d/r.jsonl").read_bytes()
+    (home / ".codex/sessions/d/r.jsonl").write_bytes(whole[:-30])
+    assert not api.sync(spark, f"file://{home}", generations) and generations.open(spark).messages.count() == 7
+    (home / ".codex/sessions/d/r.jsonl").write_bytes(whole)
     # A source that is gone takes what only it had; a folder that is gone says nothing.
     copy = home / ".claude/projects/p/copy.jsonl"
     copy.write_bytes(CLAUDE.split(b"\n")[1] + b"\n")
