@@ -24,12 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import table
+from .memory import settle, shrink
+from .tables import bound_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Matches that are held at once, and matches whose ids a worker remembers; neither changes a result.
 MATCHES_AT_ONCE = 200_000
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -108,8 +109,7 @@ class ByteBpe:
         self._numerals = Ragged([b"%d " % r for r in range(len(self.entries))])
 
     def _learn(self, matches: list[str]) -> None:
-        if len(self._ids) > REMEMBERED:
-            self._ids.clear()
+        shrink(self._ids, REMEMBERED, REMEMBERED // 4)
         parts = []
         for m in set(matches).difference(self._ids):
             data = m.encode("utf-8")
@@ -165,6 +165,8 @@ def encode_documents(docs: DataFrame, path: str = RANKS) -> DataFrame:
     the executors.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
@@ -172,6 +174,7 @@ def encode_documents(docs: DataFrame, path: str = RANKS) -> DataFrame:
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        settle()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

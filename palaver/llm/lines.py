@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import discard, stash, table
+from .tables import bound_batches, discard, stash, table
 from .words import SPACES
 
 #: Shorter lines, without white space around them, are left alone.
@@ -131,6 +131,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, segments: int = S
     than ``min_chars`` are left alone, and so are rows without a doc_id.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
 
     def named(row: dict) -> Iterator[tuple]:

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cutting_stock import Pattern, plan_bins
-from .tables import dense_rank_in_groups, stash, table
+from .memory import settle, shrink
+from .tables import bound_batches, dense_rank_in_groups, stash, table
 from .words import blocks
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -32,7 +33,7 @@ END_ID = 2
 #: Tokens by which length classes differ; a class counts as its longest member, so a piece wastes GRANULE / 2 at the mean.
 GRANULE = 16
 #: Words whose ids a worker remembers; a bound on memory that changes no result.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 
 #: Marks that never start or join a token with letters; the apostrophe does.
@@ -70,8 +71,7 @@ class WordEncoder:
         out = []
         for part in blocks(data):
             words = part.split()
-            if len(self._ids) > REMEMBERED:
-                self._ids.clear()
+            shrink(self._ids, REMEMBERED, REMEMBERED // 7)
             if new := set(words).difference(self._ids):
                 self._learn(new)
             out.append(b"".join(map(self._ids.__getitem__, words)))
@@ -104,6 +104,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS, e
                     length = len(piece) // 4
                     rows.append((doc_id, start, length, zlib.crc32(piece), n, -(-length // granule), whole))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 5 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True) if rows else [()] * 7)], [c.split()[0] for c in _PIECES.split(", ")])
+        settle()
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
 
@@ -131,6 +132,7 @@ def pack_documents(docs: DataFrame, path: str = VOCABULARY, capacity: int = SEQU
     """
     if capacity % granule:
         raise ValueError("capacity must be a multiple of granule")
+    bound_batches(docs.sparkSession)
     pieces, _ = stash(cut_documents(docs, path, capacity, end_id, granule), "pieces")
     histogram = {r["units"]: r["count"] for r in pieces.groupBy("units").count().collect()}  # at most capacity / granule rows
     segments = _segments(plan_bins(histogram, capacity // granule))

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import stash, table
+from .memory import settle
+from .tables import bound_batches, stash, table
 from .words import IS_SPACE, SPACES, blocks, table_of, windows, word_hashes
 
 MIN_WORDS = 50
@@ -125,6 +126,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [measure(t.as_py()) for t in batch.column(1)]
         columns = [batch.column(0).cast(pa.int64()), *(pa.array([r[c] for r in rows], pa.int64()) for c in _BASE), pa.array([votes(r) for r in rows], pa.int32())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", *_BASE, "votes"])
+    settle()
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 500, tolerance: float = 1e-9) -> tuple[float, np.ndarray, np.ndarray]:
@@ -176,6 +178,7 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     rows; columns other than these two are not read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     measured, _ = stash(docs.select("doc_id", "text").mapInArrow(_measured, _SCHEMA), "measures")
     known = spark.createDataFrame(list(_posteriors(measured).items()), "votes int, posterior double")
     joined = measured.join(F.broadcast(known), "votes").withColumn("base_failed", _base_failed(F.col("n_words"), F.col("n_repeat_words")))
@@ -188,6 +191,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     The texts are measured twice, for the fit and for the verdict, which moves no text
     between tasks.
     """
+    bound_batches(docs.sparkSession)
     measured, _ = stash(docs.select("doc_id", "text").mapInArrow(_measured, _SCHEMA).select("votes"), "votes")
     posterior, place = _posteriors(measured), docs.columns.index("text")
 
@@ -198,6 +202,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 m = measure(text.as_py())
                 keep.append(bool(not _base_failed(m["n_words"], m["n_repeat_words"]) and posterior[votes(m)] >= KEEP_AT))
             yield batch.filter(pa.array(keep, pa.bool_()))
+        settle()
 
     return docs.mapInArrow(run, docs.schema)
 

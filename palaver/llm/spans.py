@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import stash, table
+from .tables import bound_batches, stash, table
 from .words import scan_words, sequence_hashes, table_of
 
 MIN_RUN_WORDS = 16
@@ -76,6 +76,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows that repeat a doc_id count as one document and don't repeat each other; other
     columns are not read.  Two different runs share a hash once in 2^64 pairs.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     known = texts.mapInArrow(_emit(False), "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
     known, _ = stash(known.filter("first_doc_id < last").select("h", "first_doc_id"), "repeated-runs")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+ROWS_A_FILE = 100_000
 #: Used only where the session names no checkpoint folder, as in tests on one machine.
 DEFAULT_SHARED = "file:///tmp/checkpoints/palaver"
 
@@ -43,14 +45,47 @@ def discard(spark: SparkSession, *paths: str) -> None:
         fs.delete(at, True)
 
 
-def stash(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write a DataFrame to the shared folder and read it back: its lineage ends in files that outlive executors."""
+def stash(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write a DataFrame to the shared folder and read it back: its lineage ends in files that outlive executors.
+
+    Where its number of rows, or a bound on it, is known, it goes into files of about
+    ``ROWS_A_FILE``: not a small file from each of many tasks.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, math.ceil(rows / ROWS_A_FILE)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Scratch tables that go together once the results that need them are written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._paths = spark, []
+
+    def stash(self, df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+        out, path = stash(df, label, rows)
+        self._paths.append(path)
+        return out
+
+    def clear(self) -> None:
+        discard(self._spark, *self._paths)
+        self._paths = []
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's rows an Arrow batch, if they are more: texts and sets are long, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files of plans that have ended; without a nudge they stay until the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dense_rank_in_groups(df: DataFrame, counted: DataFrame, group: list[str], hashed: Column, order: list[Column], out: str, total: int, chunk_rows: int = 20_000) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without bringing a group into one task.
 

@@ -15,7 +15,7 @@ import numpy as np
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of a text that are held as arrays at once; a longer text goes through in blocks cut at white space.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _U = np.uint64
 _GOLDEN, _MIX_A, _MIX_B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
