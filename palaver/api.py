@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palaver.functions import cursors, places
 from palaver.functions.instants import relative_millis, search_instant
 from palaver.functions.snippet import snippet
-from palaver.functions.text import estimate_tokens, literal_terms, suggested_commands, why_matched
+from palaver.functions.text import estimate_tokens, json_string_bytes, literal_terms, suggested_commands, why_matched
 from palaver.functions.vectors import DIMENSIONS, MODEL_ID, embed, embed_text
 from palaver.operators import budgets, filters, graph, handoff, lexical, merge, ranking, sessions, usage
 from palaver.schema import Store
@@ -233,8 +233,11 @@ class Engine:
             order = order.select("placement_id", "position")
         return sessions.occurrences(one).join(order, "placement_id")
 
-    def context(self, session_id: str, policy: str = "mainline", level: str = "raw", max_messages: int = 500, require_complete: bool = False) -> DataFrame:
-        """A session's branch: its messages (raw), its talks, or its summary; without a user message the messages stand in for talks."""
+    def context(self, session_id: str, policy: str = "mainline", level: str = "raw", max_messages: int = 500, max_bytes: int = 4 << 20, require_complete: bool = False) -> DataFrame:
+        """A session's branch: its messages (raw), its talks, or its summary; without a user message the messages stand in for talks.
+
+        Messages are a prefix of the branch that fits; ``reason`` is the knob that cut it.
+        """
         one = self._session(session_id)
         if require_complete:
             of = one.placements.select("document_id").distinct()
@@ -245,12 +248,14 @@ class Engine:
             return sessions.summary(chain)
         if level == "talks" and not chain.filter("role = 'user'").isEmpty():
             return sessions.talks(chain)
-        kept = chain.orderBy("position").limit(max_messages)
+        page = chain.orderBy("position").limit(max_messages + 1)
+        kept = budgets.clamp(page, [F.col("position")], json_string_bytes(F.coalesce("text", F.lit(""))), max_messages, max_bytes)
         acts = self.store.tool_activities.join(kept.select("message_id").distinct(), "message_id", "left_semi")
         grouped = acts.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("kind", "name", "target", "status", "actor"))).alias("activities"))
         return kept.join(grouped, "message_id", "left").orderBy("position")
 
-    def message_window(self, message_id: str, around: int = 3, session_id: str | None = None) -> DataFrame:
+    def message_window(self, message_id: str, around: int = 3, session_id: str | None = None, max_messages: int = 500, max_bytes: int = 4 << 20) -> DataFrame:
+        """A message and its neighbours on the mainline; what does not fit is cut from the ends, never the message itself."""
         if session_id is None:
             owners = [r[0] for r in self.store.placements.filter(F.col("message_id") == message_id).select("session_id").distinct().orderBy("session_id").limit(sessions.MAX_CANDIDATES + 1).collect()]
             if not owners:
@@ -258,7 +263,10 @@ class Engine:
             if len(owners) > 1:
                 raise InvalidRequest("message is in several sessions: " + ", ".join(owners[: sessions.MAX_CANDIDATES]))
             session_id = owners[0]
-        return sessions.message_window(self._chain(self._session(session_id), "mainline"), message_id, around).orderBy("position")
+        window = sessions.message_window(self._chain(self._session(session_id), "mainline"), message_id, around)
+        anchor = window.filter(F.col("message_id") == message_id).first()["position"]
+        cost = json_string_bytes(F.coalesce("text", F.lit("")))
+        return budgets.keep_around(window.withColumn("_cost", cost), anchor, "_cost", max_messages, max_bytes).drop("_cost").orderBy("position")
 
     # --- aggregates, packs, jobs ------------------------------------------------------
 
@@ -298,6 +306,15 @@ class Engine:
         return self.store.with_tables(source_scans=moved, resume_claims=folders)
 
 
+def hook_query(event: str, payload: dict) -> str:
+    """What to search for when a hook fires: the prompt of a prompt event, else the name of the folder."""
+    prompt = payload.get("prompt")
+    if event == "user_prompt_submit" and isinstance(prompt, str) and prompt.strip():
+        return prompt.strip()
+    folder = payload.get("cwd")
+    return folder.replace("\\", "/").rstrip("/").rpartition("/")[2] if isinstance(folder, str) else ""
+
+
 def doctor(store: Store) -> DataFrame:
     from palaver.schema import violations
 

@@ -179,6 +179,9 @@ def test_sync_and_search(spark, home, tmp_path):
     chain = [r["message_id"] for r in engine.context(session).collect()]
     assert chain == ["msg_v1_u1", "msg_v1_a1", "msg_v1_u2"]
     assert [r["message_id"] for r in engine.message_window("msg_v1_a1", 1).collect()] == chain
+    assert [(r["message_id"], r["reason"]) for r in engine.context(session, max_messages=1).collect()] == [("msg_v1_u1", "max_items")]
+    assert [r["message_id"] for r in engine.message_window("msg_v1_a1", 1, max_messages=1).collect()] == ["msg_v1_a1"]
+    assert api.hook_query("session_start", {"cwd": "/a/proj/"}) == "proj" and api.hook_query("user_prompt_submit", {"prompt": " x "}) == "x"
     assert engine.context(session, level="talks").count() == 2 and engine.context(session, level="sessions").first()["turn_count"] == 2
     with pytest.raises(api.InvalidRequest):
         engine.context(session, require_complete=True)
