@@ -7,11 +7,13 @@ densification.  Runs of bins make band keys; documents that share a key meet in
 bucket.  Within a bucket every member is tied to one hub, so a bucket of m documents
 gives m - 1 candidate pairs.  Candidates are confirmed on the full sets.
 
-Equal sets are merged before anything is paired.  Candidates come in three rounds:
-each document with the best of its hubs; then with its other hubs, if it isn't tied
-to them yet; then with members of its buckets that belong to other components, which
-are few.  So no link between documents that share a bucket is lost, and a group of
-copies is not expanded into its pairs.
+Equal sets are merged before anything is paired.  Candidates come in three rounds.
+Each document meets the best of its hubs.  Documents whose hubs are in one component
+are a family; where one has several components, each member meets the family's middle,
+the one nearest to the shingles that most have.  Members that the middle does not tie
+are then joined with others by what both have beyond those shingles, or lack of them.
+So no link between documents that share a bucket is lost, and a group of copies is not
+expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import discard, stash, table
+from .memory import settle
+from .tables import Scratch, bound_batches, release, stash, table
 from .words import mix, windows, word_hashes
 
 SHINGLE_WORDS = 2
@@ -104,6 +107,7 @@ def signatures(docs: DataFrame, words: int, percent: int, bands: int = BANDS, ro
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), flat], ["doc_id", "n_shingles", "d1", "d2", "keys"])
+        settle()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
@@ -113,6 +117,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             sets = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "s"])
+        settle()
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, s binary")
 
@@ -133,12 +138,97 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = int((p[at] == q).sum())
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        settle()
 
     with_a = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
     with_both = with_a.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     return with_both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _cores(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(family, core): the shingles that more than half of a family has, judged by 64 of its members at most."""
+    some = members.groupBy("family", F.pmod(F.xxhash64("rep"), F.lit(64))).agg(F.min("rep").alias("id")).select("family", "id").join(sets, "id")
+
+    def vote(rows: pa.Table) -> pa.Table:
+        found = [np.frombuffer(x.as_buffer(), _U) for x in rows.column("s").combine_chunks()]
+        values, counts = np.unique(np.concatenate(found), return_counts=True)
+        core = values[2 * counts > len(found)]
+        return pa.table({"family": pa.array([rows.column("family")[0].as_py()], pa.int64()), "core": pa.array([core.tobytes()], pa.binary())})
+
+    return some.select("family", "s").groupBy("family").applyInArrow(vote, "family long, core binary")
+
+
+def _against_core(members: DataFrame, cores: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (family, rep, c) with sizes n of their set, x of what it has of the core, nc of the core, and the shingles beyond the core and missing of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate([*arrays, np.empty(0, _U)]).view(np.int64)))
+
+        for batch in batches:
+            pairs = [(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(batch.column(3), batch.column(4), strict=True)]
+            beyond = [r[~np.isin(r, core, assume_unique=True)] for core, r in pairs]
+            missing = [core[~np.isin(core, r, assume_unique=True)] for core, r in pairs]
+            sizes = [pa.array([f(k) for k in range(len(pairs))], pa.int64()) for f in (lambda k: len(pairs[k][1]), lambda k: len(pairs[k][1]) - len(beyond[k]), lambda k: len(pairs[k][0]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *sizes, lists(beyond), lists(missing)], ["family", "rep", "c", "n", "x", "nc", "beyond", "missing"])
+        settle()
+
+    both = members.join(cores, "family").join(sets.withColumnRenamed("id", "rep"), "rep").select("family", "rep", "c", "core", "s")
+    return both.mapInArrow(run, "family long, rep long, c long, n long, x long, nc long, beyond array<long>, missing array<long>")
+
+
+_PARTS = ("n", "x", "beyond", "missing")
+
+
+def _linked(percent: int) -> Column:
+    """Whether two members of a family are linked: what they share is counted in full, core by what both lack of it, and beyond it."""
+    both = F.col("x_a") + F.col("x_b") - F.col("nc") + F.size(F.array_intersect("missing_a", "missing_b")) + F.size(F.array_intersect("beyond_a", "beyond_b"))
+    return 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
+
+
+def _confirm_beyond(pairs: DataFrame, against: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) for the pairs (family, a, b), without moving what their cores hold."""
+    side = lambda k: against.select("family", F.col("rep").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in _PARTS), *(["nc"] if k == "a" else []))
+    return pairs.join(side("a"), ["family", "a"]).join(side("b"), ["family", "b"]).select("a", "b", _linked(percent).alias("linked"))
+
+
+def _across(against: DataFrame, percent: int, scratch: Scratch, rows: int) -> DataFrame:
+    """Pairs of one family in different components that may be linked, after all were compared with the middle of the family.
+
+    With m = nc - x, two sets a and b share  x_a + x_b - nc  shingles at least, those that
+    both have beyond the core and those that both miss of it more.  A link needs that sum
+    to reach  p / (1 + p) * (n_a + n_b).  Where the first term alone does, each is linked
+    to the middle too, as that is nearest to the core.  So a pair must share something
+    beyond the core, or miss the same of it.  Either is found by joining short lists:
+    of features in one order, rarest first, as many as can't all be unshared by a pair
+    that shares enough.  Beyond the core, a set shares p * n - x with a link at least.
+    """
+    side = ["rep", "c", "n", "x", "strange"]
+    renamed = lambda df, k: df.withColumnsRenamed({c: f"{c}_{k}" for c in side})
+    apart = "c_a != c_b AND (NOT strange_b OR rep_a < rep_b)"
+    reach = f"{100 + percent} * ({{}}) >= {percent} * (n_a + n_b)"
+    feature = against.select("family", *side, F.size("beyond").alias("size"), F.explode("beyond").alias("shingle"))
+    often = feature.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("often"), F.bool_or("strange").alias("used")).filter("often > 1 AND used").drop("used")
+    often = scratch.stash(often, "shared-features")
+    mine = Window.partitionBy("family", "rep")
+    place = F.row_number().over(mine.orderBy("often", "shingle")) + F.col("size") - F.count(F.lit(1)).over(mine)  # what none shares is rarest
+    keep = F.expr(f"size - greatest(1, -((-({percent} * n - 100 * x)) div 100)) + 1")
+    listed = feature.join(often, ["family", "shingle"]).withColumn("place", place).filter(F.col("place") <= keep).drop("often", "place", "size")
+    listed = scratch.stash(listed, "listed-features")
+    beyond = renamed(listed.filter("strange"), "a").join(renamed(listed, "b"), ["family", "shingle"]).filter(apart)
+    beyond = beyond.filter(reach.format("least(x_a, x_b) + least(n_a - x_a, n_b - x_b)"))
+    one, two = renamed(against.filter("strange"), "a"), renamed(against, "b")
+    able = one.filter(f"100 * x_a >= {percent} * n_a")
+    least = able.groupBy("family").agg(F.min(F.expr(f"{percent} * n_a - {100 + percent} * x_a")).alias("least"))
+    least = scratch.stash(least, "least-needs", rows)
+    wanted = F.expr(f"greatest(1, -((-({percent} * n_b - {100 + percent} * (x_b - nc) + least)) div {100 + percent}))")
+    lacks = two.join(least, "family").withColumn("wanted", wanted)
+    lacks = lacks.withColumn("shingle", F.explode(F.expr("slice(missing, 1, greatest(0, int(size(missing) - wanted + 1)))"))).drop("beyond", "missing", "nc", "least", "wanted")
+    missed = able.withColumn("shingle", F.explode("missing")).drop("beyond", "missing", "nc").join(lacks, ["family", "shingle"]).filter(apart).filter(reach.format("least(x_a, x_b)"))
+    pair = ["family", F.col("rep_a").alias("a"), F.col("rep_b").alias("b")]
+    return beyond.select(*pair).unionByName(missed.select(*pair)).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -148,50 +238,67 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     Bands of 4 bins in 128 miss a pair at a similarity of 0.8 once in about 2e7.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
+    scratch = Scratch(spark)
     signed, _ = stash(signatures(docs, words, percent, bands, rows), "signatures")
     classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes, _ = stash(classes, "classes")
+    classes = scratch.stash(classes, "classes")
 
     # Buckets of more than one set, each with its hub.
-    rare = signed.filter(F.size("keys") > 0).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    keyed = rare.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    order = F.struct(F.xxhash64("rep"), F.col("rep"))
-    hubs = keyed.groupBy("key").agg(F.min(order).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hubs, hubs_at = stash(hubs.select("key", "hub"), "hubs")
-    mates, _ = stash(keyed.join(hubs, "key").select("key", "hub", "rep"), "mates")
-    discard(spark, hubs_at)
-
-    # Round 1: the best hub of each; the sets of all that have mates.
-    sets, _ = stash(_sets(docs.join(mates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words).distinct(), "sets")
-    best = mates.groupBy("rep").agg(F.min("hub").alias("hub")).filter("hub.rep != rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
-    first, _ = stash(_confirm(best, sets, percent), "round-1")
-
-    # Round 2: the other hubs of those that the first one did not tie to them.
-    tied = first.filter("linked").select(F.col("b").alias("node"), F.col("a").alias("root"))
-    stars = mates.filter("hub.rep != rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    stars = stars.join(tied.withColumnsRenamed({"node": "a", "root": "root_a"}), "a", "left").join(tied.withColumnsRenamed({"node": "b", "root": "root_b"}), "b", "left")
-    stars = stars.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    second, _ = stash(_confirm(stars, sets, percent), "round-2")
-    done = first.unionByName(second)
-    links = done.filter("linked").select("a", "b")
-    labels, _ = stash(components(links), "labels-1")
-
-    # Round 3: members of one bucket that are in different components still.
-    member = mates.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    member, _ = stash(member, "members")
-    mixed, _ = stash(member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key"), "mixed")
-    member = member.join(mixed, "key")
-    left, right = member.withColumnsRenamed({"rep": "a", "component": "ca"}), member.withColumnsRenamed({"rep": "b", "component": "cb"})
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    tried = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    third, _ = stash(_confirm(across.join(tried, ["a", "b"], "left_anti"), sets, percent), "round-3")
+    rare = signed.filter(F.size("keys") > 0).join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    keyed = rare.select(F.struct(F.xxhash64("doc_id").alias("x"), F.col("doc_id").alias("rep")).alias("place"), F.explode("keys").alias("key"))
+    hubs = scratch.stash(keyed.groupBy("key").agg(F.min("place").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub"), "hubs")
+    mates = scratch.stash(keyed.join(hubs, "key").select("hub", F.col("place.rep").alias("rep")).filter("hub.rep != rep").distinct(), "mates")
+    met = mates.count()
+    release(spark)
+
+    # Round 1: the best hub of each.
+    # Joined alike at every size: texts are dealt once by id and not sorted.
+    needed = mates.select(F.col("rep").alias("doc_id")).unionByName(mates.select(F.col("hub.rep").alias("doc_id"))).distinct()
+    sets = scratch.stash(_sets(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), words).distinct(), "sets")
+    release(spark)
+    best = mates.groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
+    first = scratch.stash(_confirm(best, sets, percent), "round-1")
+    release(spark)
+    links = first.filter("linked").select("a", "b")
+    labels = scratch.stash(components(links), "labels-1", 2 * met)
+    release(spark)
+
+    # Round 2: the members of the hubs of one component, where they are in several: each with the middle of them.
+    hub_label = labels.withColumnsRenamed({"node": "hub", "component": "family"})
+    family = mates.select(F.col("hub.rep").alias("hub"), "rep").join(hub_label, "hub", "left").withColumn("family", F.coalesce("family", "hub"))
+    family = family.select("family", "rep").unionByName(family.select("family", F.col("hub").alias("rep"))).distinct()
+    member = family.join(labels.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    uneasy = scratch.stash(member.groupBy("family").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x != y").select("family"), "uneasy-families", 2 * met)
+    member = scratch.stash(member.join(uneasy, "family"), "members")
+    cores = scratch.stash(_cores(member, sets), "cores")
+    against = scratch.stash(_against_core(member, cores, sets), "against-cores")
+    release(spark)
+    away = F.expr(f"{percent} * n - {100 + percent} * x")
+    middle = scratch.stash(against.groupBy("family").agg(F.min(F.struct(away.alias("away"), "rep")).alias("m")).select("family", F.col("m.rep").alias("middle")), "middles", 2 * met)
+    at = middle.join(labels.withColumnsRenamed({"node": "middle", "component": "cm"}), "middle", "left").select("family", "middle", F.coalesce("cm", "middle").alias("cm"))
+    of_middle = against.join(at, [against["family"] == at["family"], F.col("rep") == F.col("middle")]).select(against["family"], F.col("rep").alias("b"), F.col("cm").alias("cb"), *(F.col(c).alias(f"{c}_b") for c in _PARTS))
+    spokes = against.join(of_middle, "family").filter("rep != b AND c != cb").select(F.col("rep").alias("a"), "b", "nc", *(F.col(c).alias(f"{c}_a") for c in _PARTS), *(f"{c}_b" for c in _PARTS))
+    second = scratch.stash(spokes.select("a", "b", _linked(percent).alias("linked")), "round-2")
+    links = links.unionByName(second.filter("linked").select("a", "b"))
+    labels = scratch.stash(components(links), "labels-2", 2 * met)
+    release(spark)
+
+    # Round 3: members that the middle does not tie, with others of their family in other components.
+    named = labels.withColumnsRenamed({"node": "rep", "component": "now"})
+    against = against.join(named, "rep", "left").withColumn("c", F.coalesce("now", "rep")).drop("now")
+    home = scratch.stash(middle.join(labels.withColumnsRenamed({"node": "middle", "component": "home"}), "middle", "left").select("family", F.coalesce("home", "middle").alias("home")), "homes", 2 * met)
+    against = scratch.stash(against.join(home, "family").withColumn("strange", F.col("c") != F.col("home")).drop("home"), "against-middles")
+    strange = scratch.stash(against.filter("strange").select("family").distinct(), "strange-families", 2 * met)
+    third = scratch.stash(_confirm_beyond(_across(against.join(strange, "family"), percent, scratch, 2 * met), against, percent), "round-3")
     new = third.filter("linked").select("a", "b")
     if not new.isEmpty():
-        labels, _ = stash(components(links.unionByName(new)), "labels-2")
+        labels = scratch.stash(components(links.unionByName(new)), "labels-3", 2 * met)
+    release(spark)
 
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     of_class, _ = stash(of_class, "class-labels")
+    scratch.clear()
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
