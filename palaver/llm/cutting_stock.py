@@ -37,15 +37,12 @@ def _best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple
 
 
 def linear_program(demand: np.ndarray, sizes: np.ndarray, capacity: int, max_steps: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns as columns, bins of each): least bins, fractions allowed, that hold the demand.  Each step keeps a feasible solution, so stopping at ``max_steps`` only costs bins."""
+    """(patterns as columns, bins of each): least bins, fractions allowed, that hold the demand.  Each step keeps a feasible solution, so stopping at ``max_steps`` only costs bins, and so do rounding errors: what is packed is counted again from the whole patterns."""
     m = len(sizes)
     patterns = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1 / np.diag(patterns))
     bins = inverse @ demand
-    for step in range(max_steps):
-        if step % 100 == 99:  # rounding errors of the updates must not add up
-            inverse = np.linalg.inv(patterns)
-            bins = np.maximum(inverse @ demand, 0)
+    for _ in range(max_steps):
         prices = inverse.sum(0)
         worth, column = _best_pattern(np.maximum(prices, 0), sizes, capacity)
         if worth <= 1 + 1e-7:
