@@ -4,9 +4,11 @@ A text is cut into sentences, and long sentences into clauses at marks and at wo
 chosen by their hash, so that a passage is cut alike wherever it stands.  Every run of
 several consecutive pieces, the shortest of at least ``MIN_RUN_WORDS`` words from each
 piece on, is hashed.  Runs are joined over all documents by their hash; pieces that lie
-in a run whose first occurrence is elsewhere are removed.
+in a run whose first occurrence is elsewhere, in another document or before it in its
+own, are removed.
 
-The first occurrence is the one in the smallest doc_id, and there the first.  Two
+The first occurrence is the one in the smallest doc_id, and there the first.  It stays
+whole where later ones overlap it: of those, what lies beyond its end is removed.  Two
 passes over the texts emit the runs, one for the table of repeated hashes and one for
 the places to look up in it, so only hashes and places move between tasks.
 """
@@ -31,14 +33,15 @@ CUT_EVERY = 8
 _ENDS = table_of(b".!?,;:")
 
 
-def runs(text: str | None, min_words: int = MIN_RUN_WORDS, min_pieces: int = MIN_RUN_PIECES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of the run from each piece on; places are code points.  A hash occurs once, at its first place in the text.
+def places(text: str | None, min_words: int = MIN_RUN_WORDS, min_pieces: int = MIN_RUN_PIECES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, again) of the run from each piece on; places are code points, ``again`` says that the hash has an earlier place in the text.
 
-    Words are compared in lower case (A-Z), white space is not compared.
+    Words are compared in lower case (A-Z), white space is not compared.  A place that
+    overlaps the first of its hash begins where that one ends, which so stays whole.
     """
     words = scan_words((text or "").encode("utf-8", "surrogatepass").lower(), _ENDS)
     n = len(words.hashes)
-    empty = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    empty = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     if n < min_words:
         return empty
     ends = words.marked | words.newline_after | (words.hashes % np.uint64(CUT_EVERY) == 0)
@@ -50,27 +53,43 @@ def runs(text: str | None, min_words: int = MIN_RUN_WORDS, min_pieces: int = MIN
     starts, stops = starts[whole], stops[last[whole]]
     if not len(starts):
         return empty
-    hashes, first = np.unique(sequence_hashes(words.hashes, starts, stops), return_index=True)
-    return hashes, words.start_points[starts[first]], words.end_points[stops[first] - 1]
+    hashes = sequence_hashes(words.hashes, starts, stops)
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    again = first[of] < np.arange(len(hashes))
+    starts = np.where(again, np.maximum(starts, stops[first[of]]), starts)
+    return hashes, words.start_points[starts], words.end_points[stops - 1], again
 
 
-def _emit(places: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes, start, end = runs(text.as_py())
-                if doc_id is None or not len(hashes):
-                    continue
-                columns = [pa.array(hashes.view(np.int64)), pa.array(np.full(len(hashes), doc_id, np.int64))]
-                if places:
-                    columns += [pa.array(start), pa.array(end)]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "start", "stop"][: len(columns)])
+def runs(text: str | None, min_words: int = MIN_RUN_WORDS, min_pieces: int = MIN_RUN_PIECES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of ``places``, each hash at its first place alone."""
+    hashes, start, end, again = places(text, min_words, min_pieces)
+    return hashes[~again], start[~again], end[~again]
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each hash of a text once, and whether it has more places there."""
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            hashes, _, _, again = places(text.as_py())
+            if doc_id is None or not len(hashes):
+                continue
+            once = hashes[~again]
+            more = np.isin(once, hashes[again])
+            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(np.full(len(once), doc_id, np.int64)), pa.array(more)], ["h", "doc_id", "more"])
+
 
-    return run
+def _all_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            hashes, start, end, again = places(text.as_py())
+            if doc_id is None or not len(hashes):
+                continue
+            columns = [pa.array(hashes.view(np.int64)), pa.array(np.full(len(hashes), doc_id, np.int64)), pa.array(start), pa.array(end), pa.array(again)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "start", "stop", "again"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """The passages to remove: doc_id, span_start, span_end (code points, end exclusive), first_doc_id (the smallest that has a part of it).
+    """The passages to remove: doc_id, span_start, span_end (code points, end exclusive), first_doc_id (the smallest that has a part of it; its own where the passage stands earlier in the document).
 
     Null texts and texts of fewer words have none; rows without a doc_id are left out;
     rows that repeat a doc_id count as one document and don't repeat each other; other
@@ -78,10 +97,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    known = texts.mapInArrow(_emit(False), "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-    known, _ = stash(known.filter("first_doc_id < last").select("h", "first_doc_id"), "repeated-runs")
-    places = texts.mapInArrow(_emit(True), "h long, doc_id long, start long, stop long")
-    hits, _ = stash(places.join(known, "h").filter("doc_id > first_doc_id").select("doc_id", "start", "stop", "first_doc_id"), "hits")
+    known = texts.mapInArrow(_firsts, "h long, doc_id long, more boolean").groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.bool_or("more").alias("more"))
+    known, _ = stash(known.filter("first_doc_id < last OR more").select("h", "first_doc_id"), "repeated-runs")
+    found = texts.mapInArrow(_all_places, "h long, doc_id long, start long, stop long, again boolean")
+    hits, _ = stash(found.join(known, "h").filter("doc_id > first_doc_id OR again").select("doc_id", "start", "stop", "first_doc_id"), "hits")
     # Overlapping and touching runs of one document make one span.
     by_doc = Window.partitionBy("doc_id").orderBy("start", "stop")
     reach = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))

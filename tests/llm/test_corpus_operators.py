@@ -289,6 +289,26 @@ def test_spans(docs, rows, nothing):
     assert len(clean) == len(rows) and clean[0] is None and clean[9] == text[9]
 
 
+def test_spans_repeated_inside_a_document(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    say = lambda n: " ".join(" ".join(word() for _ in range(4)) + "." for _ in range(n))
+    p, q = say(12), say(12)
+    own = [say(6) for _ in range(9)]
+    texts = {
+        1: [own[0], p, own[1], p, own[2]],  # again in its own document, and in a later one
+        2: [own[3], p, own[4], p, own[5], p],
+        3: [own[6], q, own[7], q, own[8]],  # in this document alone
+        4: ["Are." for _ in range(40)],  # places overlap the first: it stays whole
+    }
+    want = {1: [own[0], p, own[1], own[2]], 2: own[3:6], 3: [own[6], q, own[7], own[8]], 4: ["Are."] * 16}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    got = {d: t.split() for d, t in spans.remove_repeats(df).collect()}
+    assert got == {d: " ".join(t).split() for d, t in want.items()}
+    found = {(x["doc_id"], x["first_doc_id"]) for x in spans.repeated_spans(df).collect()}
+    assert found == {(1, 1), (2, 1), (3, 3), (4, 4)}
+
+
 def test_passages_of_fifty_words_are_found():
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randrange(2, 9))) + r.choice(["", "", "", "", ".", ","])
