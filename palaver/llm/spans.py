@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences, and long sentences into clauses at marks and at words
-chosen by their hash, so that a passage is cut alike wherever it stands.  Every run of
+chosen by their hash, the least of every ``CUT_WITHIN`` words in which none is marked
+(winnowing), so that a passage is cut alike wherever it stands.  Every run of
 several consecutive pieces, the shortest of at least ``MIN_RUN_WORDS`` words from each
 piece on, is hashed.  Runs are joined over all documents by their hash; pieces that lie
 in a run whose first occurrence is elsewhere, in another document or before it in its
@@ -27,16 +28,36 @@ from .words import scan_words, sequence_hashes, table_of
 
 MIN_RUN_WORDS = 16
 MIN_RUN_PIECES = 2
-#: One word in so many ends a clause by its hash.
-CUT_EVERY = 8
+#: Of so many consecutive words, one ends a clause at least.
+CUT_WITHIN = 8
 
 _ENDS = table_of(b".!?,;:")
 
 
+def _over(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
+    """``f`` over each ``n`` consecutive values."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        x = f(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def least_in_windows(x: np.ndarray, n: int) -> np.ndarray:
+    """Which values are the least, or equal to it, of some ``n`` consecutive ones."""
+    n = min(n, len(x))
+    beyond = np.zeros(max(n - 1, 0), x.dtype)
+    return _over(np.concatenate([beyond, _over(x, n, np.minimum), beyond]), n, np.maximum) == x
+
+
 def places(text: str | None, min_words: int = MIN_RUN_WORDS, min_pieces: int = MIN_RUN_PIECES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, again) of the run from each piece on; places are code points, ``again`` says that the hash has an earlier place in the text.
 
-    Words are compared in lower case (A-Z), white space is not compared.  A place that
+    Words are compared in lower case (A-Z), white space is not compared, but a line's end
+    is a cut.  Where the line ends are alike, a passage of 38 words gives a run that does not
+    depend on what stands around it: it begins behind the cut of the first 8 words and ends
+    at the first cut 16 words on, before the last 8 words, where cuts could differ.  A place that
     overlaps the first of its hash begins where that one ends, which so stays whole.
     """
     words = scan_words((text or "").encode("utf-8", "surrogatepass").lower(), _ENDS)
@@ -44,7 +65,8 @@ def places(text: str | None, min_words: int = MIN_RUN_WORDS, min_pieces: int = M
     empty = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     if n < min_words:
         return empty
-    ends = words.marked | words.newline_after | (words.hashes % np.uint64(CUT_EVERY) == 0)
+    # A marked word is less than any other, so each is chosen.
+    ends = least_in_windows(np.where(words.marked, np.uint64(0), words.hashes), CUT_WITHIN) | words.newline_after
     ends[-1] = True
     stops = np.flatnonzero(ends) + 1  # one past the last word of each piece
     starts = np.concatenate([[0], stops[:-1]])
@@ -88,9 +110,12 @@ def _all_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "start", "stop", "again"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, within: bool = False) -> DataFrame:
     """The passages to remove: doc_id, span_start, span_end (code points, end exclusive), first_doc_id (the smallest that has a part of it; its own where the passage stands earlier in the document).
 
+    With ``within``, as the query and ``remove_repeats`` ask, repeats inside one document
+    count too; without, only those whose first occurrence is in a smaller doc_id.
+
     Null texts and texts of fewer words have none; rows without a doc_id are left out;
     rows that repeat a doc_id count as one document and don't repeat each other; other
     columns are not read.  Two different runs share a hash once in 2^64 pairs.
@@ -98,9 +123,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     known = texts.mapInArrow(_firsts, "h long, doc_id long, more boolean").groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.bool_or("more").alias("more"))
-    known, _ = stash(known.filter("first_doc_id < last OR more").select("h", "first_doc_id"), "repeated-runs")
+    known, _ = stash(known.filter("first_doc_id < last OR more" if within else "first_doc_id < last").select("h", "first_doc_id"), "repeated-runs")
     found = texts.mapInArrow(_all_places, "h long, doc_id long, start long, stop long, again boolean")
-    hits, _ = stash(found.join(known, "h").filter("doc_id > first_doc_id OR again").select("doc_id", "start", "stop", "first_doc_id"), "hits")
+    hits, _ = stash(found.join(known, "h").filter("doc_id > first_doc_id OR again" if within else "doc_id > first_doc_id").select("doc_id", "start", "stop", "first_doc_id"), "hits")
     # Overlapping and touching runs of one document make one span.
     by_doc = Window.partitionBy("doc_id").orderBy("start", "stop")
     reach = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
@@ -112,7 +137,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages of ``repeated_spans`` in ``text``; all other columns stay, so does white space around a passage."""
-    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("_spans"))
+    spans = repeated_spans(docs, within=True).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("_spans"))
     joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     place = joined.columns.index("text")
 
@@ -130,4 +155,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    return repeated_spans(table(spark, sf_dir, "documents"), within=True)

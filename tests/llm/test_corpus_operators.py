@@ -305,7 +305,7 @@ def test_spans_repeated_inside_a_document(spark):
     df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
     got = {d: t.split() for d, t in spans.remove_repeats(df).collect()}
     assert got == {d: " ".join(t).split() for d, t in want.items()}
-    found = {(x["doc_id"], x["first_doc_id"]) for x in spans.repeated_spans(df).collect()}
+    found = {(x["doc_id"], x["first_doc_id"]) for x in spans.repeated_spans(df, within=True).collect()}
     assert found == {(1, 1), (2, 1), (3, 3), (4, 4)}
 
 
@@ -320,6 +320,21 @@ def test_passages_of_fifty_words_are_found():
     assert missed <= 3
 
 
+def test_passages_without_marks_are_found():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randrange(2, 9)))
+    for _ in range(400):
+        p = [word() for _ in range(38)]
+        a, b = ([word() for _ in range(80)] for _ in range(2))
+        assert set(spans.runs(" ".join(a[:40] + p + a[40:]))[0].tolist()) & set(spans.runs(" ".join(b[:20] + p + b[20:]))[0].tolist())
+    few = [w for w in (word() for _ in range(40)) if words.word_hashes(w.encode())[0] % np.uint64(8)][:3]
+    assert len(spans.runs(" ".join(few * 20))[0])  # few word types, none of them an end by its hash alone
+    x = np.array([r.randrange(9) for _ in range(60)], np.uint64)
+    for n in (1, 2, 5, 8, 60, 61):
+        least = [any(x[k] == x[a : a + n].min() for a in range(max(0, k - n + 1), min(k, max(len(x) - n, 0)) + 1)) for k in range(len(x))]
+        assert spans.least_in_windows(x, n).tolist() == least
+
+
 # --- 6 --------------------------------------------------------------------------------
 
 
