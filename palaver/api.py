@@ -103,15 +103,15 @@ class Engine:
         return ranking.union_of_corpora(*hits)
 
     def session_corpus(self, q: Search | None = None) -> DataFrame:
-        """(session_id, text): what a session is found by, its provider's id, folder and first request."""
+        """(session_id, text): what a session is found by, its provider's id, folder and whole first request, of which search sees as much as of any text."""
         claims = self.store.resume_claims.groupBy("session_id").agg(F.min("provider_session_id").alias("native"), F.min("cwd").alias("cwd"), F.min("provider_id").alias("provider_id"))
-        first = sessions.peek(sessions.occurrences(self.store)).select("session_id", "first_user_text")
+        first = sessions.first_request(sessions.occurrences(self.store))
         told = self.store.sessions.join(claims, "session_id", "left").join(first, "session_id", "left")
         if q and q.providers:
             told = told.filter(F.col("provider_id").isin(*filters.canonical_providers(q.providers)))
         if q and q.repo:
             told = told.filter(F.col("repo_slug") == q.repo)
-        return told.select("session_id", F.concat_ws(" ", "native", "cwd", "first_user_text").alias("text"))
+        return told.select("session_id", F.concat_ws(" ", "native", "cwd", "first_request").alias("text"))
 
     def _semantic(self, q: Search, k: int) -> DataFrame:
         if self.vectors is None:

@@ -67,11 +67,19 @@ def talks(placed: DataFrame) -> DataFrame:
     return numbered.filter("talk > 0").groupBy("session_id", "talk").agg(F.max(F.when(F.col("role") == "user", F.col("message_id"))).alias("user_message"), replies.alias("replies"))
 
 
+def _said(placed: DataFrame) -> DataFrame:
+    return placed.filter("role = 'user'").withColumn("t", F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))).filter("t != ''")
+
+
+def first_request(placed: DataFrame) -> DataFrame:
+    """First user text of each session, trimmed and whole; blank texts don't count."""
+    return _said(placed).groupBy("session_id").agg(F.min_by("t", F.struct("document_id", "ordinal")).alias("first_request"))
+
+
 def peek(placed: DataFrame) -> DataFrame:
     """First and last user text of each session, trimmed and cut; blank texts don't count."""
-    said = placed.filter("role = 'user'").withColumn("t", F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))).filter("t != ''")
     at = F.struct("document_id", "ordinal")
-    cut = said.groupBy("session_id").agg(F.substring(F.min_by("t", at), 1, PEEK_CHARS).alias("first_user_text"), F.substring(F.max_by("t", at), 1, PEEK_CHARS).alias("last_user_text"))
+    cut = _said(placed).groupBy("session_id").agg(F.substring(F.min_by("t", at), 1, PEEK_CHARS).alias("first_user_text"), F.substring(F.max_by("t", at), 1, PEEK_CHARS).alias("last_user_text"))
     return fit_peek(cut)
 
 

@@ -78,6 +78,20 @@ def rrf_union(spark, sf_dir):
     return ranking.page(ranking.union_of_corpora(documents, convs).withColumn("score", F.round("score", 9)), 0, 60)
 
 
+@query(r""", said AS (SELECT session_id, (list({'t': text} ORDER BY document_id, ordinal) FILTER (regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''))[1].t AS first FROM placed WHERE role = 'user' GROUP BY session_id
+), told AS (SELECT s.session_id, substr(concat_ws(' ', c.provider_session_id, c.cwd, trim(regexp_replace(a.first, '^\s+|\s+$', '', 'g'))), 1, 16000) AS text FROM sessions s LEFT JOIN resume_claims c USING (session_id) LEFT JOIN said a USING (session_id)
+), st AS (SELECT session_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM told
+), sc AS (SELECT session_id, len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS tf FROM st
+), ss AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (tf > 0) AS df FROM sc)
+SELECT session_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS bm25 FROM sc, ss WHERE tf > 0""")
+def session_corpus_search(spark, sf_dir):
+    """Sessions found by provider's id, folder and whole first request."""
+    from palaver.api import Engine
+
+    told = Engine(spark, store(spark, sf_dir), now_ms=NOW_MS).session_corpus()
+    return lexical.scan_search(told, "session_id", "text", "the").select(F.col("id").alias("session_id"), F.round("bm25", 6).alias("bm25"))
+
+
 _MESSAGE_HITS = r""", mt AS (
   SELECT message_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM messages
 ), mc AS (SELECT message_id, len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS tf FROM mt

@@ -112,6 +112,17 @@ def test_budget_is_a_prefix(spark):
     assert [(r["id"], r["reason"]) for r in kept] == [("a", "max_bytes")]
 
 
+def test_sessions_are_found_by_the_whole_first_request(spark):
+    from palaver.api import Engine, Search
+
+    placed = [(f"plc_v1_{k}", "ses_v1_a", "doc_v1_a", f"msg_v1_{k}", k, False, None, None) for k in range(3)]
+    said = [("msg_v1_0", "user", " \n", None, None, None, "p"), ("msg_v1_1", "user", "word " * 80 + "needle", None, None, None, "p"), ("msg_v1_2", "user", "other", None, None, None, "p")]
+    s = make(spark, placements=placed, messages=said, sessions=[("ses_v1_a", None, None)])
+    engine = Engine(spark, s, now_ms=0)
+    assert {h["id"] for h in engine.search(Search("needle")).collect()} == {"msg_v1_1", "ses_v1_a"}
+    assert {h["id"] for h in engine.search(Search("other")).collect()} == {"msg_v1_2"}
+
+
 def test_peek_fits(spark):
     rows = [("s", "😀" * 190, "é" * 190), ("t", "a", "b")]
     df = spark.createDataFrame(rows, "session_id string, first_user_text string, last_user_text string")
