@@ -532,6 +532,23 @@ def han_bigrams(spark, sf_dir):
     return rows.select("id", text.index_text(F.col("t")).alias("spread"))
 
 
+_HAN = text.HAN
+_HAN_RULES = (("\n", "日本語"), ("of", "字𠀀"), ("th", "漢"))
+
+
+@query("WITH p AS (SELECT doc_id, replace(replace(replace(text, chr(10), '日本語'), 'of', '字𠀀'), 'th', '漢') AS t FROM documents" + f"""
+), r AS (SELECT doc_id, t, regexp_extract_all(t, '[{_HAN}]+|[^{_HAN}]+') AS runs FROM p)
+SELECT doc_id, CASE WHEN regexp_matches(t, '[{_HAN}]') THEN array_to_string(list_filter(list_transform(runs, lambda r: CASE WHEN regexp_matches(r, '^[{_HAN}]')
+  THEN array_to_string(list_concat(list_transform(range(1, length(r) + 1), lambda i: r[i:i]), list_transform(range(1, length(r)), lambda i: r[i:i + 1])), ' ')
+  ELSE trim(r) END), lambda s: s <> ''), ' ') ELSE t END AS spread FROM r""", False)
+def han_bigrams_documents(spark, sf_dir):
+    """All documents, with Han text composed by rule."""
+    planted = F.col("text")
+    for old, new in _HAN_RULES:
+        planted = F.replace(planted, F.lit(old), F.lit(new))
+    return table(spark, sf_dir, "documents").select("doc_id", text.index_text(planted).alias("spread"))
+
+
 @query("SELECT event_id, floor(epoch(ts))::BIGINT AS sec, (extract('microseconds' FROM ts)::BIGINT % 1000000 * 1000)::INT AS nanos FROM events", False)
 def search_instants(spark, sf_dir):
     events = table(spark, sf_dir, "events")

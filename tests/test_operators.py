@@ -165,6 +165,24 @@ def rows_of(df):
     return sorted(map(repr, out))
 
 
+def test_han_spreads_over_all_documents(spark):
+    import re
+
+    han = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f"
+
+    def spread(t):
+        if not re.search(f"[{han}]", t):
+            return t
+        runs = re.findall(f"[{han}]+|[^{han}]+", t)
+        return " ".join(x for r in runs if (x := " ".join([*r, *map("".join, zip(r, r[1:], strict=False))]) if re.match(f"[{han}]", r) else r.strip(" ")))
+
+    want = {}
+    for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall():
+        want[d] = t and spread(t.replace("\n", "日本語").replace("of", "字𠀀").replace("th", "漢"))
+    got = dict(catalog.QUERIES["han_bigrams_documents"](spark, SF).collect())
+    assert got == want and sum("日 本 語" in (t or "") for t in got.values()) > 100
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
