@@ -14,6 +14,8 @@ HALF_LIFE_DAYS = 30
 RANK_WINDOW = 512
 GROUP_FACTOR = 16
 MAX_FETCH = 1 << 20
+#: Keys whose other bits are alike form a block of a running total.
+BLOCK_BITS = 13
 
 
 def ranked(hits: DataFrame, score: str, id_col: str = "id", limit: int = RANK_WINDOW) -> DataFrame:
@@ -95,3 +97,33 @@ def running_budget(items: DataFrame, order: list[Column], cost: str, limit: int,
     """The longest prefix whose costs sum to at most ``limit``: after the first item that does not fit, none is taken."""
     window = Window.partitionBy(*(partition or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return items.withColumn("running", F.sum(cost).over(window)).filter(F.col("running") <= limit)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
+
+def _sums_before(blocks: DataFrame, bits: int) -> DataFrame:
+    """Blocks (block, total), each once, with ``before``, the sum of all smaller ones, null if there is none; null blocks come last."""
+    order = Window.orderBy(F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    if bits <= BLOCK_BITS:  # so few numbers are left
+        return blocks.withColumn("before", F.sum("total").over(order))
+    upper = F.shiftright("block", BLOCK_BITS)
+    above = blocks.groupBy(upper.alias("upper")).agg(F.sum("total").alias("total"))
+    above = _sums_before(above.withColumnRenamed("upper", "block"), bits - BLOCK_BITS).select(F.col("block").alias("_upper"), F.col("before").alias("_above"))
+    order = Window.partitionBy("upper").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = blocks.withColumn("upper", upper).withColumn("_inner", F.sum("total").over(order))
+    joined = inner.join(above, F.col("upper").eqNullSafe(F.col("_upper")))
+    return joined.select("block", "total", _plus(F.col("_inner"), F.col("_above")).alias("before"))
+
+
+def running_total(items: DataFrame, key: str, cost: str) -> DataFrame:
+    """``items`` with ``running``, the sum of ``cost`` up to and with their ``key``, a whole number; null keys come last.
+
+    For tables of any size: sums of blocks of keys, of blocks of blocks and so on are
+    added, so no task gets more than the rows of 2^13 keys.  Rows that share a key share
+    their sum.
+    """
+    keys = items.groupBy(F.col(key).cast("long").alias("block")).agg(F.sum(cost).alias("total"))
+    totals = _sums_before(keys, 64).select(F.col("block").alias("_key"), _plus(F.col("total"), F.col("before")).alias("running"))
+    return items.join(totals, F.col(key).cast("long").eqNullSafe(F.col("_key"))).drop("_key")

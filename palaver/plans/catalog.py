@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import instants, places, redact, snippet, text, tools, vectors
-from palaver.operators import budgets, filters, graph, lexical, merge, ranking, sessions, usage
+from palaver.operators import filters, graph, lexical, merge, ranking, sessions, usage
 from palaver.plans.canonical import EPOCH, NOW_MS, SQL, store, table
 from palaver.schema import violations
 
@@ -477,9 +477,9 @@ def jsonl_health(spark, sf_dir):
 
 @query("WITH r AS (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) AS running FROM documents) SELECT doc_id, running::BIGINT AS running FROM r WHERE running <= 20000", False)
 def budget_prefix(spark, sf_dir):
-    """A page of documents cut by a budget: as many rows as a page has go into the running sum."""
-    page = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(budgets.Budget().max_items)
-    return ranking.running_budget(page, [F.col("doc_id")], "n_chars", 20_000).select("doc_id", "running")
+    """All documents within a budget, however many they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return ranking.running_total(docs, "doc_id", "n_chars").filter("running <= 20000").select("doc_id", "running")
 
 
 # --- Windows over events (extensions) -------------------------------------------------

@@ -112,6 +112,21 @@ def test_budget_is_a_prefix(spark):
     assert [(r["id"], r["reason"]) for r in kept] == [("a", "max_bytes")]
 
 
+def test_budget_prefix_of_any_table_equals_its_sql(spark, tmp_path):
+    r = random.Random(3)
+    empty = [(k, 0) for k in range(2500)] + [(2500, 20_000), (2501, 1)]  # more rows within the budget than a page has
+    keys = [None, None, -(2**63), 2**63 - 1, -1, 0, *(r.randrange(-(10**k), 10**k) for k in range(1, 18) for _ in range(20))]
+    mixed = [(k, r.choice([None, 0, 5, 700, 3000, -2000])) for k in keys + keys[:30]]
+    for name, rows in (("empty", empty), ("mixed", mixed), ("nulls", [(1, None), (2, None), (3, 4)]), ("none", [])):
+        spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        want = con.sql(catalog.ORACLE_SQL["budget_prefix"]).fetchall()
+        got = [tuple(x) for x in catalog.QUERIES["budget_prefix"](spark, f"{tmp_path}/{name}").collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+        assert name != "empty" or len(got) == 2501
+
+
 def test_sessions_are_found_by_the_whole_first_request(spark):
     from palaver.api import Engine, Search
 
