@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import discard, stash, table
+from .tables import discard, drop_rows, stash, table
 
 BLOCK_CHARS = 4096
 _KEY = ["doc_id", "n_chars", "text_sha256"]
@@ -87,9 +87,14 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` but for those that ``exact_duplicates`` drops; rows without a doc_id stay."""
-    dropped, _ = stash(exact_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` but for those that ``exact_duplicates`` drops, with all their columns; extra ones may have any name.
+
+    Of rows equal in doc_id and text one stays.  A row leaves for its own text, so a
+    repeated doc_id does not take other texts along; rows of a repeated or null doc_id
+    are preferred to others of their length.  Null and empty texts are equal, of long ones
+    nothing is left out, and an empty table stays empty.
+    """
+    return drop_rows(docs, lambda rows: exact_duplicates(rows).filter("NOT kept").select("doc_id"))
 
 
 def op6_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import bound_batches, discard, stash, table
+from .tables import bound_batches, discard, fresh, stash, table
 from .words import SPACES
 
 #: Shorter lines, without white space around them, are left alone.
@@ -192,11 +192,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, segments: int = SEG
     Null texts have no lines, empty ones have one; lines that tie in (doc_id, line) do
     not remove each other; columns of those names are replaced.
     """
-    gone = removed_lines(docs, min_chars, segments).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
+    at, listed = fresh(docs, "_id"), fresh(docs, "_gone")
+    gone = removed_lines(docs, min_chars, segments).groupBy(F.col("doc_id").alias(at)).agg(F.array_sort(F.collect_set("line_no")).alias(listed))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
-    counted = docs.withColumn("n_lines", n).join(gone, F.col("doc_id") == F.col("_id"), "left")
-    removed = F.coalesce("_gone", F.array().cast("array<int>"))
-    return counted.withColumn("n_removed", F.size(removed).cast("long")).withColumn("removed_lines", removed).drop("_id", "_gone")
+    counted = docs.withColumn("n_lines", n).join(gone, F.col("doc_id") == F.col(at), "left")
+    removed = F.coalesce(listed, F.array().cast("array<int>"))
+    return counted.withColumn("n_removed", F.size(removed).cast("long")).withColumn("removed_lines", removed).drop(at, listed)
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, segments: int = SEGMENTS) -> DataFrame:

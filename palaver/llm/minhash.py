@@ -9,10 +9,12 @@ gives m - 1 candidate pairs.  Candidates are confirmed on the full sets.
 
 Equal sets are merged before anything is paired.  Candidates come in three rounds.
 Each document meets the best of its hubs.  Documents whose hubs are in one component
-are a family; where one has several components, each member meets the family's middle,
-the one nearest to the shingles that most have.  Members that the middle does not tie
-are then joined with others by what both have beyond those shingles, or lack of them.
-So no link between documents that share a bucket is lost, and a group of copies is not
+are a family, and families that hold mostly the same documents are one; where a family
+has several components, each member meets its middle, the one nearest to the shingles
+that most have.  Members that the middle does not tie are then joined with others by
+what sets have beyond those shingles, or lack of them: by one such feature, and where
+that would give more than ``PAIRS_A_MEMBER`` pairs a member, by several at once.  So no
+link between documents that share a bucket is lost, and a group of copies is not
 expanded into its pairs.
 """
 
@@ -23,17 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .memory import settle
-from .tables import Scratch, bound_batches, release, stash, table
+from .tables import Scratch, bound_batches, drop_rows, stash, table
 from .words import mix, windows, word_hashes
 
 SHINGLE_WORDS = 2
 PERCENT = 80
 BANDS, ROWS = 32, 4
+#: Pairs a member above which a family is joined by more features at once, and keys that a member may have for it at the mean.
+PAIRS_A_MEMBER, KEYS_A_MEMBER = 16, 1000
+LEVELS = (1, 2, 4, 6)
+#: Members of a family that one part of a join takes, and the most parts of a family.
+MEMBERS_A_SALT, MOST_SALTS = 4096, 256
 _U = np.uint64
 
 
@@ -145,97 +152,172 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _merged(members: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
+    """Members (family, rep, c) with families that have more than half of their members in a larger one, as those see it, united with it.
+
+    A document ties its families to the largest of them, so a document in m families gives m - 1 ties.
+    """
+    sizes = scratch.stash(members.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family-sizes", rows)
+    sized = members.join(sizes, "family")
+    main = sized.groupBy("rep").agg(F.max(F.struct("size", "family")).alias("main")).select("rep", F.col("main.family").alias("main"))
+    shared = sized.join(main, "rep").filter("family != main").groupBy("family", "main", "size").agg(F.count(F.lit(1)).alias("shared"))
+    ties = scratch.stash(shared.filter("2 * shared > size").select(F.col("family").alias("a"), F.col("main").alias("b")), "family-ties", rows)
+    if ties.isEmpty():
+        return members
+    united = scratch.stash(components(ties), "united-families", rows).withColumnsRenamed({"node": "family", "component": "united"})
+    return scratch.stash(members.join(united, "family", "left").select(F.coalesce("united", "family").alias("family"), "rep", "c").distinct(), "united-members")
+
+
 def _cores(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(family, core): the shingles that more than half of a family has, judged by 64 of its members at most."""
-    some = members.groupBy("family", F.pmod(F.xxhash64("rep"), F.lit(64))).agg(F.min("rep").alias("id")).select("family", "id").join(sets, "id")
+    """(family, core, salts): the shingles that more than half of a family has, judged by 64 of its members at most, and into how many parts its members are dealt."""
+    part = F.pmod(F.xxhash64("rep"), F.lit(64))
+    some = members.groupBy("family", part.alias("part")).agg(F.min("rep").alias("id"), F.count(F.lit(1)).alias("n")).join(sets, "id")
 
     def vote(rows: pa.Table) -> pa.Table:
         found = [np.frombuffer(x.as_buffer(), _U) for x in rows.column("s").combine_chunks()]
         values, counts = np.unique(np.concatenate(found), return_counts=True)
         core = values[2 * counts > len(found)]
-        return pa.table({"family": pa.array([rows.column("family")[0].as_py()], pa.int64()), "core": pa.array([core.tobytes()], pa.binary())})
+        salts = min(MOST_SALTS, 1 + sum(rows.column("n").to_pylist()) // MEMBERS_A_SALT)
+        return pa.table({"family": pa.array([rows.column("family")[0].as_py()], pa.int64()), "core": pa.array([core.tobytes()], pa.binary()), "salts": pa.array([salts], pa.int32())})
 
-    return some.select("family", "s").groupBy("family").applyInArrow(vote, "family long, core binary")
+    return some.select("family", "s", "n").groupBy("family").applyInArrow(vote, "family long, core binary, salts int")
+
+
+def _salted(families: DataFrame) -> DataFrame:
+    """A row of a family for each part that its members are dealt into."""
+    return families.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
 
 def _against_core(members: DataFrame, cores: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members (family, rep, c) with sizes n of their set, x of what it has of the core, nc of the core, and the shingles beyond the core and missing of it."""
+    """Members (family, rep, c, salt) with sizes n of their set and nc of the core, the number m of shingles missing of it, and those and the ones beyond it as ``d``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists(arrays: list[np.ndarray]) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate([*arrays, np.empty(0, _U)]).view(np.int64)))
-
         for batch in batches:
-            pairs = [(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(batch.column(3), batch.column(4), strict=True)]
-            beyond = [r[~np.isin(r, core, assume_unique=True)] for core, r in pairs]
-            missing = [core[~np.isin(core, r, assume_unique=True)] for core, r in pairs]
-            sizes = [pa.array([f(k) for k in range(len(pairs))], pa.int64()) for f in (lambda k: len(pairs[k][1]), lambda k: len(pairs[k][1]) - len(beyond[k]), lambda k: len(pairs[k][0]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *sizes, lists(beyond), lists(missing)], ["family", "rep", "c", "n", "x", "nc", "beyond", "missing"])
+            n, m, nc, differ = [], [], [], []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                core, own = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                missing = np.setdiff1d(core, own, assume_unique=True)
+                n.append(len(own))
+                m.append(len(missing))
+                nc.append(len(core))
+                differ.append(np.concatenate([missing, np.setdiff1d(own, core, assume_unique=True)]))
+            d = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, differ)]).astype(np.int32)), pa.array(np.concatenate([*differ, np.empty(0, _U)]).view(np.int64)))
+            sizes = [pa.array(v, pa.int64()) for v in (n, m, nc)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *sizes, d], ["family", "rep", "c", "salt", "n", "m", "nc", "d"])
         settle()
 
-    both = members.join(cores, "family").join(sets.withColumnRenamed("id", "rep"), "rep").select("family", "rep", "c", "core", "s")
-    return both.mapInArrow(run, "family long, rep long, c long, n long, x long, nc long, beyond array<long>, missing array<long>")
-
-
-_PARTS = ("n", "x", "beyond", "missing")
+    dealt = members.join(cores.select("family", "salts"), "family").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).drop("salts")
+    both = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").join(_salted(cores), ["family", "salt"])
+    return both.select("family", "rep", "c", "salt", "core", "s").mapInArrow(run, "family long, rep long, c long, salt int, n long, m long, nc long, d array<long>")
 
 
 def _linked(percent: int) -> Column:
-    """Whether two members of a family are linked: what they share is counted in full, core by what both lack of it, and beyond it."""
-    both = F.col("x_a") + F.col("x_b") - F.col("nc") + F.size(F.array_intersect("missing_a", "missing_b")) + F.size(F.array_intersect("beyond_a", "beyond_b"))
+    """Whether two members of a family are linked: a set has the core but for m of it, and two share what both lack of it or have beyond it."""
+    both = F.col("nc") - F.col("m_a") - F.col("m_b") + F.size(F.array_intersect("d_a", "d_b"))
     return 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
 
 
 def _confirm_beyond(pairs: DataFrame, against: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) for the pairs (family, a, b), without moving what their cores hold."""
-    side = lambda k: against.select("family", F.col("rep").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in _PARTS), *(["nc"] if k == "a" else []))
+    side = lambda k: against.select("family", F.col("rep").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "m", "d")), *(["nc"] if k == "a" else []))
     return pairs.join(side("a"), ["family", "a"]).join(side("b"), ["family", "b"]).select("a", "b", _linked(percent).alias("linked"))
 
 
-def _across(against: DataFrame, percent: int, scratch: Scratch, rows: int) -> DataFrame:
-    """Pairs of one family in different components that may be linked, after all were compared with the middle of the family.
-
-    With m = nc - x, two sets a and b share  x_a + x_b - nc  shingles at least, those that
-    both have beyond the core and those that both miss of it more.  A link needs that sum
-    to reach  p / (1 + p) * (n_a + n_b).  Where the first term alone does, each is linked
-    to the middle too, as that is nearest to the core.  So a pair must share something
-    beyond the core, or miss the same of it.  Either is found by joining short lists:
-    of features in one order, rarest first, as many as can't all be unshared by a pair
-    that shares enough.  Beyond the core, a set shares p * n - x with a link at least.
+def _features(against: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(family, rep, c, strange, nc, g, features): the features that a stranger and another member have, rarest first.
+
+    Two members share  nc - m_a - m_b  shingles and those in both of their ``d``.  A link
+    asks for  p / (1 + p) * (n_a + n_b)  at least, so with  g = p * n + (1 + p) * m  they
+    must share  (g_a + g_b) / (1 + p) - nc  features.  Where that is not above 0, both are
+    linked to the middle, whose g is least, and so to each other.
     """
-    side = ["rep", "c", "n", "x", "strange"]
-    renamed = lambda df, k: df.withColumnsRenamed({c: f"{c}_{k}" for c in side})
-    apart = "c_a != c_b AND (NOT strange_b OR rep_a < rep_b)"
-    reach = f"{100 + percent} * ({{}}) >= {percent} * (n_a + n_b)"
-    feature = against.select("family", *side, F.size("beyond").alias("size"), F.explode("beyond").alias("shingle"))
+    feature = against.select("family", "rep", "strange", F.explode("d").alias("shingle"))
     often = feature.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("often"), F.bool_or("strange").alias("used")).filter("often > 1 AND used").drop("used")
-    often = scratch.stash(often, "shared-features")
-    mine = Window.partitionBy("family", "rep")
-    place = F.row_number().over(mine.orderBy("often", "shingle")) + F.col("size") - F.count(F.lit(1)).over(mine)  # what none shares is rarest
-    keep = F.expr(f"size - greatest(1, -((-({percent} * n - 100 * x)) div 100)) + 1")
-    listed = feature.join(often, ["family", "shingle"]).withColumn("place", place).filter(F.col("place") <= keep).drop("often", "place", "size")
-    listed = scratch.stash(listed, "listed-features")
-    beyond = renamed(listed.filter("strange"), "a").join(renamed(listed, "b"), ["family", "shingle"]).filter(apart)
-    beyond = beyond.filter(reach.format("least(x_a, x_b) + least(n_a - x_a, n_b - x_b)"))
-    one, two = renamed(against.filter("strange"), "a"), renamed(against, "b")
-    able = one.filter(f"100 * x_a >= {percent} * n_a")
-    least = able.groupBy("family").agg(F.min(F.expr(f"{percent} * n_a - {100 + percent} * x_a")).alias("least"))
-    least = scratch.stash(least, "least-needs", rows)
-    wanted = F.expr(f"greatest(1, -((-({percent} * n_b - {100 + percent} * (x_b - nc) + least)) div {100 + percent}))")
-    lacks = two.join(least, "family").withColumn("wanted", wanted)
-    lacks = lacks.withColumn("shingle", F.explode(F.expr("slice(missing, 1, greatest(0, int(size(missing) - wanted + 1)))"))).drop("beyond", "missing", "nc", "least", "wanted")
-    missed = able.withColumn("shingle", F.explode("missing")).drop("beyond", "missing", "nc").join(lacks, ["family", "shingle"]).filter(apart).filter(reach.format("least(x_a, x_b)"))
-    pair = ["family", F.col("rep_a").alias("a"), F.col("rep_b").alias("b")]
-    return beyond.select(*pair).unionByName(missed.select(*pair)).distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    mine = feature.join(often, ["family", "shingle"]).groupBy("family", "rep").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("features"))
+    g = F.expr(f"{percent} * n + {100 + percent} * m")
+    member = against.select("family", "rep", "c", "strange", "nc", g.alias("g")).join(mine, ["family", "rep"])
+    return scratch.stash(member.withColumn("features", F.transform("features", lambda x: x["shingle"])), "family-features")
+
+
+def _lists(members: DataFrame, percent: int, k: int) -> DataFrame:
+    """How members look for each other by ``k`` features at once, or as many as a pair must share: a member as the lower or the upper of a pair by (g, rep).
+
+    The lower knows that its partner asks for no less than it does itself.  An upper looks
+    among the lowers of one kind (at home or not, number of features) and knows the least
+    g of those.  A member at home looks for strangers only.  ``need`` of the features are
+    shared at least; who has fewer has no link.
+    """
+    whole = 100 + percent
+    need = lambda x, y: F.expr(f"greatest(1, int(ceil(({x} + {y} - {whole} * nc) / {whole})))")
+    strangers = members.filter("strange").groupBy("family").agg(F.min("g").alias("gs"))
+    low = members.join(strangers, "family").withColumn("need", need("g", "if(strange, g, greatest(g, gs))")).filter(F.size("features") >= F.col("need"))
+    low = low.withColumn("taken", F.least("need", F.lit(k))).withColumn("kind", F.struct("strange", "taken"))
+    kinds = low.groupBy("family", "kind").agg(F.min("g").alias("gl"))
+    up = members.join(kinds, "family").filter("g >= gl AND (strange OR kind.strange)").withColumn("need", need("g", "gl")).withColumn("taken", F.col("kind.taken"))
+    columns = ["family", "kind", "rep", "c", "g", "taken", "need", "features"]
+    both = low.select(F.lit(True).alias("lower"), *columns).unionByName(up.filter(F.size("features") >= F.col("need")).select(F.lit(False).alias("lower"), *columns))
+    return both.withColumn("features", F.expr("slice(features, 1, size(features) - need + taken)")).drop("need")
+
+
+def _keys(lists: DataFrame, k: int) -> DataFrame:
+    """A key for each choice of ``taken`` features of a list: the first that a pair shares stand, in either list, before what its need leaves for others."""
+    columns = ["family", "kind", "lower", "rep", "c", "g"]
+    left, out = lists.select(*columns, "taken", F.col("features").alias("rest"), F.lit(0).cast("long").alias("key")), None
+    for step in range(1, k + 1):
+        found = left.select(*columns, "taken", F.col("key").alias("so_far"), F.col("rest").alias("all"), F.posexplode("rest").alias("at", "feature"))
+        left = found.select(*columns, "taken", F.expr("slice(all, at + 2, size(all))").alias("rest"), F.xxhash64("so_far", "feature").alias("key"))
+        whole = left.filter(F.col("taken") == step).select(*columns, "key")
+        out, left = whole if out is None else out.unionByName(whole), left.filter(F.col("taken") > step)
+    return out
+
+
+def _across(against: DataFrame, percent: int, scratch: Scratch, rows: int) -> DataFrame:
+    """Pairs (family, a, b) in different components that may be linked, after all were compared with the middle of their family.
+
+    A pair has a stranger in it, a member in another component than the middle.  The members
+    of a family find each other by one shared feature, or by 2, 4 or 6 at once, the fewest
+    that keep their pairs within ``PAIRS_A_MEMBER`` a member, as long as that takes no more than
+    ``KEYS_A_MEMBER`` keys a member.  Any of these finds all pairs; where none keeps the
+    bound, the last possible is taken, at any number of pairs.
+    """
+    members = _features(against, percent, scratch)
+    left, chosen, found = members, {}, None
+    for k in LEVELS:
+        lists = scratch.stash(_lists(left, percent, k), f"feature-lists-{k}")
+        count = F.expr("aggregate(sequence(1, taken), 1D, (n, i) -> n * (size(features) - taken + i) / i)")
+        size = lists.groupBy("family").agg(F.countDistinct("rep").alias("members"), (F.sum(count) / F.countDistinct("rep")).alias("keys"))
+        size = scratch.stash(size, f"family-keys-{k}", rows)
+        light = size.filter((F.col("keys") <= KEYS_A_MEMBER) | F.lit(k == LEVELS[0]))
+        pairs = _keys(lists.join(light.select("family"), "family", "left_semi"), k).groupBy("family", "kind", "key").agg((F.count_if("lower") * F.count_if(~F.col("lower")) / 2).alias("pairs"))
+        cost = pairs.groupBy("family").agg(F.sum("pairs").alias("pairs")).join(light, "family")
+        over = scratch.stash(cost.filter((F.col("pairs") > PAIRS_A_MEMBER * F.col("members")) & F.lit(k != LEVELS[-1])).select("family"), f"over-{k}", rows)
+        heavy = size.join(light, "family", "left_anti").select("family")
+        chosen[k] = (lists, scratch.stash(light.join(over, "family", "left_anti").select("family"), f"done-{k}", rows))
+        if k != LEVELS[0]:
+            before = LEVELS[LEVELS.index(k) - 1]
+            old, done = chosen[before]
+            chosen[before] = (old, done.unionByName(heavy))
+        if over.isEmpty():
+            break
+        left = members.join(over, "family", "left_semi")
+    for k, (lists, done) in chosen.items():
+        keyed = scratch.stash(_keys(lists.join(done, "family", "left_semi"), k), f"feature-keys-{k}")
+        side = lambda s, lower: keyed.filter(F.col("lower") == lower).select("family", "kind", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "c", "g")))  # noqa: E731,B023
+        pairs = side("a", True).join(side("b", False), ["family", "kind", "key"]).filter("c_a != c_b AND (g_a < g_b OR (g_a = g_b AND rep_a < rep_b))")
+        pairs = pairs.select("family", F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("family").alias("family"))
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, counted: dict[str, int] | None = None) -> DataFrame:
     """One row per row of (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Texts with equal sets are linked; those without words, and rows whose doc_id is
     null, are linked with nothing and kept.  Rows that repeat a doc_id with its text
-    share its result.  An empty table gives no rows; other columns are not read.
+    share its result; a doc_id with several texts has the links of all.  An empty table
+    gives no rows; other columns are not read; whole texts are, however long.
     Bands of 4 bins in 128 miss a pair at a similarity of 0.8 once in about 2e7.
+    ``counted`` takes the numbers of pairs that the rounds compared.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -245,24 +327,19 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     classes = scratch.stash(classes, "classes")
 
     # Buckets of more than one set, each with its hub.
-    rare = signed.filter(F.size("keys") > 0).join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    rare = signed.filter(F.size("keys") > 0).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     keyed = rare.select(F.struct(F.xxhash64("doc_id").alias("x"), F.col("doc_id").alias("rep")).alias("place"), F.explode("keys").alias("key"))
     hubs = scratch.stash(keyed.groupBy("key").agg(F.min("place").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub"), "hubs")
     mates = scratch.stash(keyed.join(hubs, "key").select("hub", F.col("place.rep").alias("rep")).filter("hub.rep != rep").distinct(), "mates")
     met = mates.count()
-    release(spark)
 
     # Round 1: the best hub of each.
-    # Joined alike at every size: texts are dealt once by id and not sorted.
     needed = mates.select(F.col("rep").alias("doc_id")).unionByName(mates.select(F.col("hub.rep").alias("doc_id"))).distinct()
-    sets = scratch.stash(_sets(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), words).distinct(), "sets")
-    release(spark)
+    sets = scratch.stash(_sets(docs.join(needed, "doc_id", "left_semi"), words).distinct(), "sets")
     best = mates.groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
     first = scratch.stash(_confirm(best, sets, percent), "round-1")
-    release(spark)
     links = first.filter("linked").select("a", "b")
     labels = scratch.stash(components(links), "labels-1", 2 * met)
-    release(spark)
 
     # Round 2: the members of the hubs of one component, where they are in several: each with the middle of them.
     hub_label = labels.withColumnsRenamed({"node": "hub", "component": "family"})
@@ -270,31 +347,36 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     family = family.select("family", "rep").unionByName(family.select("family", F.col("hub").alias("rep"))).distinct()
     member = family.join(labels.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     uneasy = scratch.stash(member.groupBy("family").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x != y").select("family"), "uneasy-families", 2 * met)
-    member = scratch.stash(member.join(uneasy, "family"), "members")
-    cores = scratch.stash(_cores(member, sets), "cores")
-    against = scratch.stash(_against_core(member, cores, sets), "against-cores")
-    release(spark)
-    away = F.expr(f"{percent} * n - {100 + percent} * x")
-    middle = scratch.stash(against.groupBy("family").agg(F.min(F.struct(away.alias("away"), "rep")).alias("m")).select("family", F.col("m.rep").alias("middle")), "middles", 2 * met)
-    at = middle.join(labels.withColumnsRenamed({"node": "middle", "component": "cm"}), "middle", "left").select("family", "middle", F.coalesce("cm", "middle").alias("cm"))
-    of_middle = against.join(at, [against["family"] == at["family"], F.col("rep") == F.col("middle")]).select(against["family"], F.col("rep").alias("b"), F.col("cm").alias("cb"), *(F.col(c).alias(f"{c}_b") for c in _PARTS))
-    spokes = against.join(of_middle, "family").filter("rep != b AND c != cb").select(F.col("rep").alias("a"), "b", "nc", *(F.col(c).alias(f"{c}_a") for c in _PARTS), *(f"{c}_b" for c in _PARTS))
-    second = scratch.stash(spokes.select("a", "b", _linked(percent).alias("linked")), "round-2")
-    links = links.unionByName(second.filter("linked").select("a", "b"))
-    labels = scratch.stash(components(links), "labels-2", 2 * met)
-    release(spark)
-
-    # Round 3: members that the middle does not tie, with others of their family in other components.
-    named = labels.withColumnsRenamed({"node": "rep", "component": "now"})
-    against = against.join(named, "rep", "left").withColumn("c", F.coalesce("now", "rep")).drop("now")
-    home = scratch.stash(middle.join(labels.withColumnsRenamed({"node": "middle", "component": "home"}), "middle", "left").select("family", F.coalesce("home", "middle").alias("home")), "homes", 2 * met)
-    against = scratch.stash(against.join(home, "family").withColumn("strange", F.col("c") != F.col("home")).drop("home"), "against-middles")
-    strange = scratch.stash(against.filter("strange").select("family").distinct(), "strange-families", 2 * met)
-    third = scratch.stash(_confirm_beyond(_across(against.join(strange, "family"), percent, scratch, 2 * met), against, percent), "round-3")
-    new = third.filter("linked").select("a", "b")
-    if not new.isEmpty():
-        labels = scratch.stash(components(links.unionByName(new)), "labels-3", 2 * met)
-    release(spark)
+    pairs = {"hub": first}
+    if not uneasy.isEmpty():
+        member = _merged(scratch.stash(member.join(uneasy, "family"), "members"), scratch, 2 * met)
+        cores = scratch.stash(_cores(member, sets), "cores")
+        against = scratch.stash(_against_core(member, cores, sets), "against-cores")
+        away = F.expr(f"{percent} * n + {100 + percent} * m")
+        middle = against.groupBy("family").agg(F.min(F.struct(away.alias("away"), "rep")).alias("x")).select("family", F.col("x.rep").alias("middle"))
+        middle = scratch.stash(middle, "middles", 2 * met)
+        at = middle.join(labels.withColumnsRenamed({"node": "middle", "component": "cm"}), "middle", "left").select("family", "middle", F.coalesce("cm", "middle").alias("cm"))
+        of_middle = against.join(at.withColumnsRenamed({"middle": "rep"}), ["family", "rep"]).join(cores.select("family", "salts"), "family")
+        of_middle = _salted(of_middle.select("family", "salts", F.col("rep").alias("b"), F.col("cm").alias("cb"), *(F.col(c).alias(f"{c}_b") for c in ("n", "m", "d"))))
+        spokes = against.join(of_middle, ["family", "salt"]).filter("rep != b AND c != cb").select(F.col("rep").alias("a"), "b", "nc", *(F.col(c).alias(f"{c}_a") for c in ("n", "m", "d")), "n_b", "m_b", "d_b")
+        pairs["middle"] = second = scratch.stash(spokes.select("a", "b", _linked(percent).alias("linked")), "round-2")
+        links = links.unionByName(second.filter("linked").select("a", "b"))
+        labels = scratch.stash(components(links), "labels-2", 2 * met)
+
+        # Round 3: members that the middle does not tie, with others of their family in other components.
+        named = labels.withColumnsRenamed({"node": "rep", "component": "now"})
+        against = against.join(named, "rep", "left").withColumn("c", F.coalesce("now", "rep")).drop("now", "salt")
+        home = scratch.stash(middle.join(labels.withColumnsRenamed({"node": "middle", "component": "home"}), "middle", "left").select("family", F.coalesce("home", "middle").alias("home")), "homes", 2 * met)
+        against = scratch.stash(against.join(home, "family").withColumn("strange", F.col("c") != F.col("home")).drop("home"), "against-middles")
+        strange = scratch.stash(against.filter("strange").select("family").distinct(), "strange-families", 2 * met)
+        if not strange.isEmpty():
+            across = scratch.stash(_across(against.join(strange, "family"), percent, scratch, 2 * met), "across")
+            pairs["beyond"] = third = scratch.stash(_confirm_beyond(across, against, percent), "round-3")
+            new = third.filter("linked").select("a", "b")
+            if not new.isEmpty():
+                labels = scratch.stash(components(links.unionByName(new)), "labels-3", 2 * met)
+    if counted is not None:
+        counted.update({name: df.count() for name, df in pairs.items()})
 
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     of_class, _ = stash(of_class, "class-labels")
@@ -305,9 +387,14 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
 
 
 def drop_near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` but for those that ``near_duplicates`` doesn't keep."""
-    dropped, _ = stash(near_duplicates(docs, words, percent).filter("NOT kept").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` but for those that ``near_duplicates`` doesn't keep, with all their columns; extra ones may have any name.
+
+    Of rows equal in doc_id and text one stays.  A row leaves for its own text, so a
+    repeated doc_id does not take other texts along; rows of a repeated or null doc_id
+    are preferred to others of their group.  Texts without words all stay, of long ones
+    nothing is left out, and an empty table stays empty.
+    """
+    return drop_rows(docs, lambda rows: near_duplicates(rows, words, percent).filter("NOT kept").select("doc_id"))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import bound_batches, stash, table
+from .tables import bound_batches, fresh, stash, table
 from .words import scan_words, sequence_hashes, table_of
 
 MIN_RUN_WORDS = 16
@@ -137,8 +137,9 @@ def repeated_spans(docs: DataFrame, within: bool = False) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages of ``repeated_spans`` in ``text``; all other columns stay, so does white space around a passage."""
-    spans = repeated_spans(docs, within=True).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    at, cuts = fresh(docs, "_id"), fresh(docs, "_spans")
+    spans = repeated_spans(docs, within=True).groupBy(F.col("doc_id").alias(at)).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias(cuts))
+    joined = docs.join(spans, F.col("doc_id") == F.col(at), "left").drop(at)
     place = joined.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

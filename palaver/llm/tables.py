@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_A_FILE = 100_000
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
+#: Used only on one machine, where the session names no checkpoint folder, as in tests.
 DEFAULT_SHARED = "file:///tmp/checkpoints/palaver"
+#: Ends a shuffle's files with the query that wrote them; no table written here is read through a shuffle again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors all see."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors all see; without one, a folder of this machine in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or DEFAULT_SHARED).rstrip("/")
 
 
@@ -53,7 +57,12 @@ def stash(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFrame
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    (df if rows is None else df.coalesce(max(1, math.ceil(rows / ROWS_A_FILE)))).write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df if rows is None else df.coalesce(max(1, math.ceil(rows / ROWS_A_FILE)))).write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -80,10 +89,36 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files of plans that have ended; without a nudge they stay until the driver's heap fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it the name of no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def drop_rows(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` whose text ``dropped`` does not give up, with all their columns.
+
+    ``dropped`` takes rows (doc_id, text) and returns the doc_ids to leave out.  Where a
+    doc_id is repeated, or null, its rows go by an id made of doc_id and text, which is
+    negative and so sorts before others: a row leaves for its own text alone.  Of rows with
+    the same doc_id and text one stays at most.
+    """
+    row, many = fresh(docs, "_row"), fresh(docs, "_many")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(row))
+    repeated, _ = stash(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        keyed = docs.withColumn(row, F.col("doc_id"))
+        gone, _ = stash(dropped(docs.select("doc_id", "text")).distinct().withColumnRenamed("doc_id", row), "dropped")
+        return keyed.join(gone, row, "left_anti").select(*docs.columns)
+    marked = docs.join(repeated.withColumn(many, F.lit(True)), docs["doc_id"].eqNullSafe(repeated[row]), "left").drop(row)
+    own = -1 - F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    marked = marked.withColumn(row, F.when(F.col(many), own).otherwise(F.col("doc_id")))
+    gone, _ = stash(dropped(marked.select(F.col(row).alias("doc_id"), "text")).distinct().withColumnRenamed("doc_id", row), "dropped")
+    kept = marked.join(gone, row, "left_anti")
+    one = kept.filter(F.col(many)).groupBy(row, F.col("text").alias(fresh(docs, "_text"))).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(many))
+    return kept.filter(F.col(many).isNull()).select(*docs.columns).unionByName(one.select(f"{many}.*"))
 
 
 def dense_rank_in_groups(df: DataFrame, counted: DataFrame, group: list[str], hashed: Column, order: list[Column], out: str, total: int, chunk_rows: int = 20_000) -> DataFrame:

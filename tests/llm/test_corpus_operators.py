@@ -134,6 +134,50 @@ def test_group_at_the_threshold(spark):
     assert [got[k] for k in range(150)] == union_find(150, links)
 
 
+def test_pairs_of_a_group_grow_in_proportion(spark):
+    """Copies of one text that are mostly just too far from each other: components stay exact, pairs stay within a bound a member."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(3000)}" for _ in range(120)]
+    for n in (500, 1000, 2000):
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            for place in r.sample(range(120), r.randrange(5, 9)):
+                w[place] = f"w{r.randrange(3000)}"
+            texts.append(" ".join(w))
+        sets = [shingle_set(t) for t in texts]
+        often = [x for x, k in Counter(x for s in sets for x in s).items() if k > 1]
+        place = {x: k for k, x in enumerate(often)}
+        has = np.zeros((n, len(often)), np.float32)
+        for k, s in enumerate(sets):
+            has[k, [place[x] for x in s if x in place]] = 1
+        both, size = (has @ has.T).astype(int), np.array([len(s) for s in sets])
+        links = np.argwhere(np.triu(100 * both >= 80 * (size[:, None] + size[None] - both), 1)).tolist()
+        counted = {}
+        got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), counted=counted).collect()}
+        assert [got[k] for k in range(n)] == union_find(n, links)
+        assert sum(counted.values()) <= (2 + minhash.PAIRS_A_MEMBER) * n, counted
+
+
+def test_dropping_loses_no_text(spark):
+    """Repeated ids with other texts, repeated rows, nulls, and columns named as helpers might be."""
+    texts = [(0, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "wholly other text here"), (5, "same row"), (5, "same row"), (5, "same  row"), (None, "no id"), (None, "no id"), (None, "nor here"), (7, None), (8, ""), (9, "nor here")]
+    names = ["_id", "_gone", "_spans", "_row", "_many", "n", "kept", "shard"]
+    schema = "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)
+    df = spark.createDataFrame([(i, t, *names) for i, t in texts], schema)
+    for drop, want in ((exact_dedup.drop_exact_duplicates, 6), (lambda d: minhash.drop_near_duplicates(d, 2), 7)):
+        out = drop(df)
+        assert out.columns == df.columns
+        kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+        norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in kept]
+        assert len(kept) == want and len({n for n in norm if n}) == len([n for n in norm if n]), kept
+        assert {re.sub(r"\s+", " ", t) for _, t in texts if t} == {n for n in norm if n}
+        assert drop(df.limit(0)).collect() == []
+    for operator in (spans.remove_repeats, lines.drop_lines):
+        out = operator(df)
+        assert out.columns == df.columns and out.count() == len(texts)
+
+
 def test_rows_without_or_with_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()), key=repr)
