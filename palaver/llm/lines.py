@@ -5,8 +5,8 @@ gives the same rest (a substitution), or deleting one from the longer gives the
 All such variants are emitted as hashed keys and joined; what meets there is exact up
 to hash collisions, which the edit distance of each pair that decides then rules out.
 
-Variants of all lines would be many times the corpus, so lines without a neighbour
-leave first.  An edit leaves one half of a line as it was: lines that share no half
+Equal lines of any length but none meet by their name.  Variants of all longer lines would
+be many times the corpus, so lines without a neighbour leave first.  An edit leaves one half of a line as it was: lines that share no half
 with another line have none.  Of the rest, an edit leaves all but one of ``SEGMENTS``
 segments as they were: lines that share no such remainder have none, and only deletions
 within the shared remainder's gap are emitted.  Nothing is lost by either step.
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .tables import bound_batches, discard, fresh, stash, table
 from .words import SPACES
 
-#: Shorter lines, without white space around them, are left alone.
+#: Shorter lines, without white space around them, have only equal lines as neighbours: one edit makes too much of them another line.
 MIN_CHARS = 20
+#: Hashes of halves that a task remembers, so that a line that many have is not emitted at each.
+REMEMBERED = 1 << 17
 SEGMENTS = 16
 
 _WHITE = SPACES.decode()
@@ -46,7 +48,7 @@ def _name(line: str) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _lines(text: str | None, min_chars: int) -> Iterator[tuple[int, str]]:
+def _lines(text: str | None, min_chars: int = 1) -> Iterator[tuple[int, str]]:
     for k, line in enumerate((text or "").split("\n")):
         if len(line := line.strip(_WHITE)) >= min_chars:
             yield k, line
@@ -98,8 +100,8 @@ def within_one_edit(a: str, b: str) -> bool:
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-def _rows(df: DataFrame, make: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
-    """Arrow rows that ``make`` gives for each row, in batches of bounded size."""
+def _rows(df: DataFrame, make: Callable[[dict], Iterator[tuple]], schema: str, once: bool = False) -> DataFrame:
+    """Arrow rows that ``make`` gives for each row, in batches of bounded size; with ``once``, most of the rows that a task repeats are left out."""
     fields = [c.split() for c in schema.split(", ")]
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
@@ -107,9 +109,17 @@ def _rows(df: DataFrame, make: Callable[[dict], Iterator[tuple]], schema: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        seen: set[tuple] = set()
         for batch in batches:
             for row in batch.to_pylist():
-                rows.extend(make(row))
+                if once:
+                    new = [r for r in dict.fromkeys(make(row)) if r not in seen]
+                    if len(seen) + len(new) > REMEMBERED:
+                        seen.clear()
+                    seen.update(new[:REMEMBERED])
+                    rows += new
+                else:
+                    rows.extend(make(row))
                 if len(rows) >= 20_000:
                     yield pack(rows)
                     rows = []
@@ -127,15 +137,18 @@ def _met(keyed: DataFrame, key: str) -> DataFrame:
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, line_no) of every line with an earlier line, by doc_id and line, within one edit.
 
-    Lines end at newlines and are compared without white space around them; shorter ones
-    than ``min_chars`` are left alone, and so are rows without a doc_id.
+    Lines end at newlines and are compared without white space around them.  Lines that
+    are shorter than ``min_chars`` go with equal lines alone; blank lines, and rows without
+    a doc_id, are left alone.  Rows that share a doc_id count as one document: a line of
+    theirs is not removed for one at the same place.  Whole texts are read, however long;
+    an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
 
     def named(row: dict) -> Iterator[tuple]:
-        return ((*_name(line), row["doc_id"], k) for k, line in _lines(row["text"], min_chars))
+        return ((*_name(line), row["doc_id"], k) for k, line in _lines(row["text"]))
 
     def halved(row: dict) -> Iterator[tuple]:
         return ((h, *_name(line)) for _, line in _lines(row["text"], min_chars) for h in halves(line))
@@ -144,7 +157,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, segments: int = S
     first = lines.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
 
     # Lines that share a half with another, and their texts.
-    half = _rows(texts, halved, "half long, k1 long, k2 long")
+    half = _rows(texts, halved, "half long, k1 long, k2 long", once=True)
     shared, shared_at = stash(_met(half, "half"), "shared-halves")
     near, near_at = stash(half.join(shared, "half").select(*_KEY).distinct(), "near-lines")
     discard(spark, shared_at)
@@ -187,10 +200,11 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, segments: int = S
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, segments: int = SEGMENTS) -> DataFrame:
-    """``docs`` with ``n_lines``, ``n_removed`` and ``removed_lines`` (numbers from 0, rising) for each row; doc_id is taken to be a key.
+    """``docs`` with ``n_lines``, ``n_removed`` and ``removed_lines`` (numbers from 0, rising) for each row.
 
-    Null texts have no lines, empty ones have one; lines that tie in (doc_id, line) do
-    not remove each other; columns of those names are replaced.
+    Null texts have no lines, empty ones have one; rows that repeat a doc_id share what is
+    removed, and lines that tie in (doc_id, line) do not remove each other; columns of those
+    names are replaced, others may have any name; an empty table gives no rows.
     """
     at, listed = fresh(docs, "_id"), fresh(docs, "_gone")
     gone = removed_lines(docs, min_chars, segments).groupBy(F.col("doc_id").alias(at)).agg(F.array_sort(F.collect_set("line_no")).alias(listed))
@@ -218,12 +232,14 @@ WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents
   SELECT doc_id, k - 1 AS k, trim(parts[k], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM d)
 ), u AS (
-  SELECT s, length(s) AS n, min({'d': doc_id, 'k': k}) AS o, length(s) // 2 AS h FROM l WHERE length(s) >= 20 GROUP BY s
+  SELECT s, length(s) AS n, min({'d': doc_id, 'k': k}) AS o, length(s) // 2 AS h FROM l WHERE s <> '' GROUP BY s
+), w AS (
+  SELECT * FROM u WHERE n >= 20
 ), near AS (
-  SELECT a.s AS s, a.n AS n, b.s AS t, b.n AS m, a.o AS o, b.o AS p FROM u a JOIN u b ON a.n = b.n AND a.s < b.s AND a.s[:a.h] = b.s[:b.h]
-  UNION SELECT a.s, a.n, b.s, b.n, a.o, b.o FROM u a JOIN u b ON a.n = b.n AND a.s < b.s AND a.s[a.h + 1:] = b.s[b.h + 1:]
-  UNION SELECT a.s, a.n, b.s, b.n, a.o, b.o FROM u a JOIN u b ON a.n + 1 = b.n AND a.s[:a.h] = b.s[:(b.n - 1) // 2]
-  UNION SELECT a.s, a.n, b.s, b.n, a.o, b.o FROM u a JOIN u b ON a.n + 1 = b.n AND a.s[a.h + 1:] = b.s[(b.n - 1) // 2 + 2:]
+  SELECT a.s AS s, a.n AS n, b.s AS t, b.n AS m, a.o AS o, b.o AS p FROM w a JOIN w b ON a.n = b.n AND a.s < b.s AND a.s[:a.h] = b.s[:b.h]
+  UNION SELECT a.s, a.n, b.s, b.n, a.o, b.o FROM w a JOIN w b ON a.n = b.n AND a.s < b.s AND a.s[a.h + 1:] = b.s[b.h + 1:]
+  UNION SELECT a.s, a.n, b.s, b.n, a.o, b.o FROM w a JOIN w b ON a.n + 1 = b.n AND a.s[:a.h] = b.s[:(b.n - 1) // 2]
+  UNION SELECT a.s, a.n, b.s, b.n, a.o, b.o FROM w a JOIN w b ON a.n + 1 = b.n AND a.s[a.h + 1:] = b.s[(b.n - 1) // 2 + 2:]
 ), edit AS (
   SELECT * FROM near WHERE list_bool_or(list_transform(range(0, m), lambda i: CASE WHEN n = m
     THEN s[1:i] = t[1:i] AND s[i + 2:] = t[i + 2:] ELSE s[1:i] = t[1:i] AND s[i + 1:] = t[i + 2:] END))
@@ -232,6 +248,6 @@ WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents
 ), hit AS (
   SELECT l.doc_id, l.k FROM l JOIN u USING (s) LEFT JOIN gone g ON g.s = l.s WHERE g.s IS NOT NULL OR {'d': l.doc_id, 'k': l.k} > u.o
 )
-SELECT d.doc_id, len(parts)::BIGINT AS n_lines, count(hit.k) AS n_removed, coalesce(string_agg(hit.k::VARCHAR, ',' ORDER BY hit.k), '') AS removed_lines
+SELECT d.doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, count(hit.k) AS n_removed, coalesce(string_agg(hit.k::VARCHAR, ',' ORDER BY hit.k), '') AS removed_lines
 FROM d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id, parts
 """
