@@ -2,24 +2,29 @@
 
 Records are written by Spark's text writer: a record ends with two line breaks, which
 is the separator between rows, so any file system that Spark writes to takes archives,
-and a lost task is simply run again.  A payload that was captured before is written as
-a revisit that refers to its response.
-
-The archives are read back file by file.  Each file gives one run of index entries,
-sorted by URL key, time and page; the runs are dealt by key ranges, and each range is
-merged by a tree of losers.  Ranges in order, and entries in order within a range, are
-the captures in global order, each URL's history together.
+and a lost task is simply run again.  Archives are not compressed: an index entry's
+offset and length are places in the file, where its record can be read alone.  A payload
+that was captured before is written as a revisit that refers to its response.
+
+The archives are read back file by file, each record where it lies.  A file gives one run
+of index entries, sorted by URL key, time and page.  The runs are dealt by key ranges
+of a bounded number of entries; Spark brings the slice of each run in its order,
+spilling where it must, and a tree of losers merges the slices.  Ranges in order, and
+entries in order within a range, are the captures in global order, each URL's history
+together.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import zlib
+import re
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 from typing import TypeVar
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +33,10 @@ from pyspark.sql import functions as F
 from .tables import scratch_path, stash, table
 
 MIN_REVISIT_BYTES = 1000
-#: Payloads of up to so many bytes go into files of so many records: no file holds more than half a gigabyte, but for single larger records.
-FILE_CLASSES = ((1 << 16, 8192), (1 << 22, 128), (1 << 62, 1))
-#: Index entries that one task merges in memory.
-ENTRIES_A_TASK = 100_000
+#: Payloads of up to so many bytes go into files of so many records: no file holds more than 64 MB of them, but for single larger records.
+FILE_CLASSES = ((1 << 14, 4096), (1 << 18, 256), (1 << 22, 16), (1 << 62, 1))
+#: Index entries that one task merges, and those that it takes from a run, or gives, at once.
+ENTRIES_A_TASK, ENTRIES_AT_ONCE = 100_000, 4096
 _EPOCH = 1_700_000_000
 
 T = TypeVar("T")
@@ -119,55 +124,57 @@ def write_archives(pages: DataFrame, seconds: str | None = None, min_revisit_byt
 
     Of payloads that are equal and long enough, the one with the largest page_id is the
     response, the others revisit it; rows that repeat that page_id are responses too, as
-    are rows without a page_id.  A null html is an empty payload, a null url has no
-    target.  ``seconds`` names a column with the time of capture since 1970; without
-    one, pages are a second apart in the order of their ids.
+    are rows without a page_id.  Payloads are equal if their SHA-256 and lengths are; the
+    record states SHA-1, as the format does.  A null html is an empty payload, a null url
+    has no target; whole payloads are written, however long; other columns, whatever their
+    names, are not read; an empty table gives no folders.  ``seconds`` names a column with
+    the time of capture since 1970; without one, pages are a second apart in the order
+    of their ids.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size"))
+    keyed = pages.select("page_id", F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("size"))
     groups = keyed.filter(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     groups, _ = stash(groups.filter("n > 1 AND refers_to IS NOT NULL").select("digest", "size", "refers_to"), "payloads")
     revisits = keyed.join(groups, ["digest", "size"]).filter(F.col("page_id") != F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
     revisits, _ = stash(revisits, "revisits")
     when = F.col(seconds) if seconds else F.coalesce(F.col("page_id"), F.lit(0)) + _EPOCH
-    rows = pages.select("page_id", "url", payload.alias("payload"), when.alias("seconds")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
+    rows = pages.select("page_id", "url", payload.alias("payload"), when.alias("seconds")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     rows = rows.join(revisits, ["page_id", "digest"], "left")
-    sizes = keyed.groupBy(F.when(F.col("size") <= FILE_CLASSES[0][0], 0).when(F.col("size") <= FILE_CLASSES[1][0], 1).otherwise(2).alias("k")).count().collect()
+    kind = F.lit(len(FILE_CLASSES) - 1)
+    for k in reversed(range(len(FILE_CLASSES) - 1)):
+        kind = F.when(F.col("size") <= FILE_CLASSES[k][0], k).otherwise(kind)
+    sizes = keyed.groupBy(kind.alias("k")).count().collect()  # a row a class
     folders = []
     for k in sorted(r["k"] for r in sizes):
         least = FILE_CLASSES[k - 1][0] if k else -1
         own = rows.filter((F.octet_length("payload") > least) & (F.octet_length("payload") <= FILE_CLASSES[k][0]))
         folders.append(scratch_path(spark, f"warc-{k}"))
         record = _record(F.col("page_id"), F.col("seconds"), F.col("url"), F.col("payload"), F.col("refers_to"))
-        own.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_CLASSES[k][1]).text(folders[-1])
+        own.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_CLASSES[k][1]).text(folders[-1])
     return folders
 
 
-def _gunzip(data: bytes) -> bytes:
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)
+_BREAK = re.compile(rb"\r\n\r\n")
 
 
-def read_records(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes, int, int]]:
-    """(record headers, HTTP headers, payload, offset, length) of each record; only lengths tell where one ends."""
+def read_records(data: bytes | memoryview) -> Iterator[tuple[dict[str, str], dict[str, str], memoryview, int, int]]:
+    """(record headers, HTTP headers, payload, offset, length) of each record, in place; only lengths tell where one ends."""
+    data = memoryview(data)
 
-    def fields(lines: bytes) -> dict[str, str]:
-        return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines.decode("utf-8", "replace").split("\r\n")[1:])}
+    def fields(start: int, end: int) -> dict[str, str]:
+        lines = bytes(data[start:end]).decode("utf-8", "replace").split("\r\n")[1:]
+        return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = fields(data[at:end])
+        end = _BREAK.search(data, at).start()
+        head = fields(at, end)
         start, size = end + 4, int(head["content-length"])
         if data[start + size : start + size + 4] != b"\r\n\r\n":
             raise ValueError(f"record at {at} does not end where its length says")
-        inner = data.index(b"\r\n\r\n", start, start + size)
-        yield head, fields(data[start:inner]), data[inner + 4 : start + size], at, start + size + 4 - at
+        inner = _BREAK.search(data, start, start + size).start()
+        yield head, fields(start, inner), data[inner + 4 : start + size], at, start + size + 4 - at
         at = start + size + 4
 
 
@@ -185,7 +192,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             entries = []
-            for head, http, payload, offset, length in read_records(_gunzip(content.as_buffer().to_pybytes())):
+            for head, http, payload, offset, length in read_records(memoryview(content.as_buffer())):
                 kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                 size = len(payload) if kind == "response" else int(http["content-length"])
                 if kind == "response" and hashlib.sha1(payload, usedforsecurity=False).hexdigest() != digest:
@@ -200,45 +207,49 @@ def _order(entry: tuple) -> tuple:
     return entry[0], entry[1], -1 if entry[2] is None else entry[2], entry[7], entry[8]
 
 
-class _Entry:
-    """An index entry that compares by its place in the global order."""
-
-    __slots__ = ("key", "row")
-
-    def __init__(self, row: tuple) -> None:
-        self.row, self.key = row, _order(row)
-
-    def __lt__(self, other: _Entry) -> bool:
-        return self.key < other.key
+def _slice(table: pa.Table, start: int, stop: int) -> Iterator[tuple]:
+    """The entries of one run's slice as (place in the global order, row), a few at once."""
+    for at in range(start, stop, ENTRIES_AT_ONCE):
+        part = table.slice(at, min(ENTRIES_AT_ONCE, stop - at))
+        url, when, page, archive, offset = (part.column(c).to_pylist() for c in ("url_key", "captured_at", "page_id", "archive", "record_offset"))
+        for k in range(part.num_rows):
+            yield url[k], when[k], -1 if page[k] is None else page[k], archive[k], offset[k], at + k
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[tuple]] = {}
-    schema = None
-    for batch in batches:
-        schema = batch.schema
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs.setdefault(row[10], []).append(row)
-    if schema is None:
+    """One key range, run by run and each in its order: the slices merged."""
+    parts = list(batches)
+    if not parts:
+        return
+    entries = pa.Table.from_batches(parts).combine_chunks()
+    if not entries.num_rows:
         return
-    for rows in runs.values():  # parts of a run come in any order
-        rows.sort(key=lambda r: r[11])
-    merged = [e.row for e in LoserTree([map(_Entry, rows) for _, rows in sorted(runs.items())])]
+    run = entries.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
+    starts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), entries.num_rows]
+    tree = LoserTree([_slice(entries, a, b) for a, b in zip(starts, starts[1:], strict=False)])
     first = TaskContext.get().partitionId() << 40
-    columns = [pa.array(c, t) for c, t in zip(zip(*merged, strict=True), schema.types, strict=True)][:10]
-    yield pa.RecordBatch.from_arrays([*columns, pa.array(range(first, first + len(merged)), pa.int64())], [*_NAMES[:10], "capture_order"])
+    merged = (e[-1] for e in tree)
+    while rows := list(islice(merged, ENTRIES_AT_ONCE)):
+        taken = entries.take(pa.array(rows)).select(_NAMES[:10]).combine_chunks()
+        order = pa.array(np.arange(first, first + len(rows)))
+        first += len(rows)
+        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in taken.columns), order], [*_NAMES[:10], "capture_order"])
 
 
 def capture_history(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """The captures of all archives, read back; ``capture_order`` rises with URL key, time and page over the whole result."""
+    """The captures of all archives, read back; ``capture_order`` rises with URL key, time and page over the whole result.
+
+    Without folders there are no rows.  A record whose length or payload digest is not
+    that of its bytes is an error.
+    """
     schema = ", ".join([*_ENTRY.split(", ")[:10], "capture_order long"])
     if not folders:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folders)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folders)
     runs, _ = stash(files.select("path", "content").mapInArrow(_runs, _ENTRY), "runs")
     parts = max(1, math.ceil(runs.count() / ENTRIES_A_TASK))
     parts = max(parts, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = runs.repartitionByRange(parts, "url_key", "captured_at", "page_id", "archive", "record_offset")
+    dealt = runs.repartitionByRange(parts, "url_key", "captured_at", "page_id", "archive", "record_offset").sortWithinPartitions("run", "run_place")
     return dealt.mapInArrow(_merge, schema)
 
 
