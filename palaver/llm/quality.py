@@ -55,11 +55,12 @@ RULES: tuple[tuple[str, str, tuple[float, float] | None, float, float], ...] = (
 def measure(text: str | None) -> dict[str, float]:
     """The base counts of a whole text and the measures that the rules look at."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    n_spaces = n_points = n_symbols = n_upper = n_letters = n_digits = n_stops = n_shouts = n_marked = 0
+    n_spaces = n_points = n_ascii = n_symbols = n_upper = n_letters = n_digits = n_stops = n_shouts = n_marked = 0
     for part in blocks(data):
         a = np.frombuffer(part, np.uint8)
         n_spaces += int(IS_SPACE[a].sum())
         n_points += int(((a & 0xC0) != 0x80).sum())
+        n_ascii += int((a < 0x80).sum())
         n_symbols += int(_SYMBOLS[a].sum())
         n_upper += int(_UPPER[a].sum())
         n_letters += int(_LETTER[a].sum())
@@ -89,6 +90,9 @@ def measure(text: str | None) -> dict[str, float]:
         n_repeat = int(again.sum())
     word_chars = n_points - n_spaces
     per_word = max(1, n_words)
+    # Text that is mostly not ASCII ends its sentences and words by marks of its own: those rules say nothing of it.
+    ascii_share = 1.0 if not word_chars else (word_chars - (n_points - n_ascii)) / word_chars
+    known = 1.0 if ascii_share >= 0.5 else float("nan")
     return {
         "n_words": n_words,
         "word_chars": word_chars,
@@ -101,14 +105,14 @@ def measure(text: str | None) -> dict[str, float]:
         "repeat_share": n_repeat / per_word,
         "mark_share": n_marked / per_word,
         "shout_share": n_shouts / per_word,
-        "mean_word": word_chars / per_word,
-        "stop_share": n_stops / per_word,
+        "mean_word": known * word_chars / per_word,
+        "stop_share": known * n_stops / per_word,
         "digit_share": n_digits / max(1, word_chars),
     }
 
 
 def votes(measures: dict[str, float]) -> int:
-    """The votes of all rules as one number to base 3: 0 abstains, 1 is bad, 2 is good."""
+    """The votes of all rules as one number to base 3: 0 abstains, as every rule does on a measure that is not a number, 1 is bad, 2 is good."""
     code = 0
     for _, name, good, bad_below, bad_above in RULES:
         x = measures[name]
@@ -186,8 +190,10 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge_documents`` keeps, with all their columns.
+    """The rows of ``docs`` that ``judge_documents`` keeps, with all their columns, whatever their names.
 
+    Null and empty texts go, as they have no words; of repeated rows all stay or none;
+    whole texts are measured, however long; an empty table stays empty.
     The texts are measured twice, for the fit and for the verdict, which moves no text
     between tasks.
     """
