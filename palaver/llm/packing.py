@@ -8,6 +8,7 @@ what moves between tasks afterwards is one small row a piece.
 
 from __future__ import annotations
 
+import math
 import os
 import sys
 import zlib
@@ -127,7 +128,8 @@ def pack_documents(docs: DataFrame, path: str = VOCABULARY, capacity: int = SEQU
 
     Every row of (doc_id, text) is a document; a null or empty text has the end id
     alone; repeated rows are packed each; an empty table gives no rows; other columns
-    are not read.  ``capacity`` must be a multiple of ``granule``.  ``path`` must be
+    are not read; whole texts are, however long, and cut into as many pieces as they fill.
+    ``capacity`` must be a multiple of ``granule``.  ``path`` must be
     readable on the executors.
     """
     if capacity % granule:
@@ -137,7 +139,9 @@ def pack_documents(docs: DataFrame, path: str = VOCABULARY, capacity: int = SEQU
     histogram = {r["units"]: r["count"] for r in pieces.groupBy("units").count().collect()}  # at most capacity / granule rows
     segments = _segments(plan_bins(histogram, capacity // granule))
     order = [F.col(c) for c in ("doc_id", "start", "row_hash", "length")]
-    ranked = dense_rank_in_groups(pieces, pieces, ["units"], F.xxhash64("doc_id", "start"), order, "rank", sum(histogram.values()))
+    total = sum(histogram.values())
+    # As many chunks as rows in each: a common length is dealt over all of them, and so is the table of their sizes.
+    ranked = dense_rank_in_groups(pieces, pieces, ["units"], F.xxhash64("doc_id", "start", "row_hash"), order, "rank", total, max(1, math.isqrt(total)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
