@@ -40,7 +40,7 @@ BANDS, ROWS = 32, 4
 PAIRS_A_MEMBER, KEYS_A_MEMBER = 16, 1000
 LEVELS = (1, 2, 4, 6)
 #: Members of a family that one part of a join takes, and the most parts of a family.
-MEMBERS_A_SALT, MOST_SALTS = 4096, 256
+MEMBERS_A_SALT, MOST_SALTS = 1024, 256
 _U = np.uint64
 
 
@@ -184,17 +184,17 @@ def _cores(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _salted(families: DataFrame) -> DataFrame:
-    """A row of a family for each part that its members are dealt into."""
-    return families.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    """A row of a family for each part that its members are dealt into: joined by (family, salt), no family lands in one task."""
+    return families.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
 
 def _against_core(members: DataFrame, cores: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members (family, rep, c, salt) with sizes n of their set and nc of the core, the number m of shingles missing of it, and those and the ones beyond it as ``d``."""
+    """Members (family, rep, c, salt of salts) with sizes n of their set and nc of the core, the number m of shingles missing of it, and those and the ones beyond it as ``d``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m, nc, differ = [], [], [], []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            for x, y in zip(batch.column(5), batch.column(6), strict=True):
                 core, own = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 missing = np.setdiff1d(core, own, assume_unique=True)
                 n.append(len(own))
@@ -203,12 +203,12 @@ def _against_core(members: DataFrame, cores: DataFrame, sets: DataFrame) -> Data
                 differ.append(np.concatenate([missing, np.setdiff1d(own, core, assume_unique=True)]))
             d = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, differ)]).astype(np.int32)), pa.array(np.concatenate([*differ, np.empty(0, _U)]).view(np.int64)))
             sizes = [pa.array(v, pa.int64()) for v in (n, m, nc)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *sizes, d], ["family", "rep", "c", "salt", "n", "m", "nc", "d"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *sizes, d], ["family", "rep", "c", "salt", "salts", "n", "m", "nc", "d"])
         settle()
 
-    dealt = members.join(cores.select("family", "salts"), "family").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).drop("salts")
+    dealt = members.join(cores.select("family", "salts"), "family").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
     both = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").join(_salted(cores), ["family", "salt"])
-    return both.select("family", "rep", "c", "salt", "core", "s").mapInArrow(run, "family long, rep long, c long, salt int, n long, m long, nc long, d array<long>")
+    return both.select("family", "rep", "c", "salt", "salts", "core", "s").mapInArrow(run, "family long, rep long, c long, salt int, salts int, n long, m long, nc long, d array<long>")
 
 
 def _linked(percent: int) -> Column:
@@ -224,7 +224,7 @@ def _confirm_beyond(pairs: DataFrame, against: DataFrame, percent: int) -> DataF
 
 
 def _features(against: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(family, rep, c, strange, nc, g, features): the features that a stranger and another member have, rarest first.
+    """(family, rep, c, salt, salts, strange, nc, g, features): the features that a stranger and another member have, rarest first.
 
     Two members share  nc - m_a - m_b  shingles and those in both of their ``d``.  A link
     asks for  p / (1 + p) * (n_a + n_b)  at least, so with  g = p * n + (1 + p) * m  they
@@ -235,7 +235,7 @@ def _features(against: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     often = feature.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("often"), F.bool_or("strange").alias("used")).filter("often > 1 AND used").drop("used")
     mine = feature.join(often, ["family", "shingle"]).groupBy("family", "rep").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("features"))
     g = F.expr(f"{percent} * n + {100 + percent} * m")
-    member = against.select("family", "rep", "c", "strange", "nc", g.alias("g")).join(mine, ["family", "rep"])
+    member = against.select("family", "rep", "c", "salt", "salts", "strange", "nc", g.alias("g")).join(mine, ["family", "rep"])
     return scratch.stash(member.withColumn("features", F.transform("features", lambda x: x["shingle"])), "family-features")
 
 
@@ -249,11 +249,11 @@ def _lists(members: DataFrame, percent: int, k: int) -> DataFrame:
     """
     whole = 100 + percent
     need = lambda x, y: F.expr(f"greatest(1, int(ceil(({x} + {y} - {whole} * nc) / {whole})))")
-    strangers = members.filter("strange").groupBy("family").agg(F.min("g").alias("gs"))
-    low = members.join(strangers, "family").withColumn("need", need("g", "if(strange, g, greatest(g, gs))")).filter(F.size("features") >= F.col("need"))
+    strangers = members.filter("strange").groupBy("family").agg(F.min("g").alias("gs"), F.max("salts").alias("salts"))
+    low = members.join(_salted(strangers), ["family", "salt"]).withColumn("need", need("g", "if(strange, g, greatest(g, gs))")).filter(F.size("features") >= F.col("need"))
     low = low.withColumn("taken", F.least("need", F.lit(k))).withColumn("kind", F.struct("strange", "taken"))
-    kinds = low.groupBy("family", "kind").agg(F.min("g").alias("gl"))
-    up = members.join(kinds, "family").filter("g >= gl AND (strange OR kind.strange)").withColumn("need", need("g", "gl")).withColumn("taken", F.col("kind.taken"))
+    kinds = low.groupBy("family", "kind").agg(F.min("g").alias("gl"), F.max("salts").alias("salts"))
+    up = members.join(_salted(kinds), ["family", "salt"]).filter("g >= gl AND (strange OR kind.strange)").withColumn("need", need("g", "gl")).withColumn("taken", F.col("kind.taken"))
     columns = ["family", "kind", "rep", "c", "g", "taken", "need", "features"]
     both = low.select(F.lit(True).alias("lower"), *columns).unionByName(up.filter(F.size("features") >= F.col("need")).select(F.lit(False).alias("lower"), *columns))
     return both.withColumn("features", F.expr("slice(features, 1, size(features) - need + taken)")).drop("need")
@@ -327,15 +327,16 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     classes = scratch.stash(classes, "classes")
 
     # Buckets of more than one set, each with its hub.
-    rare = signed.filter(F.size("keys") > 0).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rare = signed.filter(F.size("keys") > 0).join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     keyed = rare.select(F.struct(F.xxhash64("doc_id").alias("x"), F.col("doc_id").alias("rep")).alias("place"), F.explode("keys").alias("key"))
     hubs = scratch.stash(keyed.groupBy("key").agg(F.min("place").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub"), "hubs")
     mates = scratch.stash(keyed.join(hubs, "key").select("hub", F.col("place.rep").alias("rep")).filter("hub.rep != rep").distinct(), "mates")
     met = mates.count()
 
     # Round 1: the best hub of each.
+    # Joined by merging at every size: it spills where it must, and a small run shows what a large one does.
     needed = mates.select(F.col("rep").alias("doc_id")).unionByName(mates.select(F.col("hub.rep").alias("doc_id"))).distinct()
-    sets = scratch.stash(_sets(docs.join(needed, "doc_id", "left_semi"), words).distinct(), "sets")
+    sets = scratch.stash(_sets(docs.join(needed.hint("merge"), "doc_id", "left_semi"), words).distinct(), "sets")
     best = mates.groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
     first = scratch.stash(_confirm(best, sets, percent), "round-1")
     links = first.filter("linked").select("a", "b")
@@ -356,7 +357,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
         middle = against.groupBy("family").agg(F.min(F.struct(away.alias("away"), "rep")).alias("x")).select("family", F.col("x.rep").alias("middle"))
         middle = scratch.stash(middle, "middles", 2 * met)
         at = middle.join(labels.withColumnsRenamed({"node": "middle", "component": "cm"}), "middle", "left").select("family", "middle", F.coalesce("cm", "middle").alias("cm"))
-        of_middle = against.join(at.withColumnsRenamed({"middle": "rep"}), ["family", "rep"]).join(cores.select("family", "salts"), "family")
+        of_middle = against.join(at.withColumnsRenamed({"middle": "rep"}), ["family", "rep"])
         of_middle = _salted(of_middle.select("family", "salts", F.col("rep").alias("b"), F.col("cm").alias("cb"), *(F.col(c).alias(f"{c}_b") for c in ("n", "m", "d"))))
         spokes = against.join(of_middle, ["family", "salt"]).filter("rep != b AND c != cb").select(F.col("rep").alias("a"), "b", "nc", *(F.col(c).alias(f"{c}_a") for c in ("n", "m", "d")), "n_b", "m_b", "d_b")
         pairs["middle"] = second = scratch.stash(spokes.select("a", "b", _linked(percent).alias("linked")), "round-2")
@@ -365,12 +366,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
 
         # Round 3: members that the middle does not tie, with others of their family in other components.
         named = labels.withColumnsRenamed({"node": "rep", "component": "now"})
-        against = against.join(named, "rep", "left").withColumn("c", F.coalesce("now", "rep")).drop("now", "salt")
-        home = scratch.stash(middle.join(labels.withColumnsRenamed({"node": "middle", "component": "home"}), "middle", "left").select("family", F.coalesce("home", "middle").alias("home")), "homes", 2 * met)
-        against = scratch.stash(against.join(home, "family").withColumn("strange", F.col("c") != F.col("home")).drop("home"), "against-middles")
-        strange = scratch.stash(against.filter("strange").select("family").distinct(), "strange-families", 2 * met)
+        against = against.join(named, "rep", "left").withColumn("c", F.coalesce("now", "rep")).drop("now")
+        home = middle.join(labels.withColumnsRenamed({"node": "middle", "component": "home"}), "middle", "left").join(cores.select("family", "salts"), "family")
+        home = scratch.stash(home.select("family", F.coalesce("home", "middle").alias("home"), "salts"), "homes", 2 * met)
+        against = scratch.stash(against.join(_salted(home), ["family", "salt"]).withColumn("strange", F.col("c") != F.col("home")).drop("home"), "against-middles")
+        strange = scratch.stash(against.filter("strange").select("family", "salts").distinct(), "strange-families", 2 * met)
         if not strange.isEmpty():
-            across = scratch.stash(_across(against.join(strange, "family"), percent, scratch, 2 * met), "across")
+            across = scratch.stash(_across(against.join(_salted(strange), ["family", "salt"]), percent, scratch, 2 * met), "across")
             pairs["beyond"] = third = scratch.stash(_confirm_beyond(across, against, percent), "round-3")
             new = third.filter("linked").select("a", "b")
             if not new.isEmpty():
