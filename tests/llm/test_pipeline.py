@@ -63,3 +63,27 @@ def test_stages(spark):
     pieces = stages["sequences"](spark, clean, SF).toPandas()
     assert set(pieces.doc_id) == set(rows) and pieces.groupby("sequence_id").length.sum().max() <= 4096
     assert len(corpus_pipeline.run(spark, SF).toPandas()) == len(pieces)
+
+
+def test_stages_on_awkward_rows(spark):
+    """Repeated ids and rows, nulls, blank and very long texts, extra columns with names that stages use, and an empty table."""
+    import random
+
+    r = random.Random(4)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9))) + r.choice(["", "", "", "", ".", ","]) for _ in range(n))
+    one, two, long = say(120), say(130), say(30_000)
+    texts = [(1, one), (1, one), (1, two), (2, one.replace(" ", "  ")), (3, None), (4, ""), (5, " \n"), (6, long), (7, one + " tail"), (None, two), (None, say(90)), (8, say(100))]
+    extra = ["_id", "_gone", "_spans", "_row", "_many", "kept", "shard", "votes", "n", "family"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(d, t, len(t or ""), *extra) for d, t in texts], schema)
+    survivors = sorted(map(len, [long, two, one.replace(" ", "  "), texts[10][1], texts[11][1]]))
+    for df, want in ((docs, survivors), (docs.limit(0), [])):
+        left = df
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            left = stage(spark, left, SF)
+            assert left.columns == docs.columns, name
+        assert sorted(len(x["text"]) for x in left.collect()) == want
+        left = corpus_pipeline.STAGES[3][1](spark, left, SF)
+        assert left.columns == docs.columns and left.count() == len(want)
+        pieces = corpus_pipeline.STAGES[4][1](spark, left, SF).toPandas()
+        assert (pieces.start == 0).sum() == len(want) and pieces.groupby("sequence_id").length.sum().le(4096).all()
