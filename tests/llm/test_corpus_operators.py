@@ -587,20 +587,60 @@ def test_personal_data(docs, rows, nothing):
     assert pii.find_personal_data(nothing).count() == 0
 
 
-def test_field_on_held_out_sentences():
-    model = pii.model()
-    right = total = 0
-    for sentence, states in pii.training_table(seed=99, sentences=300):
-        want = {k for k, s in enumerate(states) if s}
-        starts, at = [], 0
-        for w in sentence:
-            starts.append(at)
-            at += len(w) + 1
-        found = pii.field_spans([" ".join(sentence)], model)[0]
-        got = {k for k, s in enumerate(starts) for a, _, b in found if a < s + len(sentence[k]) and s < b}
-        right += got == want
-        total += 1
-    assert right / total > 0.95
+def held_out(seed, n):
+    """Sentences and their spans (kind, text), from other patterns, names, streets and formats than the table the field learns from."""
+    r = random.Random(seed)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    say = lambda k: " ".join(r.choice("yesterday we could see how every small river bends near an old farm before rain comes again so nobody waits".split()) for _ in range(k))
+    name = lambda: f"{r.choice('Tobias Ingrid Samuel Helen Victor Claire Frank Alice Oscar Nadia'.split())} {r.choice('Underwood Petersen Abbott Larsen Whitfield Moss Carver Bianchi'.split())}"
+    street = lambda: f"{r.randrange(1, 900)} {r.choice('Willow Abbey Harbour Orchard Victoria Linden'.split())} {r.choice(['Street', 'Road', 'Lane', 'Ave', 'Drive'])}"
+    password = lambda: r.choice(["".join(r.choice("qwertzuiopasdfghjkl") for _ in range(12)), "Summer" + d(4) + "!", "x" + d(3) + "Qp#" + d(2) + "zz"])
+    iban = lambda: r.choice(["AT", "BE", "PL", "DE"]) + d(2) + " " + " ".join(d(4) for _ in range(4))
+    makers = [
+        ("name", name, ["Yours, Mr {}, " + say(4), "her name is {} and " + say(3), "Ms {} said " + say(5)]),
+        ("address", street, [say(3) + " lives at {}, " + say(3), "deliver to {} " + say(2), "our address is {}."]),
+        ("secret", password, ["password: {} " + say(4), say(2) + " the password is {}, " + say(2), "login bob passwd: {}"]),
+        ("email", lambda: f"{r.choice(['frank', 'alice', 'victor'])} at {r.choice(['webmail', 'office', 'home'])} dot {r.choice(['com', 'org', 'net'])}", [say(3) + " write to {} " + say(2), "email {}, " + say(3)]),
+        ("iban", iban, ["IBAN: {}, " + say(3), "transfer to {} " + say(3)]),
+        ("national_id", lambda: f"{d(3)}-{d(2)}-{d(4)}", ["his SSN is {} " + say(3), "social security {}, " + say(2)]),
+        ("phone", lambda: f"({d(3)}) {d(3)}-{d(4)}", ["call {} " + say(3), "phone: {}, " + say(2)]),
+        ("card", lambda: next(" ".join((b + x)[k : k + 4] for k in range(0, 16, 4)) for b in ["4" + d(14)] for x in "0123456789" if pii.luhn(b + x)), ["card {} " + say(3), say(3) + " paid with {}."]),
+        ("secret", lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), ['token = "{}" ' + say(3), "api_key: {} " + say(2)]),
+        (None, lambda: d(r.choice([1, 2, 3, 4, 5, 6])), [say(4) + " {} " + say(4), "In {} " + say(5), say(3) + ". Nobody saw {} " + say(2), "we sold {} items, " + say(3)]),
+        (None, lambda: r.choice(["Version 2.0", "page 12", "the 3rd day", "10 Great Ideas", "Part 4: Old Rivers", "Open Road 7", "2019-03-04"]), [say(4) + " {} " + say(4), "{} " + say(5)]),
+        (None, lambda: r.choice(["password", "secret", "token", "name", "contact", "dot"]), [say(4) + " {} " + say(4), "every {} " + say(5), "the {} was " + say(3)]),
+    ]
+    for _ in range(n):
+        kind, make, patterns = r.choice(makers)
+        value, pattern = make(), r.choice(patterns)
+        yield pattern.replace("{}", value), [] if kind is None else [(kind, value)]
+
+
+def test_field_on_sentences_of_another_generator():
+    """Precision and recall of whole spans, kind and ends right but for a mark at the end; README states the figures."""
+    right = found = wanted = 0
+    for sentence, want in held_out(5, 1500):
+        got = [(pii.KINDS[k], sentence[a:b].rstrip("!")) for a, k, b in pii.find_spans([sentence], pii.model())[0][1]]
+        right += sum((kind, value.rstrip("!")) in got for kind, value in want)
+        found += len(got)
+        wanted += len(want)
+    print(f"precision {right / found:.3f}, recall {right / wanted:.3f}")
+    assert right / found > 0.9 and right / wanted > 0.9
+
+
+def test_scores_are_those_of_the_features():
+    field = pii.model()
+    for text, _ in pii.labelled_table(seed=3, rounds=1):
+        words_of = WORD.findall(text)
+        for (a, f), (b, scores) in zip(pii._features(words_of), field.runs(words_of), strict=True):
+            assert a == b and np.allclose(f @ field.crf.weights, scores, atol=1e-3)
+
+
+def test_field_sees_what_patterns_do_not():
+    text = "John Smith, 12 Rose Street, password: hunterswordfish; mail bob at site dot com; IBAN DE89 3704 0044 0532 0130 00; SSN 123-45-6789; call (771) 555-1655"
+    base, every = pii.find_spans([text], pii.model())[0]
+    want = [("name", "John Smith"), ("address", "12 Rose Street"), ("secret", "hunterswordfish"), ("email", "bob at site dot com"), ("iban", "DE89 3704 0044 0532 0130 00"), ("national_id", "123-45-6789"), ("phone", "(771) 555-1655")]
+    assert not base and [(pii.KINDS[k], text[a:b]) for a, k, b in every] == want
 
 
 def test_viterbi_is_the_best_path():
@@ -610,7 +650,7 @@ def test_viterbi_is_the_best_path():
     for _ in range(20):
         model = crf.Crf(r.normal(size=(3, 4)), r.normal(size=(4, 4)))
         f, n = r.normal(size=(2, 4, 3)), np.array([4, 2])
-        got = model.decode(f, n)
+        got = model.decode(f @ model.weights, n)
         for k in range(2):
             score = lambda p: model.transitions[0, p[0]] + sum(f[k, t] @ model.weights[:, s] for t, s in enumerate(p)) + sum(model.transitions[a, b] for a, b in zip(p, p[1:], strict=False)) + model.transitions[p[-1], 0]  # noqa: E731, B023
             assert tuple(got[k][: n[k]]) == max(product(range(4), repeat=int(n[k])), key=score)
