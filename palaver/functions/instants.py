@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palaver.functions.binding import bind
+
 _DATE = r"^\s*(\d{1,6})-(\d{1,2})-(\d{1,2})[T ]"
 _ZONE = r"(Z|[+-]\d{2}:?\d{2})"
 _SEARCH = _DATE + r"(?:(\d{1,2}):(\d{1,2}):(\d{1,2})|(\d{2})(\d{2})(\d{2}))(?:\.(\d+))?" + _ZONE + r"\s*$"
@@ -57,22 +59,32 @@ def _instant(ok: Column, days: Column, clock: list[Column], offset: Column, nano
     return F.when(fine, F.struct(seconds.cast("long").alias("sec"), nanos.cast("int").alias("nanos")))
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The groups of a pattern as an array, all null where it does not match."""
+    return F.when(text.rlike(pattern), F.array(*(F.regexp_extract(text, pattern, k) for k in range(n + 1))))
+
+
 def search_instant(text: Column) -> Column:
     """Struct (sec, nanos), or null for text that isn't an instant with a zone."""
-    part = lambda k: F.regexp_extract(text, _SEARCH, k)
-    year, month, day = (_number(part(k)) for k in (1, 2, 3))
-    clock = [F.coalesce(_number(part(k)), _number(part(k + 3))) for k in (4, 5, 6)]
-    fraction, zone = part(10), part(11)
-    ok = text.rlike(_SEARCH) & month.between(1, 12) & day.between(1, _month_days(year, month)) & _zone_ok(zone) & ~F.substring(fraction, 10, 1 << 20).rlike("[1-9]")
-    return _instant(ok, _days(year, month, day), clock, _offset(zone), _nanos(fraction))
+
+    def read(p: Column) -> Column:
+        year, month, day = (_number(p[k]) for k in (1, 2, 3))
+        clock = [F.coalesce(_number(p[k]), _number(p[k + 3])) for k in (4, 5, 6)]
+        ok = month.between(1, 12) & day.between(1, _month_days(year, month)) & _zone_ok(p[11]) & ~F.substring(p[10], 10, 1 << 20).rlike("[1-9]")
+        return _instant(ok, _days(year, month, day), clock, _offset(p[11]), _nanos(p[10]))
+
+    return bind(_groups(text, _SEARCH, 11), read)
 
 
 def order_instant(text: Column) -> Column:
     """Struct (sec, nanos), or null for text that has no place on the line of time."""
-    part = lambda k: F.regexp_extract(text, _ORDER, k)
-    year, month, day = (_number(part(k)) for k in (1, 2, 3))
-    ok = text.rlike(_ORDER) & month.between(1, 12) & day.between(1, 31) & _zone_ok(part(8))
-    return _instant(ok, _days(year, month, day), [_number(part(k)) for k in (4, 5, 6)], _offset(part(8)), _nanos(part(7)))
+
+    def read(p: Column) -> Column:
+        year, month, day = (_number(p[k]) for k in (1, 2, 3))
+        ok = month.between(1, 12) & day.between(1, 31) & _zone_ok(p[8])
+        return _instant(ok, _days(year, month, day), [_number(p[k]) for k in (4, 5, 6)], _offset(p[8]), _nanos(p[7]))
+
+    return bind(_groups(text, _ORDER, 8), read)
 
 
 def sort_class(raw: Column, instant: Column) -> Column:

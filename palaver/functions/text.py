@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palaver.functions.binding import bind
+
 #: Characters that are indexed one by one and in pairs.
 HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
 INDEX_CHARS = 16_000
@@ -25,16 +27,22 @@ def bounded_index_text(text: Column) -> Column:
 
 
 def _han_pieces(run: Column, singles: bool) -> Column:
-    chars = F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0))
+    return bind(F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0)), lambda chars: _pieces(chars, singles))
+
+
+def _pieces(chars: Column, singles: bool) -> Column:
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - 2, F.lit(0))), lambda k: F.concat(F.get(chars, k), F.get(chars, k + 1)))
     pairs = F.when(F.size(chars) > 1, pairs).otherwise(F.array().cast("array<string>"))
     return F.array_join(F.concat(chars, pairs) if singles else pairs, " ")
 
 
 def _spread(text: Column, singles: bool) -> Column:
-    runs = F.regexp_extract_all(text, F.lit(_h("[HAN]+|[^HAN]+")), F.lit(0))
-    spread = F.transform(runs, lambda r: F.when(r.rlike(_h("^[HAN]")), _han_pieces(r, singles)).otherwise(F.trim(r)))
-    return F.when(has_han(text), F.array_join(F.filter(spread, lambda s: s != ""), " ")).otherwise(text)
+    def one(t: Column) -> Column:
+        runs = F.regexp_extract_all(t, F.lit(_h("[HAN]+|[^HAN]+")), F.lit(0))
+        spread = F.transform(runs, lambda r: F.when(r.rlike(_h("^[HAN]")), _han_pieces(r, singles)).otherwise(F.trim(r)))
+        return F.when(has_han(t), F.array_join(F.filter(spread, lambda s: s != ""), " ")).otherwise(t)
+
+    return bind(text, one)
 
 
 def index_text(text: Column) -> Column:
@@ -62,20 +70,18 @@ def why_matched(terms: Column, *haystacks: Column) -> Column:
     """The terms that the first haystack with any of them contains, whatever their case."""
 
     def found(text: Column) -> Column:
-        spread = F.lower(bigram_text(F.coalesce(text, F.lit(""))))
-        return F.filter(terms, lambda t: F.contains(spread, F.lower(t)))
+        return bind(F.lower(bigram_text(F.coalesce(text, F.lit("")))), lambda low: F.filter(terms, lambda t: F.contains(low, F.lower(t))))
 
     out = F.array().cast("array<string>")
     for text in reversed(haystacks):
-        hits = found(text)
-        out = F.when(F.size(hits) > 0, hits).otherwise(out)
+        out = bind(found(text), lambda hits, other=out: F.when(F.size(hits) > 0, hits).otherwise(other))
     return out
 
 
 def estimate_tokens(text: Column) -> Column:
     """A Han character is a token, four bytes of anything else are one, rounded up."""
-    other = F.regexp_replace(text, _h("[HAN]"), "")
-    return (F.length(text) - F.length(other) + F.ceil(F.octet_length(other) / 4)).cast("long")
+    count = lambda other: (F.length(text) - F.length(other) + F.ceil(F.octet_length(other) / 4)).cast("long")
+    return bind(F.regexp_replace(text, _h("[HAN]"), ""), count)
 
 
 def first_chars(text: Column, n: int) -> Column:

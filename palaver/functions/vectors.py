@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -28,21 +29,30 @@ def is_finite(a: Column) -> Column:
     return (F.size(a) > 0) & F.forall(a, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def embed_text(text: str, is_query: bool) -> np.ndarray:
-    """Unit vector: the digest of the text gives a faint fingerprint, every pair of characters adds one to a bin of its digest."""
+def _bin(pair: str) -> int:
+    return int.from_bytes(hashlib.sha256(pair.encode("utf-8", "surrogatepass")).digest()[:2], "little") % DIMENSIONS
+
+
+def embed_text(text: str, is_query: bool, bins: dict[str, int] | None = None) -> np.ndarray:
+    """Unit vector: the digest of the text gives a faint fingerprint, every pair of characters adds one to a bin of its digest.
+
+    ``bins`` remembers the bins of pairs from one text to the next.
+    """
     text = ("query: " if is_query else "passage: ") + text
-    out = np.zeros(DIMENSIONS, np.float32)
+    bins = {} if bins is None else bins
+    pairs = Counter(map("".join, zip(text, text[1:], strict=False)))
+    for pair in pairs.keys() - bins.keys():
+        bins[pair] = _bin(pair)
+    out = np.bincount([bins[p] for p in pairs], list(pairs.values()), DIMENSIONS).astype(np.float32)
     digest = np.frombuffer(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), np.uint8)
     out[np.arange(len(digest)) * (DIMENSIONS // len(digest))] += digest * np.float32(0.5 / 255)
-    for pair in zip(text, text[1:], strict=False):
-        two = hashlib.sha256("".join(pair).encode("utf-8", "surrogatepass")).digest()
-        out[int.from_bytes(two[:2], "little") % DIMENSIONS] += 1
     return out / np.linalg.norm(out)
 
 
 def embed(text: Column, is_query: bool = False) -> Column:
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else embed_text(t, is_query) for t in texts])
+        bins: dict[str, int] = {}  # the distinct pairs of a batch
+        return pd.Series([None if t is None else embed_text(t, is_query, bins) for t in texts])
 
     return run(text)

@@ -26,9 +26,17 @@ def by_provider(hits: DataFrame, store: Store, providers: Iterable[str]) -> Data
 
 
 def by_time(hits: DataFrame, store: Store, since: tuple[int, int] | None = None, until: tuple[int, int] | None = None) -> DataFrame:
-    """Messages at or after ``since`` and before ``until``; one without an instant matches neither."""
-    at = search_instant(F.col("ts_raw"))
-    timed = store.messages.select("message_id", at.alias("at")).filter("at IS NOT NULL")
+    """Messages at or after ``since`` and before ``until``; one without an instant matches neither.
+
+    The stored second, where there is one, is that of the strict reading, so the scan
+    prunes by it; only what is left is parsed.
+    """
+    stored, messages = F.col("ts_sec"), store.messages
+    if since is not None:
+        messages = messages.filter(stored.isNull() | (stored >= since[0]))
+    if until is not None:
+        messages = messages.filter(stored.isNull() | (stored <= until[0]))
+    timed = messages.filter("ts_raw IS NOT NULL").select("message_id", search_instant(F.col("ts_raw")).alias("at")).filter("at IS NOT NULL")
     point = lambda p: F.struct(F.lit(p[0]).cast("long").alias("sec"), F.lit(p[1]).cast("int").alias("nanos"))
     if since is not None:
         timed = timed.filter(F.col("at") >= point(since))

@@ -6,7 +6,10 @@ walk from a leaf to its root runs per session, over pointers of placements alone
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,36 +84,34 @@ def mainline(store: Store) -> DataFrame:
     """
     pointers = store.placements.select("session_id", "placement_id").join(parents(store), ["session_id", "placement_id"], "left").join(leaves(store), "session_id")
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        up = dict(zip(rows["placement_id"], rows["parent_placement_id"], strict=True))
-        unclear = set(rows.loc[rows["ambiguous"].fillna(False).astype(bool), "placement_id"])
-        session, at = rows["session_id"].iloc[0], rows["leaf"].iloc[0]
-        chain, seen = [], set()
-        while isinstance(at, str) and at not in seen:
+    schema = pa.schema([("session_id", pa.string()), ("placement_id", pa.string()), ("position", pa.int32()), ("error", pa.string())])
+
+    def walk(session: str, rows: list[tuple]) -> list[tuple]:
+        up = {placement: parent for placement, parent, _, _ in rows}
+        unclear = {placement for placement, _, ambiguous, _ in rows if ambiguous}
+        at, chain, seen = rows[0][3], [], set()
+        while at is not None and at not in seen:
             if at in unclear:
-                return pd.DataFrame({"session_id": [session], "placement_id": [at], "position": [-1], "error": ["ambiguous parent"]})
+                return [(session, at, -1, "ambiguous parent")]
             seen.add(at)
             chain.append(at)
             at = up.get(at)
-        chain.reverse()
-        return pd.DataFrame({"session_id": session, "placement_id": chain, "position": range(len(chain)), "error": None})
+        return [(session, placement, k, None) for k, placement in enumerate(reversed(chain))]
 
-    return pointers.groupBy("session_id").applyInPandas(walk, "session_id string, placement_id string, position int, error string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("session_id", "placement_id", "parent_placement_id", "ambiguous", "leaf")), strict=True))
+        out: list[tuple] = []
+        for session, own in groupby(rows, key=lambda r: r[0]):
+            out += walk(session, [r[1:] for r in own])
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    dealt = pointers.select("session_id", "placement_id", "parent_placement_id", "ambiguous", "leaf").repartition("session_id").sortWithinPartitions("session_id")
+    return dealt.mapInArrow(run, "session_id string, placement_id string, position int, error string")
 
 
 def relation_of(is_sidechain):
     return F.when(is_sidechain, "subagent").otherwise("reply")
-
-
-def mainline_recursive_sql(pointers: str, leaves_view: str, depth: int) -> str:
-    """The walk as a recursive query, for stores whose chains are known to be shorter than ``depth``."""
-    return f"""
-    WITH RECURSIVE walk(session_id, placement_id, step, seen) MAX RECURSION LEVEL {depth} AS (
-      SELECT session_id, leaf, 0, array(leaf) FROM {leaves_view}
-      UNION ALL
-      SELECT w.session_id, p.parent_placement_id, w.step + 1, concat(w.seen, array(p.parent_placement_id))
-      FROM walk w JOIN {pointers} p ON p.session_id = w.session_id AND p.placement_id = w.placement_id
-      WHERE p.parent_placement_id IS NOT NULL AND NOT array_contains(w.seen, p.parent_placement_id)
-    )
-    SELECT session_id, placement_id, max(step) OVER (PARTITION BY session_id) - step AS position FROM walk
-    """

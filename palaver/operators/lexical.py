@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palaver.functions.binding import bind
 from palaver.functions.text import bounded_index_text, index_text, tokens
 
 K1, B = 1.2, 0.75
@@ -46,21 +47,26 @@ def bm25(tf: Column, df: Column, length: Column, docs: Column, mean_length: Colu
 def scan_search(corpus: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
     """(id, bm25) of the rows that hold every word of the query; an empty query matches nothing.
 
-    Only counts of the query's terms leave the scan; the statistics are one row, broadcast.
+    Only counts of the query's terms leave the one scan; the statistics are one row, broadcast.
     """
     phrases = query_phrases(query)
     if not phrases:
         return corpus.select(F.col(id_col).alias("id"), F.lit(0.0).alias("bm25")).limit(0)
     terms = list(dict.fromkeys(t for p in phrases for t in p))
-    words = corpus.select(F.col(id_col).alias("id"), indexed_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    tf = [_count(F.col("w"), t).alias(f"tf{k}") for k, t in enumerate(terms)]
-    line = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    matched = _all([_holds_phrase(line, p) for p in phrases])
-    counted = words.select("id", F.size("w").alias("dl"), *tf, matched.alias("matched"))
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
-    scored = counted.filter("matched").crossJoin(F.broadcast(stats))  # one row
+
+    def count(words: Column) -> Column:
+        line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        tf = [_count(words, t).alias(f"tf{k}") for k, t in enumerate(terms)]
+        return F.struct(F.size(words).alias("dl"), *tf, _all([_holds_phrase(line, p) for p in phrases]).alias("matched"))
+
+    told = bind(indexed_tokens(F.coalesce(F.col(text_col), F.lit(""))), count)
+    # Statistics and scores read the same columns of one exchange, so the texts are read and cut into words once.
+    counted = corpus.select(F.col(id_col).alias("id"), told.alias("t")).select("id", "t.*").repartition("id")
+    seen = [F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))]
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.count("id").alias("ids"), F.count_if("matched").alias("hits"), *seen)
+    scored = counted.crossJoin(F.broadcast(stats))  # one row
     score = sum((bm25(F.col(f"tf{k}"), F.col(f"df{k}"), F.col("dl"), F.col("n"), F.col("avgdl")) for k in range(len(terms))), F.lit(0.0))
-    return scored.select("id", score.alias("bm25"))
+    return scored.select("id", F.when(F.col("matched") & (F.col("hits") > 0), score).alias("bm25")).filter("bm25 IS NOT NULL")
 
 
 def build_postings(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from palaver.schema import Store
 
+#: Ids of one lookup.
+MAX_IDS = 10_000
+
 
 def merge_messages(claims: DataFrame) -> DataFrame:
     """One row a message out of claims (source_path, message_id, role, text, ts_raw, provider_id).
@@ -14,7 +17,7 @@ def merge_messages(claims: DataFrame) -> DataFrame:
     Across sources the longest text wins, then the one that sorts first; the other fields
     must agree, which ``merge_conflicts`` checks.
     """
-    best = F.max_by(F.struct("role", "text", "ts_raw", "provider_id", "source_path"), F.struct(F.coalesce(F.length("text"), F.lit(-1)), F.hash("text")))
+    best = F.max_by(F.struct("role", "text", "ts_raw", "provider_id", "source_path"), F.struct(F.coalesce(F.length("text"), F.lit(-1)), F.xxhash64("text"), "text", "source_path"))
     merged = claims.groupBy("message_id").agg(best.alias("m"), F.countDistinct("source_path").alias("sources"))
     return merged.select("message_id", "m.role", "m.text", "m.ts_raw", "m.provider_id", "sources")
 
@@ -47,9 +50,14 @@ def get(table: DataFrame, wire_id: str, id_col: str = "message_id") -> DataFrame
 
 
 def get_many(table: DataFrame, ids: list[str], id_col: str = "message_id") -> DataFrame:
-    """Rows in the order of ``ids``, which may repeat; ids that are missing give rows of nulls."""
+    """Rows in the order of ``ids``, which may repeat; ids that are missing give rows of nulls.
+
+    The table is filtered by the ids first, which a scan can push down; what is joined is as long as the request.
+    """
+    if len(ids) > MAX_IDS:
+        raise ValueError(f"at most {MAX_IDS} ids at once")
     asked = table.sparkSession.createDataFrame(list(enumerate(ids)), f"pos int, {id_col} string")
-    return F.broadcast(asked).join(table, id_col, "left").orderBy("pos")  # as long as the request
+    return asked.join(table.filter(F.col(id_col).isin(*set(ids))), id_col, "left").orderBy("pos")
 
 
 def list_page(table: DataFrame, limit: int, after: str | None = None, id_col: str = "message_id") -> DataFrame:

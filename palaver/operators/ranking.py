@@ -80,14 +80,14 @@ def group_by_session(hits: DataFrame, score: str = "score", id_col: str = "id",
 
 
 def top_k_cosine(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vector: str = "embedding", floor: float | None = None) -> DataFrame:
-    """(id, cosine) of the k nearest rows at or above the floor: a partial top k in each task, then one merge."""
-    from palaver.functions.vectors import cosine, norm
+    """(id, cosine) of the k nearest rows at or above the floor: a partial top k in each task, then one merge.  Vectors that are empty or not finite are near nothing."""
+    from palaver.functions.vectors import cosine, is_finite, norm
 
     size = sum(x * x for x in query) ** 0.5
     if not query or not size < float("inf"):
         raise ValueError("a query vector must be finite and not empty")
     unit = F.array(*(F.lit(x / size if size else 0.0) for x in query))
-    scored = vectors.select(F.col(id_col).alias("id"), (cosine(F.col(vector), unit) / F.greatest(norm(F.col(vector)), F.lit(1e-30))).alias("cosine"))
+    scored = vectors.filter(is_finite(F.col(vector))).select(F.col(id_col).alias("id"), (cosine(F.col(vector), unit) / F.greatest(norm(F.col(vector)), F.lit(1e-30))).alias("cosine"))
     if floor is not None:
         scored = scored.filter(F.col("cosine") >= floor)
     return scored.orderBy(F.col("cosine").desc(), "id").limit(k)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.schema import Store
@@ -71,14 +74,27 @@ def observation(delta: tuple[int, int, int, int]) -> tuple[int, int, int, int, i
 
 
 def cumulative_deltas(reports: DataFrame) -> DataFrame:
-    """Usage events out of reports (source, place, forked, total, last), where total and last are arrays of four numbers or null."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        quad = lambda x: None if x is None else tuple(int(v) for v in x)
-        deltas = fold_totals([(p, quad(t), quad(x)) for p, t, x in zip(rows["place"], rows["total"], rows["last"], strict=True)], bool(rows["forked"].any()))
-        events = [(rows["source"].iloc[0], p, *observation(d), "derived") for p, d in deltas]
-        return pd.DataFrame(events, columns=["source", "place", *BUCKETS, "token_source"])
+    """Usage events out of reports (source, place, forked, total, last), where total and last are arrays of four numbers or null.
 
-    schema = "source string, place long, " + ", ".join(f"{b} long" for b in BUCKETS) + ", token_source string"
-    return reports.groupBy("source").applyInPandas(fold, schema)
+    Sources are sorted within tasks and streamed; one that any report calls forked is a
+    fork, which a window tells each of its reports.  A source's reports are held together.
+    """
+    marked = reports.withColumn("forked", F.max("forked").over(Window.partitionBy("source")))
+    names = ["source", "place", *BUCKETS, "token_source"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.select(["source", "place", "forked", "total", "last"]).to_pylist())
+        quad = lambda x: None if x is None else tuple(x)
+        events: list[tuple] = []
+        for source, own in groupby(rows, key=lambda r: r["source"]):
+            told = list(own)
+            deltas = fold_totals([(r["place"], quad(r["total"]), quad(r["last"])) for r in told], bool(told[0]["forked"]))
+            events += [(source, place, *observation(d), "derived") for place, d in deltas]
+            if len(events) >= 10_000:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, e, strict=True)) for e in events], schema)
+                events = []
+        yield pa.RecordBatch.from_pylist([dict(zip(names, e, strict=True)) for e in events], schema)
+
+    schema = pa.schema([("source", pa.string()), ("place", pa.int64()), *((b, pa.int64()) for b in BUCKETS), ("token_source", pa.string())])
+    told = "source string, place long, " + ", ".join(f"{b} long" for b in BUCKETS) + ", token_source string"
+    return marked.repartition("source").sortWithinPartitions("source", "place").mapInArrow(run, told)
