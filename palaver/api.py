@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,8 +58,15 @@ class Search:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store: Store, *, now_ms: int, vectors: DataFrame | None = None, generation: int = 0) -> None:
-        self.spark, self.store, self.now_ms, self.vectors, self.generation = spark, store, now_ms, vectors, generation
+    """``index`` is the folder of a generation's postings; without one, search reads the texts."""
+
+    def __init__(self, spark: SparkSession, store: Store, *, now_ms: int, vectors: DataFrame | None = None, generation: int = 0, index: str | None = None) -> None:
+        self.spark, self.store, self.now_ms, self.vectors, self.generation, self.index = spark, store, now_ms, vectors, generation, index
+
+    @classmethod
+    def open(cls, spark: SparkSession, generations: ingest.Generations, *, now_ms: int, vectors: DataFrame | None = None) -> Engine:
+        """The engine over the current generation and its index."""
+        return cls(spark, generations.open(spark), now_ms=now_ms, vectors=vectors, generation=generations.current(spark)["generation"], index=generations.index(spark))
 
     # --- search -----------------------------------------------------------------------
 
@@ -91,27 +99,33 @@ class Engine:
         plain = not (q.providers or since or until or q.repo or q.tool_kind or q.tool_name or q.include_system is False or q.sidechain != "include")
         return None if plain else out
 
+    def _found(self, corpus: str, query: str) -> DataFrame:
+        """(id, bm25) in the messages or sessions, by postings where there are any."""
+        if self.index is not None:
+            return lexical.index_search(self.spark, f"{self.index}/{corpus}", query)
+        if corpus == "messages":
+            return lexical.scan_search(self.store.messages, "message_id", "text", query)
+        return lexical.scan_search(self.session_corpus(), "session_id", "text", query)
+
     def _lexical(self, q: Search, window: int) -> DataFrame:
-        """Ranked hits of messages and of sessions, by rank alone, before any signal."""
+        """Ranked hits of messages and of sessions, by rank alone, before any signal; words are weighed over all of a corpus, filters come after."""
         allowed = self._allowed(q)
-        found = lexical.scan_search(self.store.messages, "message_id", "text", q.query)
+        found = self._found("messages", q.query)
         if allowed is not None:
             found = found.join(allowed.withColumnRenamed("message_id", "id"), "id", "left_semi")
         hits = [ranking.ranked(found, "bm25", limit=window)]
         if not (q.since or q.until or q.tool_kind or q.tool_name or q.sidechain != "include"):
-            hits.append(ranking.ranked(lexical.scan_search(self.session_corpus(q), "session_id", "text", q.query), "bm25", limit=window))
+            told = self._found("sessions", q.query)
+            if q.providers:
+                own = self.store.resume_claims.filter(F.col("provider_id").isin(*filters.canonical_providers(q.providers)))
+                told = told.join(own.select(F.col("session_id").alias("id")), "id", "left_semi")
+            if q.repo:
+                told = told.join(self.store.sessions.filter(F.col("repo_slug") == q.repo).select(F.col("session_id").alias("id")), "id", "left_semi")
+            hits.append(ranking.ranked(told, "bm25", limit=window))
         return ranking.union_of_corpora(*hits)
 
-    def session_corpus(self, q: Search | None = None) -> DataFrame:
-        """(session_id, text): what a session is found by, its provider's id, folder and whole first request, of which search sees as much as of any text."""
-        claims = self.store.resume_claims.groupBy("session_id").agg(F.min("provider_session_id").alias("native"), F.min("cwd").alias("cwd"), F.min("provider_id").alias("provider_id"))
-        first = sessions.first_request(sessions.occurrences(self.store))
-        told = self.store.sessions.join(claims, "session_id", "left").join(first, "session_id", "left")
-        if q and q.providers:
-            told = told.filter(F.col("provider_id").isin(*filters.canonical_providers(q.providers)))
-        if q and q.repo:
-            told = told.filter(F.col("repo_slug") == q.repo)
-        return told.select("session_id", F.concat_ws(" ", "native", "cwd", "first_request").alias("text"))
+    def session_corpus(self) -> DataFrame:
+        return sessions.search_text(self.store)
 
     def _semantic(self, q: Search, k: int) -> DataFrame:
         if self.vectors is None:
@@ -127,7 +141,11 @@ class Engine:
         """A page of hits: id, score, session_id, text, snippet, why_matched, suggested, resume_available, occurrences when grouped.
 
         Where vectors are missing, a semantic or hybrid search falls back to words;
-        ``retrieval`` says what was done.
+        ``retrieval`` says what was done.  The page is cut to the bytes of the budget;
+        ``has_more`` says that hits follow what is left of it, ``reason`` what cut it.
+
+        The hits, at most twice a rank window, and then the page are collected: what is
+        told of them is read by their ids.
         """
         q.validate()
         window = ranking.RANK_WINDOW * (ranking.GROUP_FACTOR if q.group_by_session else 1)
@@ -139,20 +157,31 @@ class Engine:
             words = ranking.ranked(self._lexical(q, window), "score", limit=window)
             scored = ranking.fuse(words, self._semantic(q, window))
         else:
-            scored = self._signals(self._lexical(q, window), q)
-        hits = self._owned(scored)
+            scored = self._signals(self._few(self._lexical(q, window)), q)
+        hits = self._owned(self._few(scored))
         hits = ranking.group_by_session(hits) if q.group_by_session else hits.withColumn("occurrences", F.lit(1).cast("long"))
-        hits = ranking.page(hits, q.offset, min(q.limit, q.budget.max_items))
-        return self._told(hits, q).withColumn("retrieval", F.lit(done))
+        limit = min(q.limit, q.budget.max_items)
+        hits = ranking.page(hits, q.offset, limit + 1)
+        return self._told(hits, q, limit).withColumn("retrieval", F.lit(done))
+
+    def _few(self, hits: DataFrame) -> DataFrame:
+        """Hits of a bounded number as a table of the driver."""
+        return self.spark.createDataFrame(hits.select("id", F.col("score").cast("double")).collect(), "id string, score double")
+
+    def _placed(self, hits: DataFrame) -> Store:
+        """The store with the placements of the hits alone, whose ids are few enough to be sent to every task."""
+        of = F.broadcast(hits.select(F.col("id").alias("message_id")).distinct())
+        return self.store.with_tables(placements=self.store.placements.join(of, "message_id", "left_semi"))
 
     def _owned(self, scored: DataFrame) -> DataFrame:
-        owner = sessions.owning_session(self.store).withColumnRenamed("message_id", "id")
+        owner = sessions.owning_session(self._placed(scored)).withColumnRenamed("message_id", "id")
         return scored.join(owner, "id", "left").withColumn("session_id", F.coalesce("session_id", F.when(F.col("id").startswith("ses_v1_"), F.col("id"))))
 
     def _signals(self, hits: DataFrame, q: Search) -> DataFrame:
-        s = self.store
+        s = self._placed(hits)
         side = merge.constant_or_null(s.placements, ["is_sidechain"]).withColumnRenamed("message_id", "id")
-        told = hits.join(s.messages.select(F.col("message_id").alias("id"), "ts_sec"), "id", "left").join(side, "id", "left")
+        timed = s.messages.select(F.col("message_id").alias("id"), "ts_sec").join(F.broadcast(hits.select("id")), "id", "left_semi")
+        told = hits.join(timed, "id", "left").join(side, "id", "left")
         if q.current_repo:
             owner = sessions.owning_session(s).withColumnRenamed("message_id", "id")
             told = told.join(owner.join(s.sessions.select("session_id", "repo_slug"), "session_id").select("id", "repo_slug"), "id", "left")
@@ -161,15 +190,31 @@ class Engine:
             here = F.lit(False)
         return told.select("id", ranking.final_score(F.col("score"), F.col("ts_sec"), F.col("is_sidechain"), here, self.now_ms).alias("score"))
 
-    def _told(self, hits: DataFrame, q: Search) -> DataFrame:
+    def _told(self, hits: DataFrame, q: Search, limit: int) -> DataFrame:
+        rows = hits.select("id", "score", "session_id", "occurrences").collect()
+        page = self.spark.createDataFrame(rows, "id string, score double, session_id string, occurrences long")
+        ids, owners = [r["id"] for r in rows], list({r["session_id"] for r in rows if r["session_id"]})
         s = self.store
-        text = s.messages.select(F.col("message_id").alias("id"), "text").unionByName(self.session_corpus().select(F.col("session_id").alias("id"), "text"))
-        claims = places.resume_available(s.resume_claims).groupBy("session_id").agg(F.bool_or("available").alias("resume_available"))
-        full = hits.join(text, "id", "left").join(claims, "session_id", "left")
+        text = s.messages.filter(F.col("message_id").isin(ids)).select(F.col("message_id").alias("id"), "text")
+        if any(i.startswith("ses_v1_") for i in ids):
+            text = text.unionByName(sessions.search_text(self._sessions([i for i in ids if i.startswith("ses_v1_")])).select(F.col("session_id").alias("id"), "text"))
+        claims = places.resume_available(s.resume_claims.filter(F.col("session_id").isin(owners))).groupBy("session_id").agg(F.bool_or("available").alias("resume_available"))
+        full = page.join(text, "id", "left").join(claims, "session_id", "left")
+        order = [F.col("score").desc(), F.col("id")]
+        full = full.withColumn("_n", F.row_number().over(Window.orderBy(*order))).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy()))
+        kept = budgets.clamp(full.filter(F.col("_n") <= limit), order, budgets.hit_cost(), limit, q.budget.max_bytes)
+        kept = kept.withColumn("has_more", F.col("_all") > F.count(F.lit(1)).over(Window.partitionBy())).drop("_n", "_all")
         terms = literal_terms(F.lit(q.query))
-        shown = full.withColumn("snippet", snippet(F.col("text"), terms, q.budget.max_snippet_chars))
+        shown = kept.withColumn("snippet", snippet(F.col("text"), terms, q.budget.max_snippet_chars))
         shown = shown.withColumn("why_matched", why_matched(terms, F.col("text"), F.col("snippet"))).withColumn("suggested", suggested_commands(F.col("id"), F.col("session_id")))
-        return shown.withColumn("resume_available", F.coalesce("resume_available", F.lit(False))).orderBy(F.col("score").desc(), "id")
+        return shown.withColumn("resume_available", F.coalesce("resume_available", F.lit(False))).orderBy(*order)
+
+    def _sessions(self, ids: list[str]) -> Store:
+        """The store with what it has of a few sessions, found by their ids."""
+        s, own = self.store, F.col("session_id").isin(ids)
+        placed = s.placements.filter(own)
+        said = s.messages.join(placed.select("message_id").distinct(), "message_id", "left_semi")
+        return s.with_tables(sessions=s.sessions.filter(own), placements=placed, messages=said, resume_claims=s.resume_claims.filter(own))
 
     def digest(self, q: Search) -> str:
         return cursors.query_digest(query=q.query, mode=q.mode, providers=filters.canonical_providers(q.providers), since=q.since, until=q.until, repo=q.repo, current_repo=q.current_repo, sidechain=q.sidechain, tool_kind=q.tool_kind, tool_name=q.tool_name, include_system=q.include_system, group=q.group_by_session, floor=q.similarity_floor, window=ranking.RANK_WINDOW, factor=ranking.GROUP_FACTOR, model=MODEL_ID)
@@ -178,7 +223,7 @@ class Engine:
         return cursors.issue(cursors.Claims(cursors.MAJOR, self.generation, self.digest(q), "score_desc", next_offset, "search", self.now_ms, self.now_ms + cursors.TTL_MS))
 
     def resume_page(self, q: Search, token: str, now_ms: int) -> Search:
-        """The search that a cursor continues; ages are those of the first page."""
+        """The search that a cursor continues, in the generation that it began in; ages are those of the first page."""
         claims = cursors.verify(token, now_ms=now_ms, generation=self.generation, query=self.digest(q), sort="score_desc", result_set="search")
         self.now_ms = claims.issued_at_ms
         return Search(**{**q.__dict__, "offset": claims.offset})
@@ -199,12 +244,15 @@ class Engine:
 
     def list_entities(self, limit: int = 20, after: str | None = None, kind: str = "message") -> DataFrame:
         if kind == "session":
-            told = sessions.titles(self.store).join(sessions.peek(sessions.occurrences(self.store)), "session_id", "left").join(sessions.latest_activity(self.store), "session_id", "left")
-            return merge.list_page(told, limit, after, "session_id")
+            page = [r[0] for r in merge.list_page(self.store.sessions.select("session_id"), limit, after, "session_id").collect()]
+            s = self._sessions(page)
+            told = sessions.titles(s).join(sessions.peek(sessions.occurrences(s)), "session_id", "left").join(sessions.latest_activity(s), "session_id", "left")
+            return told.orderBy("session_id")
         return merge.list_page(self.store.messages, limit, after)
 
     def message_contexts(self, message_id: str) -> DataFrame:
-        return sessions.message_contexts(self.store).filter(F.col("message_id") == message_id)
+        one = self.store.with_tables(placements=self.store.placements.filter(F.col("message_id") == message_id))
+        return sessions.message_contexts(one)
 
     def session_resume(self, session_id: str) -> DataFrame:
         claims = places.resume_available(self.store.resume_claims.filter(F.col("session_id") == session_id))
@@ -331,37 +379,54 @@ def capabilities(spark: SparkSession) -> DataFrame:
 def sync(spark: SparkSession, home: str, generations: ingest.Generations, only: Iterable[str] | None = None) -> bool:
     """Read what is new or changed in the providers' folders below a home, and publish a generation if anything differs; whether it did.
 
-    Sources whose bytes a former scan has read are carried over, and so are known ones
-    whose end is torn just now.  A known source that is
-    gone takes its entities along, unless another source has them; but only in folders
-    that were scanned: one that does not exist says nothing about its sources.
+    Sources of the length and time that a former scan saw are carried over unread, and so
+    are known ones whose end is torn just now.  Files are parsed once, into a table that
+    all others are projections of; what changed while it was read is left for the next run.
+    A known source that is gone takes its entities along, unless another source has them;
+    but only in folders that were scanned: one that does not exist says nothing about its
+    sources.  Sources that contradict each other about a message are refused.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    files, scanned = None, []
+    found = []
     for provider, root, extension in providers.roots(home):
         path = jvm.org.apache.hadoop.fs.Path(root)
         if (only is None or provider in only) and path.getFileSystem(conf).exists(path):
-            found = reading.discover(spark, root, extension).withColumn("provider_id", F.lit(provider))
-            files = found if files is None else files.unionByName(found)
-            scanned.append((provider,))
-    if files is None:
+            found.append((provider, root, extension))
+    if not found:
         return False
-    snap = reading.snapshot(files)
-    if generations.current(spark) is None:
-        return generations.commit(ingest.canonicalize(ingest.parse_files(snap)), ingest.content_digest(snap))
-    prior = generations.open(spark)
+
+    def listed() -> DataFrame:
+        every = [reading.discover(spark, root, extension).withColumn("provider_id", F.lit(provider)) for provider, root, extension in found]
+        return reduce(DataFrame.unionByName, every)
+
+    before = generations.current(spark)
+    prior = Store.empty(spark) if before is None else generations.open(spark)
     scans = prior.source_scans
-    gone = merge.tombstones(scans, snap, spark.createDataFrame(scanned, "provider_id string"))
-    todo = snap.join(reading.unchanged(snap, scans, ingest.PARSER_VERSION).select("source_path"), "source_path", "left_anti")
-    held = reading.torn(todo).join(scans.select("source_path"), "source_path", "left_semi")
-    todo = todo.join(held, "source_path", "left_anti")
-    stay = scans.join(gone.select("source_path"), "source_path", "left_anti").join(todo.select("source_path"), "source_path", "left_anti")
-    read = snap.join(held, "source_path", "left_anti").select("source_path", "fingerprint")
-    now = read.unionByName(stay.join(read.select("source_path"), "source_path", "left_anti").select("source_path", "fingerprint"))
-    digest = ingest.content_digest(now)
-    if generations.current(spark)["content"] == digest:
-        return False
-    return generations.commit(ingest.renewed(ingest.carried_over(prior, stay), ingest.canonicalize(ingest.parse_files(todo))), digest)
+    with generations.scratch(spark) as work:
+        listed().select("source_path", "len_bytes", "modified_ms", "provider_id").write.parquet(f"{work}/files")
+        files = spark.read.parquet(f"{work}/files")
+        gone = merge.tombstones(scans, files, spark.createDataFrame([(p,) for p, _, _ in found], "provider_id string")).select("source_path")
+        same = reading.unchanged(files, scans, ingest.PARSER_VERSION).select("source_path")
+        todo = files.join(same, "source_path", "left_anti")
+        if todo.isEmpty() and gone.isEmpty():
+            return False
+        read = reading.snapshot(listed().join(todo.select("source_path", "len_bytes", "modified_ms"), ["source_path", "len_bytes", "modified_ms"], "left_semi"))
+        held = reading.torn(read).join(scans.select("source_path"), "source_path", "left_semi")
+        held.write.parquet(f"{work}/held")
+        held = spark.read.parquet(f"{work}/held")
+        ingest.parse_files(read.join(held, "source_path", "left_anti")).write.parquet(f"{work}/parsed")
+        late = reading.changed_since(files, listed().select("source_path", "len_bytes", "modified_ms"))
+        late.write.parquet(f"{work}/late")
+        events = spark.read.parquet(f"{work}/parsed").join(spark.read.parquet(f"{work}/late"), "source_path", "left_anti")
+        taken = events.filter("kind = 'source'").select("source_path", "fingerprint")
+        stay = scans.join(gone, "source_path", "left_anti").join(taken.select("source_path"), "source_path", "left_anti")
+        digest = ingest.content_digest(taken.unionByName(stay.select("source_path", "fingerprint")))
+        if before is not None and before["content"] == digest:
+            return False
+        new = ingest.canonicalize(events)
+        ingest.refuse_conflicts(ingest.claimed(events))
+        kept = ingest.carried_over(prior, stay)
+        return generations.commit(new if before is None else ingest.renewed(kept, new), digest)
 
 
 __all__ = ["DIMENSIONS", "Engine", "InvalidRequest", "NotFound", "Search", "capabilities", "doctor", "estimate_tokens", "sync"]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLUG_CHARS = 255
@@ -36,6 +38,30 @@ def repo_slug(url: Column) -> Column:
     return F.when(raw.rlike(r"^file:|^[A-Za-z]:[\\/]"), F.lit(None).cast("string")).otherwise(out)
 
 
+def git_remote(folder: str | None) -> str | None:
+    """The address of ``origin`` in the configuration of the repository that a folder lies in; null where the folder, or such a repository, isn't there."""
+    at = Path(folder) if folder and folder.strip() else None
+    for place in (at, *at.parents) if at is not None and at.is_absolute() else ():
+        try:
+            text = (place / ".git" / "config").read_text("utf-8", "replace")
+        except OSError:
+            continue
+        section = re.search(r'^\s*\[remote "origin"\]([^\[]*)', text, re.M)
+        address = re.search(r"^\s*url\s*=\s*(\S+)", section[1], re.M) if section else None
+        return address[1] if address else None
+    return None
+
+
+def remotes(claims: DataFrame) -> DataFrame:
+    """(cwd, remote) of the distinct folders of resume claims, looked up where tasks run: folders that are not there have none."""
+
+    @F.pandas_udf("string")
+    def look(folders: pd.Series) -> pd.Series:
+        return folders.map(git_remote)
+
+    return claims.select("cwd").filter("cwd IS NOT NULL").distinct().select("cwd", look(F.col("cwd")).alias("remote"))
+
+
 def normalize_path(path: str) -> str:
     """Forward slashes, no empty, ``.`` or ``..`` segments; must be absolute."""
     path = path.replace("\\", "/")

@@ -76,6 +76,13 @@ def first_request(placed: DataFrame) -> DataFrame:
     return _said(placed).groupBy("session_id").agg(F.min_by("t", F.struct("document_id", "ordinal")).alias("first_request"))
 
 
+def search_text(store: Store) -> DataFrame:
+    """(session_id, text): what a session is found by, its provider's id, folder and whole first request, of which search sees as much as of any text."""
+    claims = store.resume_claims.groupBy("session_id").agg(F.min("provider_session_id").alias("native"), F.min("cwd").alias("cwd"))
+    told = store.sessions.select("session_id").join(claims, "session_id", "left").join(first_request(occurrences(store)), "session_id", "left")
+    return told.select("session_id", F.concat_ws(" ", "native", "cwd", "first_request").alias("text"))
+
+
 def peek(placed: DataFrame) -> DataFrame:
     """First and last user text of each session, trimmed and cut; blank texts don't count."""
     at = F.struct("document_id", "ordinal")

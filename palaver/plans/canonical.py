@@ -50,7 +50,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     claims = convs.select(
         session.alias("session_id"), provider.alias("provider_id"), F.when(c % 4 != 3, wire("p", c.cast("string"))).alias("provider_session_id"), F.when(c % 2 == 0, wire("/home/w", (c % 9).cast("string"))).alias("cwd"), F.when(c % 4 == 3, "missing").when(c % 13 == 5, "ambiguous").otherwise("resolved").alias("id_state"), F.when(c % 2 == 0, "resolved").otherwise("missing").alias("cwd_state"), (c % 2 == 0).alias("pair_observed")
     )
-    scans = convs.select(wire("/src/", c.cast("string"), ".jsonl").alias("source_path"), provider.alias("provider_id"), document.alias("document_id"), (c * 100).alias("len_bytes"), F.sha2(c.cast("string"), 256).alias("fingerprint"), F.lit(1).alias("parser_version"), (c % 6 != 0).alias("relation_complete"), F.lit(0).cast("long").alias("message_count"))
+    scans = convs.select(wire("/src/", c.cast("string"), ".jsonl").alias("source_path"), provider.alias("provider_id"), document.alias("document_id"), (c * 100).alias("len_bytes"), F.sha2(c.cast("string"), 256).alias("fingerprint"), F.lit(1).alias("parser_version"), (c % 6 != 0).alias("relation_complete"), F.lit(0).cast("long").alias("message_count"), (c * 1000).alias("modified_ms"))
     return Store(messages, placements, edges, documents, sessions, activities, usage, claims, scans)
 
 

@@ -24,7 +24,7 @@ DDL: dict[str, str] = {
     "tool_activities": "message_id string, kind string, actor string, name string, target string, status string",
     "usage_events": "session_id string, message_id string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, reasoning_tokens long, token_source string",
     "resume_claims": "session_id string, provider_id string, provider_session_id string, cwd string, id_state string, cwd_state string, pair_observed boolean",
-    "source_scans": "source_path string, provider_id string, document_id string, len_bytes long, fingerprint string, parser_version int, relation_complete boolean, message_count long",
+    "source_scans": "source_path string, provider_id string, document_id string, len_bytes long, fingerprint string, parser_version int, relation_complete boolean, message_count long, modified_ms long",
 }
 
 

@@ -33,6 +33,13 @@ class Parsed:
     session_ids: list[str] = field(default_factory=list)
     cwd: str | None = None
     pair_observed: bool = False
+    titles: dict[str | None, str] = field(default_factory=dict)  # by native session; None stands for the source's own
+    remote: str | None = None  # of the repository that the session is about
+
+    def entitle(self, native: str | None, title: object) -> None:
+        """The last title counts that isn't blank."""
+        if isinstance(title, str) and title.strip():
+            self.titles[native] = title.strip()
 
     def skip(self, line: int, why: str) -> None:
         self.skipped += 1

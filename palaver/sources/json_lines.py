@@ -80,6 +80,8 @@ def claude(content: bytes) -> Parsed:
             continue
         out.see_session(r.get("sessionId"), r.get("cwd"))
         kind, message = r.get("type"), r.get("message")
+        if kind == "custom-title":
+            out.entitle(None, r.get("customTitle"))
         if kind not in ("user", "assistant") and not (kind == "system" and message is not None):
             continue
         if not isinstance(message, dict):
@@ -126,6 +128,9 @@ def codex(content: bytes) -> Parsed:
         p = p if isinstance(p, dict) else {}
         if r.get("type") == "session_meta":
             out.see_session(p.get("session_id") or p.get("id"), p.get("cwd"))
+            git = p.get("git")
+            if isinstance(git, dict) and isinstance(git.get("repository_url"), str):
+                out.remote = out.remote or git["repository_url"]
             forked = forked or bool(p.get("forked_from_id"))
         elif r.get("type") == "event_msg" and p.get("type") == "token_count" and isinstance(p.get("info"), dict):
             reports.append((len(anchors), quad(p["info"].get("total_token_usage")), quad(p["info"].get("last_token_usage"))))

@@ -60,8 +60,8 @@ def json_lines(content: bytes) -> Iterator[tuple[Line, object | None]]:
                 yield line, None
 
 
-def discover(spark: SparkSession, root: str, extension: str) -> DataFrame:
-    """(source_path, len_bytes, modified_ms, content) of the files below a folder, whatever their depth."""
+def discover(spark: SparkSession, root: str | list[str], extension: str) -> DataFrame:
+    """(source_path, len_bytes, modified_ms, content) of the files below a folder, whatever their depth, or of files named; unread where ``content`` is not selected."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(root)
     return found.select(F.col("path").alias("source_path"), F.col("length").alias("len_bytes"), (F.col("modificationTime").cast("double") * 1000).cast("long").alias("modified_ms"), "content")
 
@@ -78,9 +78,9 @@ def changed_since(taken: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def unchanged(files: DataFrame, scans: DataFrame, parser_version: int) -> DataFrame:
-    """Snapshots that a former scan has read with the same parser."""
-    known = scans.filter(F.col("parser_version") == parser_version).select("source_path", "len_bytes", "fingerprint")
-    return files.join(known, ["source_path", "len_bytes", "fingerprint"], "left_semi")
+    """Files of the length and time that a former scan with the same parser saw; their bytes are not read."""
+    known = scans.filter(F.col("parser_version") == parser_version).select("source_path", "len_bytes", "modified_ms")
+    return files.join(known, ["source_path", "len_bytes", "modified_ms"], "left_semi")
 
 
 def health(records: DataFrame, source: str = "source_path") -> DataFrame:

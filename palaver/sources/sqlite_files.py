@@ -49,6 +49,8 @@ def opencode(content: bytes) -> Parsed:
     out = Parsed()
     with closing(opened(content)) as db:
         sessions = dict(db.execute("SELECT id, directory FROM session"))
+        titled = any(c[1] == "title" for c in db.execute("PRAGMA table_info(session)"))
+        titles = dict(db.execute("SELECT id, title FROM session")) if titled else {}
         texts: dict[str, list[str]] = defaultdict(list)
         for message, data in db.execute("SELECT message_id, data FROM part ORDER BY time_created, id"):
             part = _json(data)
@@ -64,6 +66,7 @@ def opencode(content: bytes) -> Parsed:
                 out.skip(0, "no text of a user or assistant")
                 continue
             out.see_session(session, sessions[session])
+            out.entitle(session, titles.get(session))
             out.messages.append(Message(role, text, native, timestamp=_millis(at), session=session))
     return out
 

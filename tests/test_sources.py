@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver import api
+from palaver.operators import budgets
 from palaver.sources import ingest, json_lines, providers, reading, sqlite_files, whole_files
 
 
@@ -13,7 +14,7 @@ def jl(*records):
 
 
 CLAUDE = jl(
-    {"type": "summary", "summary": "x"},
+    {"type": "custom-title", "customTitle": "My work", "sessionId": "S1"},
     {"type": "user", "uuid": "u1", "parentUuid": None, "sessionId": "S1", "cwd": "/w", "timestamp": "2024-01-01T00:00:00Z", "message": {"role": "user", "content": "Wie läuft 😀 it?"}},
     "{torn",
     "",
@@ -24,7 +25,7 @@ CLAUDE = jl(
     {"type": "user", "uuid": "n2", "sessionId": "S1", "message": {"role": "user", "content": "<command-name>/clear</command-name><command-message>c</command-message><command-args> </command-args>"}},
 )
 CODEX = jl(
-    {"timestamp": "t", "type": "session_meta", "payload": {"session_id": "C1", "cwd": "/c"}},
+    {"timestamp": "t", "type": "session_meta", "payload": {"session_id": "C1", "cwd": "/c", "git": {"repository_url": "git@github.com:acme/parser.git"}}},
     {"timestamp": "t", "type": "response_item", "payload": {"type": "message", "role": "user", "id": "m0", "content": [{"type": "input_text", "text": "# AGENTS.md instructions"}]}},
     {"timestamp": "t", "type": "response_item", "payload": {"type": "message", "role": "user", "id": "m1", "content": [{"type": "input_text", "text": "fix the parser"}]}},
     {"timestamp": "t", "type": "event_msg", "payload": {"type": "agent_message", "message": "mirror"}},
@@ -166,8 +167,26 @@ def test_sync_and_search(spark, home, tmp_path):
     (tmp_path / "store/WRITER").touch()
     with pytest.raises(ingest.Busy):
         generations.commit(store, "other")
-    (tmp_path / "store/WRITER").unlink()
-    engine = api.Engine(spark, store, now_ms=1_704_067_200_000 + 86_400_000)
+    (tmp_path / "store/WRITER").write_text(json.dumps({"owner": "dead", "until": 1}))  # what a dead writer left is taken over
+    with generations.writing(spark):
+        with pytest.raises(ingest.Busy), generations.writing(spark):
+            pass
+    assert not (tmp_path / "store/WRITER").exists() and not list((tmp_path / "store").glob("work-*"))
+    now = 1_704_067_200_000 + 86_400_000
+    engine = api.Engine.open(spark, generations, now_ms=now)
+    scanning = api.Engine(spark, store, now_ms=now)
+    for words in ("parser", "i look", "läuft", "S1", "nothing"):
+        told = [[(r["id"], round(r["score"], 9), r["has_more"]) for r in e.search(api.Search(words, limit=2)).collect()] for e in (engine, scanning)]
+        assert told[0] == told[1]
+    assert sorted((r["title"] or "", r["repo_slug"] or "") for r in store.sessions.collect()) == [("", "github.com/acme/parser"), ("My work", "")]
+    assert [r["sessions"] for r in engine.repositories().collect()] == [1]
+    assert {r["id"] for r in engine.search(api.Search("parser", repo="github.com/acme/parser")).collect()} >= {"msg_v1_m1"} and engine.search(api.Search("läuft", repo="github.com/acme/parser")).count() == 0
+    first = engine.search(api.Search("a", limit=1, budget=budgets.Budget(max_bytes=4096))).collect()
+    assert len(first) <= 1
+    generations.rebuild(spark)
+    assert "index-" in generations.index(spark) and [r["id"] for r in api.Engine.open(spark, generations, now_ms=now).search(api.Search("parser")).collect()] == [r["id"] for r in engine.search(api.Search("parser")).collect()]
+    listed = engine.list_entities(5, kind="session").collect()
+    assert [r["session_id"] for r in listed] == sorted(r["session_id"] for r in store.sessions.collect()) and "My work" in [r["title"] for r in listed]
     hits = engine.search(api.Search("parser")).collect()
     assert [h["id"] for h in hits][0].startswith(("msg_v1_m1", "ses_v1_")) and {h["id"] for h in hits} >= {"msg_v1_m1"}
     assert engine.search(api.Search("look", providers=("codex",))).count() == 0
@@ -219,6 +238,32 @@ def test_sync_and_search(spark, home, tmp_path):
     copy.unlink(), (home / "a.kept").rename(home / ".claude/projects/p/a.jsonl"), (home / ".codex-kept").rename(home / ".codex")
 
 
+def test_conflicts_are_refused(spark, tmp_path):
+    """One id with two contents in a source, and sources that disagree about a stable field."""
+    (tmp_path / ".claude/projects/p").mkdir(parents=True)
+    one = {"type": "user", "uuid": "u1", "parentUuid": None, "sessionId": "S", "timestamp": "2024-01-01T00:00:00Z", "message": {"role": "user", "content": "a"}}
+    generations = ingest.Generations(f"file://{tmp_path}/store")
+    (tmp_path / ".claude/projects/p/a.jsonl").write_bytes(jl(one, one | {"message": {"role": "user", "content": "b"}}))
+    with pytest.raises(ingest.Conflict, match="two contents"):
+        api.sync(spark, f"file://{tmp_path}", generations)
+    (tmp_path / ".claude/projects/p/a.jsonl").write_bytes(jl(one))
+    (tmp_path / ".claude/projects/p/b.jsonl").write_bytes(jl(one | {"timestamp": "2024-01-02T00:00:00Z", "message": {"role": "user", "content": "a and more"}}))
+    with pytest.raises(ingest.Conflict, match="disagree"):
+        api.sync(spark, f"file://{tmp_path}", generations)
+    (tmp_path / ".claude/projects/p/b.jsonl").write_bytes(jl(one | {"message": {"role": "user", "content": "a and more"}}))
+    assert api.sync(spark, f"file://{tmp_path}", generations)
+    assert [r["text"] for r in generations.open(spark).messages.collect()] == ["a and more"]
+
+
+def test_remotes_of_folders(tmp_path):
+    from palaver.functions.places import git_remote
+
+    (tmp_path / "r/.git").mkdir(parents=True)
+    (tmp_path / "r/in/side").mkdir(parents=True)
+    (tmp_path / "r/.git/config").write_text('[core]\n\tbare = false\n[remote "up"]\n\turl = x\n[remote "origin"]\n\turl = https://h.org/o/n.git\n\tfetch = y\n')
+    assert git_remote(str(tmp_path / "r/in/side")) == "https://h.org/o/n.git" and git_remote("relative") is None and git_remote("/none/such") is None
+
+
 def test_reports(spark, home):
     files = reading.snapshot(reading.discover(spark, f"file://{home}/.*", "jsonl"))
     told = {r["source_path"].rsplit("/", 1)[1]: r for r in ingest.report(ingest.parse_files(files)).collect()}
