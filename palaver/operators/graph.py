@@ -57,6 +57,12 @@ def parents(store: Store) -> DataFrame:
     return grouped.select("session_id", F.col("child").alias("placement_id"), parent.alias("parent_placement_id"), parent.isNull().alias("ambiguous"))
 
 
+def orphans(store: Store) -> DataFrame:
+    """(child_placement_id, parent_message_id) of edges whose parent no table holds, which is legal."""
+    known = store.messages.select(F.col("message_id").alias("parent_message_id"))
+    return store.edges.join(known, "parent_message_id", "left_anti").select("child_placement_id", "parent_message_id")
+
+
 def leaves(store: Store) -> DataFrame:
     """(session_id, leaf): the placement a session's mainline ends in.
 

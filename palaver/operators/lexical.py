@@ -17,7 +17,7 @@ from palaver.functions.binding import bind
 from palaver.functions.text import bounded_index_text, index_text, tokens
 
 K1, B = 1.2, 0.75
-TERM_BUCKETS = 256
+TERM_BUCKETS = 64
 
 
 def query_phrases(query: str) -> list[list[str]]:
@@ -78,10 +78,12 @@ def build_postings(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def write_index(corpus: DataFrame, id_col: str, text_col: str, path: str) -> None:
-    """Postings in folders by hashed term, sorted by term in each file, and one row of statistics."""
+    """Postings in folders by hashed term, sorted by term in each file, and one row of statistics.
+
+    Tasks take ranges of (bucket, term, id), so each writes few files, and a common term's postings are spread over tasks by their ids.
+    """
     postings = build_postings(corpus, id_col, text_col)
-    # A common term's postings are spread over tasks by their ids.
-    dealt = postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("bucket", "term", "id")
+    dealt = postings.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
     lengths = corpus.select(F.size(indexed_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
     lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/stats")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ HALF_LIFE_DAYS = 30
 RANK_WINDOW = 512
 GROUP_FACTOR = 16
 MAX_FETCH = 1 << 20
+#: Queries of one batch of vector searches.
+MAX_QUERIES = 4096
 #: Keys whose other bits are alike form a block of a running total.
 BLOCK_BITS = 13
 
@@ -93,6 +99,38 @@ def top_k_cosine(vectors: DataFrame, query: list[float], k: int, id_col: str = "
     return scored.orderBy(F.col("cosine").desc(), "id").limit(k)
 
 
+def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+    """(query_id, id, cosine) of the k nearest other rows to each of a bounded number of queries: one product of matrices a batch, the best of each batch, then one merge.
+
+    Similarities are compared to six decimals, then by id; vectors that are empty or not finite are near nothing.
+    """
+    from palaver.functions.vectors import is_finite
+
+    asked = queries.filter(is_finite(F.col(vector))).select(id_col, vector).limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"at most {MAX_QUERIES} queries at once")
+    names = np.array([r[0] for r in asked], np.int64)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+    wanted = unit(np.array([r[1] for r in asked], float)) if asked else np.zeros((0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            ids = batch.column(0).to_numpy()
+            near = np.round(unit(np.array(batch.column(1).to_pylist(), float)) @ wanted.T, 6)
+            near[ids[:, None] == names[None, :]] = -2  # not its own neighbour
+            order = np.lexsort((np.broadcast_to(ids[:, None], near.shape).T, -near.T), axis=1)[:, :k]
+            found = np.take_along_axis(near.T, order, 1)
+            keep = found > -2
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])[keep.ravel()]), pa.array(ids[order][keep]), pa.array(found[keep])], ["query_id", "id", "cosine"])
+
+    fine = vectors.filter(is_finite(F.col(vector)) & (F.size(vector) == wanted.shape[1])).select(F.col(id_col).cast("long"), vector)
+    best = fine.mapInArrow(run, "query_id long, id long, cosine double")
+    order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
+    return best.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+
+
 def running_budget(items: DataFrame, order: list[Column], cost: str, limit: int, partition: list[str] | None = None) -> DataFrame:
     """The longest prefix whose costs sum to at most ``limit``: after the first item that does not fit, none is taken."""
     window = Window.partitionBy(*(partition or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
