@@ -160,9 +160,10 @@ def digests(bpe: ByteBpe, text: str | None) -> tuple[int, str, str]:
 def encode_documents(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """One row for each row of (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    A null text counts as empty: no ids, and the digests of no bytes.  Repeated rows
-    give repeated results; other columns are not read.  ``path`` must be readable on
-    the executors.
+    A null text counts as empty: no ids, and the digests of no bytes.  Whole texts are
+    encoded, however long, a part at a time.  Repeated rows give repeated results; an
+    empty table gives no rows; other columns, whatever their names, are not read.
+    ``path`` must be readable on the executors.
     """
 
     bound_batches(docs.sparkSession)

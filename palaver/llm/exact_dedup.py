@@ -76,7 +76,8 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
 
     Null texts count as empty and are all equal.  Of equal texts the longest original
     stays, then the smallest doc_id; a null doc_id goes last.  Rows that repeat a doc_id
-    with its text count in group_size and share the verdict of that doc_id.  Other
+    with its text count in group_size and share the verdict of that doc_id.  Whole texts
+    are compared, however long, a block at a time; an empty table gives no rows; other
     columns are not read.
     """
     named, _ = stash(name_documents(docs, block_chars), "identities")
