@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -345,6 +346,7 @@ class Engine:
         return said.select("message_id", F.lit(MODEL_ID).alias("model_id"), embed(F.col("text")).alias("embedding"))
 
     def purge(self) -> Store:
+        """The store without what hangs on messages and sessions that are gone; ``purge`` of the module publishes it."""
         return merge.purge_orphans(self.store)
 
     def relocate(self, old_root: str, new_root: str) -> Store:
@@ -429,4 +431,40 @@ def sync(spark: SparkSession, home: str, generations: ingest.Generations, only:
         return generations.commit(new if before is None else ingest.renewed(kept, new), digest)
 
 
-__all__ = ["DIMENSIONS", "Engine", "InvalidRequest", "NotFound", "Search", "capabilities", "doctor", "estimate_tokens", "sync"]
+def discovery(spark: SparkSession, home: str, scans: DataFrame | None = None) -> DataFrame:
+    """A row a provider that keeps files below a home: its folder, whether that was scanned, how many files were found, and of known sources how many are not seen before or are gone."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    roots = [(p, r, e, bool(jvm.org.apache.hadoop.fs.Path(r).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(r)))) for p, r, e in providers.roots(home)]
+    out = spark.createDataFrame([(p, r, c) for p, r, _, c in roots], "provider_id string, root string, complete boolean")
+    files = [reading.discover(spark, r, e).select(F.lit(p).alias("provider_id"), "source_path") for p, r, e, c in roots if c]
+    files = reduce(DataFrame.unionByName, files) if files else spark.createDataFrame([], "provider_id string, source_path string")
+    known = (Store.empty(spark).source_scans if scans is None else scans).select("provider_id", "source_path", F.lit(True).alias("known"))
+    both = files.withColumn("here", F.lit(True)).join(known, ["provider_id", "source_path"], "full")
+    counts = both.groupBy("provider_id").agg(F.count("here").alias("found"), F.count_if(F.col("known").isNull()).alias("new"), F.count_if(F.col("here").isNull()).alias("gone"))
+    told = out.join(counts, "provider_id", "left").na.fill(0, ["found", "new", "gone"])
+    return told.withColumn("gone", F.when(F.col("complete"), F.col("gone")).otherwise(0)).orderBy("provider_id")
+
+
+def add_facts(spark: SparkSession, generations: ingest.Generations, facts: list[tuple[str, str]]) -> bool:
+    """Publish a generation with plain facts (fact, text) as messages; one that is known stays as it is; whether anything is new."""
+    before = generations.current(spark)
+    prior = Store.empty(spark) if before is None else generations.open(spark)
+    new = ingest.index_facts(spark, facts).dropDuplicates(["message_id"]).join(prior.messages, "message_id", "left_anti")
+    ids = sorted(r[0] for r in new.select("message_id").collect())  # as many as were given
+    if not ids:
+        return False
+    digest = hashlib.sha256("\n".join([before["content"] if before else "", *ids]).encode()).hexdigest()
+    return generations.commit(prior.with_tables(messages=prior.messages.unionByName(new)), digest)
+
+
+def purge(spark: SparkSession, generations: ingest.Generations) -> bool:
+    """Publish the current generation without what hangs on messages and sessions that are gone; False where nothing does."""
+    store = generations.open(spark)
+    lost = merge.orphan_counts(store).first()
+    stray = store.resume_claims.join(store.placements.select("session_id").distinct(), "session_id", "left_anti")
+    if lost["activities"] == 0 and stray.isEmpty():
+        return False
+    return generations.commit(merge.purge_orphans(store), f"{generations.current(spark)['content']} purged")
+
+
+__all__ = ["DIMENSIONS", "Engine", "InvalidRequest", "NotFound", "Search", "add_facts", "capabilities", "discovery", "doctor", "estimate_tokens", "purge", "sync"]

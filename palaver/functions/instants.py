@@ -92,10 +92,6 @@ def sort_class(raw: Column, instant: Column) -> Column:
     return F.when(raw.isNull(), 0).when(instant.isNull(), 1).otherwise(2)
 
 
-def from_unix_millis(millis: Column) -> Column:
-    return F.struct(F.floor(millis / 1000).cast("long").alias("sec"), (F.pmod(millis, F.lit(1000)) * 1_000_000).cast("int").alias("nanos"))
-
-
 def relative_millis(text: str, now_ms: int) -> int | None:
     """The time that ``Nh``, ``Nd`` or ``Nw`` before now stands for, in milliseconds; null if it isn't one of those."""
     hours = {"h": 1, "d": 24, "w": 168}

@@ -20,10 +20,6 @@ def lines(df: DataFrame, command: str) -> DataFrame:
     return df.select(F.to_json(frame).alias("value"))
 
 
-def write_lines(df: DataFrame, command: str, path: str) -> None:
-    lines(df, command).write.text(path)
-
-
 def response(command: str, data: object, *, retrieval_mode: str = "none", next_cursor: str | None = None, has_more: bool = False, warnings: tuple[str, ...] = (), duration_ms: int = 0, generation: int | None = None, request_id: str | None = None, partial: bool = False) -> str:
     """One frame of a request's whole answer, a page at most."""
     clean, n = redact_tree(data)

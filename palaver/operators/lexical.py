@@ -86,13 +86,16 @@ def write_index(corpus: DataFrame, id_col: str, text_col: str, path: str) -> Non
     dealt = postings.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
     lengths = corpus.select(F.size(indexed_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
-    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/stats")
+    kind = dict(corpus.dtypes)[id_col]
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.lit(kind).alias("id_type")).write.parquet(f"{path}/stats")
 
 
 def index_search(spark, path: str, query: str) -> DataFrame:
     """(id, bm25) from a written index: partition pruning by bucket, row groups by term."""
     phrases = query_phrases(query)
-    postings, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+    stats = spark.read.schema("n long, avgdl double, id_type string").parquet(f"{path}/stats")
+    kind = stats.first()["id_type"]
+    postings = spark.read.schema(f"term string, id {kind}, tf int, positions array<int>, dl int, bucket int").parquet(f"{path}/postings")
     terms = list(dict.fromkeys(t for p in phrases for t in p))
     if not terms:
         return postings.select("id", F.lit(0.0).alias("bm25")).limit(0)

@@ -94,22 +94,3 @@ def purge_orphans(store: Store) -> Store:
 def sequence(events: DataFrame, source: str = "source_path", place: str = "line_no") -> DataFrame:
     """Numbers from 0 in each source, in the order of its records."""
     return events.withColumn("seq", F.row_number().over(Window.partitionBy(source).orderBy(place)) - 1)
-
-
-def pair_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Tool calls (source_path, call_id, line_no, ...) with the first later result (…, line_no, is_error) of their id; a call without one is of unknown status, a result without a call is dropped.
-
-    Calls that repeat an id take results in turn.
-    """
-    by_id = Window.partitionBy("source_path", "call_id").orderBy("line_no", "kind")
-    both = calls.withColumn("kind", F.lit(0)).select("source_path", "call_id", "line_no", "kind", F.lit(None).cast("boolean").alias("is_error")).unionByName(
-        results.withColumn("kind", F.lit(1)).select("source_path", "call_id", "line_no", "kind", "is_error")
-    )
-    turn = Window.partitionBy("source_path", "call_id", "kind").orderBy("line_no")
-    numbered = both.withColumn("opened", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(by_id.rowsBetween(Window.unboundedPreceding, 0))).filter("kind = 0 OR opened > 0")
-    numbered = numbered.withColumn("n", F.row_number().over(turn))
-    answer = numbered.filter("kind = 1").select("source_path", "call_id", "n", F.col("is_error").alias("answer"), F.col("line_no").alias("result_line"))
-    asked = numbered.filter("kind = 0").select("source_path", "call_id", "n", "line_no")
-    paired = asked.join(answer, ["source_path", "call_id", "n"], "left")
-    status = F.when(F.col("result_line").isNull(), "unknown").when(F.col("answer"), "error").otherwise("success")
-    return calls.join(paired.select("source_path", "call_id", "line_no", "result_line", status.alias("status")), ["source_path", "call_id", "line_no"])

@@ -565,6 +565,25 @@ def get_many_ordered(spark, sf_dir):
     return merge.get_many(store(spark, sf_dir).messages, _ASKED).select("pos", "message_id", "role")
 
 
+@query("SELECT DISTINCT user_id::VARCHAR AS entity_id FROM events WHERE user_id % 3 = 1", False)
+def survivor_rule(spark, sf_dir):
+    """Entities that no source claims any more: one has a source for each of its kinds of event and one, which stays, unless its number leaves 1 over."""
+    events = table(spark, sf_dir, "events")
+    entity = F.col("user_id").cast("string").alias("entity_id")
+    own = events.select(entity, F.concat("event_type", F.lit(" "), (F.col("user_id") % 3).cast("string")).alias("source_path"))
+    claims = own.unionByName(events.filter("user_id % 3 = 2").select(entity, F.lit("kept").alias("source_path"))).distinct()
+    return merge.survivors(claims, claims.filter("source_path LIKE '% 1' OR source_path LIKE '% 2'"))[1]
+
+
+@query("""SELECT '/w/' || user_id % 10 || '/' || event_type || '/f' || event_id AS path, CASE WHEN user_id % 10 = 1 AND event_type = 'click' THEN '/w/1/click' WHEN user_id % 10 IN (1, 2) THEN '/w/' || user_id % 10 ELSE '/w' END AS root,
+ CASE WHEN user_id % 10 = 1 AND event_type = 'click' THEN 'c' WHEN user_id % 10 IN (1, 2) THEN 'b' ELSE 'a' END AS provider_id FROM events""", False)
+def longest_root(spark, sf_dir):
+    """Each path with the longest folder it lies in, by whole segments."""
+    paths = table(spark, sf_dir, "events").select(F.concat(F.lit("/w/"), (F.col("user_id") % 10).cast("string"), F.lit("/"), "event_type", F.lit("/f"), F.col("event_id").cast("string")).alias("path"))
+    roots = spark.createDataFrame([("/w", "a"), ("/w/1", "b"), ("/w/2/", "b"), ("/w/1/click", "c"), ("/w/1/cli", "d"), ("/x", "e")], "root string, provider_id string")
+    return places.longest_root(paths, roots)
+
+
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events", False)
 def seq_numbering(spark, sf_dir):
     return merge.sequence(table(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id", F.col("seq").cast("long"))

@@ -74,7 +74,7 @@ def _counts(value: object, names: tuple[str, ...]) -> list[int] | None:
 def claude(content: bytes) -> Parsed:
     out = Parsed()
     calls = Calls(out)
-    for line, r in json_lines(content):
+    for line, r in json_lines(content, (b'"sessionId"', b'"message"', b'"customTitle"', b'"user"', b'"assistant"', b"\\u")):
         if not isinstance(r, dict):
             out.skip(line.number, "not a record")
             continue
@@ -120,7 +120,7 @@ def codex(content: bytes) -> Parsed:
         c = _counts(value, CODEX_USAGE)
         return (c[0], c[1], max(c[2], c[3]), c[4]) if c and any(c) else None
 
-    for line, r in json_lines(content):
+    for line, r in json_lines(content, (b'"session_meta"', b'"response_item"', b'"token_count"', b"\\u")):
         if not isinstance(r, dict):
             out.skip(line.number, "not a record")
             continue

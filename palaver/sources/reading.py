@@ -50,9 +50,15 @@ def lines(content: bytes, max_bytes: int = MAX_RECORD_BYTES) -> Iterator[Line]:
         at = after
 
 
-def json_lines(content: bytes) -> Iterator[tuple[Line, object | None]]:
-    """Lines that aren't blank with their JSON value; None for a line that is no JSON."""
+def json_lines(content: bytes, marks: tuple[bytes, ...] = ()) -> Iterator[tuple[Line, object | None]]:
+    """Lines that aren't blank with their JSON value; None for a line that is no JSON.
+
+    Where there are ``marks``, a line in braces without any of them is no record of
+    interest, and is passed over unparsed.
+    """
     for line in lines(content):
+        if marks and line.data[:1] == b"{" and line.data[-1:] == b"}" and not any(m in line.data for m in marks):
+            continue
         if line.data.strip():
             try:
                 yield line, json.loads(line.data)

@@ -149,13 +149,6 @@ def test_peek_fits(spark):
     assert got["t"][1:] == ("a", "b") and len(got["s"][1]) < 190
 
 
-def test_pairing_of_calls(spark):
-    calls = spark.createDataFrame([("f", "a", 1), ("f", "a", 5), ("f", "b", 3)], "source_path string, call_id string, line_no long")
-    results = spark.createDataFrame([("f", "a", 2, True), ("f", "b", 1, False), ("f", "z", 9, False)], "source_path string, call_id string, line_no long, is_error boolean")
-    got = {(r["call_id"], r["line_no"]): r["status"] for r in merge.pair_calls(calls, results).collect()}
-    assert got == {("a", 1): "error", ("a", 5): "unknown", ("b", 3): "unknown"}
-
-
 def test_tombstones_need_complete_scans_and_survivors(spark):
     known = spark.createDataFrame([("/a", "p"), ("/b", "p"), ("/c", "q")], "source_path string, provider_id string")
     found = spark.createDataFrame([("/a",)], "source_path string")

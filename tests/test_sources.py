@@ -255,6 +255,26 @@ def test_conflicts_are_refused(spark, tmp_path):
     assert [r["text"] for r in generations.open(spark).messages.collect()] == ["a and more"]
 
 
+def test_facts_purge_and_discovery(spark, home, tmp_path):
+    generations = ingest.Generations(f"file://{tmp_path}/store")
+    assert api.add_facts(spark, generations, [("k1", "the kettle is blue"), ("k1", "told again"), ("k2", "tea")])
+    assert not api.add_facts(spark, generations, [("k2", "tea")])
+    engine = api.Engine.open(spark, generations, now_ms=0)
+    assert [r["text"] for r in engine.search(api.Search("kettle")).collect()] == ["the kettle is blue"]
+    assert not api.purge(spark, generations)
+    store = generations.open(spark)
+    lost = spark.createDataFrame([("msg_v1_none", "file", "main", "Read", None, "success")], store.tool_activities.schema)
+    assert generations.commit(store.with_tables(tool_activities=lost), "other") and api.purge(spark, generations)
+    assert generations.open(spark).tool_activities.count() == 0 and generations.open(spark).messages.count() == 2
+    told = {r["provider_id"]: r for r in api.discovery(spark, f"file://{home}").collect()}
+    assert (told["claude-code"]["complete"], told["claude-code"]["found"], told["claude-code"]["new"]) == (True, 2, 2) and (told["pi"]["complete"], told["pi"]["found"]) == (False, 0)
+
+
+def test_lines_of_no_interest_are_not_parsed():
+    content = b'{"type": "progress", "data": 1}\n{"type": "user", "message": {}}\n{torn\n[1]\n'
+    assert [(line.number, value) for line, value in reading.json_lines(content, (b'"message"',))] == [(2, {"type": "user", "message": {}}), (3, None), (4, [1])]
+
+
 def test_remotes_of_folders(tmp_path):
     from palaver.functions.places import git_remote
 
