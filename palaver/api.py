@@ -445,6 +445,25 @@ def discovery(spark: SparkSession, home: str, scans: DataFrame | None = None) ->
     return told.withColumn("gone", F.when(F.col("complete"), F.col("gone")).otherwise(0)).orderBy("provider_id")
 
 
+def _mapping(old_root: str, new_root: str) -> str:
+    return cursors.query_digest(old=places.normalize_path(old_root), new=places.normalize_path(new_root))
+
+
+def plan_relocation(spark: SparkSession, generations: ingest.Generations, old_root: str, new_root: str, now_ms: int) -> tuple[DataFrame, str]:
+    """What moving one root would change, (source_path, moved_to), and a token that lets it be done: for a quarter of an hour, and for this generation and these roots only."""
+    scans = generations.open(spark).source_scans.select("source_path", places.remap(F.col("source_path"), old_root, new_root).alias("moved_to"))
+    claims = cursors.Claims(cursors.MAJOR, generations.current(spark)["generation"], _mapping(old_root, new_root), "path", 0, "relocation", now_ms, now_ms + cursors.TTL_MS)
+    return scans.filter("source_path != moved_to").orderBy("source_path"), cursors.issue(claims)
+
+
+def apply_relocation(spark: SparkSession, generations: ingest.Generations, old_root: str, new_root: str, token: str, now_ms: int) -> bool:
+    """Publish a generation with the paths moved; identities stay, and so does the folder of the generation before, as a backup."""
+    current = generations.current(spark)
+    cursors.verify(token, now_ms=now_ms, generation=current["generation"], query=_mapping(old_root, new_root), sort="path", result_set="relocation")
+    moved = Engine(spark, generations.open(spark), now_ms=now_ms).relocate(old_root, new_root)
+    return generations.commit(moved, f"{current['content']} moved {_mapping(old_root, new_root)}")
+
+
 def add_facts(spark: SparkSession, generations: ingest.Generations, facts: list[tuple[str, str]]) -> bool:
     """Publish a generation with plain facts (fact, text) as messages; one that is known stays as it is; whether anything is new."""
     before = generations.current(spark)
@@ -467,4 +486,4 @@ def purge(spark: SparkSession, generations: ingest.Generations) -> bool:
     return generations.commit(merge.purge_orphans(store), f"{generations.current(spark)['content']} purged")
 
 
-__all__ = ["DIMENSIONS", "Engine", "InvalidRequest", "NotFound", "Search", "add_facts", "capabilities", "discovery", "doctor", "estimate_tokens", "purge", "sync"]
+__all__ = ["DIMENSIONS", "Engine", "InvalidRequest", "NotFound", "Search", "add_facts", "apply_relocation", "capabilities", "discovery", "doctor", "estimate_tokens", "plan_relocation", "purge", "sync"]

@@ -291,10 +291,13 @@ def talk_islands(spark, sf_dir):
     return sessions.talks(sessions.occurrences(store(spark, sf_dir))).withColumn("replies", F.array_join("replies", ","))
 
 
-@query(""" SELECT session_id, (list({'t': text} ORDER BY document_id, ordinal) FILTER (role = 'user'))[1].t AS first_user_message, count(*) AS message_count, count(*) FILTER (role = 'user') AS turn_count,
- array_to_string(list_sort(list_distinct(list(document_id))), ',') AS documents FROM placed GROUP BY session_id""")
+@query(""", seen AS (SELECT session_id, document_id, min(ordinal) AS o FROM placed GROUP BY ALL
+), listed AS (SELECT session_id, string_agg(document_id, ',' ORDER BY o, document_id) AS documents FROM seen GROUP BY session_id)
+ SELECT session_id, (list({'t': text} ORDER BY document_id, ordinal) FILTER (role = 'user'))[1].t AS first_user_message, count(*) AS message_count, count(*) FILTER (role = 'user') AS turn_count, any_value(documents) AS documents
+ FROM placed JOIN listed USING (session_id) GROUP BY session_id""")
 def session_summary(spark, sf_dir):
-    return sessions.summary(sessions.occurrences(store(spark, sf_dir))).withColumn("documents", F.array_join(F.array_sort("documents"), ","))
+    """Documents in the order in which they appear."""
+    return sessions.summary(sessions.occurrences(store(spark, sf_dir))).withColumn("documents", F.array_join("documents", ","))
 
 
 _PEEK = r""", said AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM placed WHERE role = 'user'), pk AS (

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver import api
+from palaver.functions import cursors
 from palaver.operators import budgets
 from palaver.sources import ingest, json_lines, providers, reading, sqlite_files, whole_files
 
@@ -266,6 +267,18 @@ def test_facts_purge_and_discovery(spark, home, tmp_path):
     lost = spark.createDataFrame([("msg_v1_none", "file", "main", "Read", None, "success")], store.tool_activities.schema)
     assert generations.commit(store.with_tables(tool_activities=lost), "other") and api.purge(spark, generations)
     assert generations.open(spark).tool_activities.count() == 0 and generations.open(spark).messages.count() == 2
+    scan = spark.createDataFrame([("/a/x.jsonl", "pi", "doc_v1_1", 1, "f", 1, True, 1, 1), ("/ab/x.jsonl", "pi", "doc_v1_2", 1, "f", 1, True, 1, 1)], generations.open(spark).source_scans.schema)
+    assert generations.commit(generations.open(spark).with_tables(source_scans=scan), "with scans")
+    preview, token = api.plan_relocation(spark, generations, "/a", "/b/c", 1000)
+    assert [tuple(r) for r in preview.collect()] == [("/a/x.jsonl", "/b/c/x.jsonl")]
+    for wrong in (("/a", "/b/d", token, 2000), ("/a", "/b/c", token, 1000 + cursors.TTL_MS), ("/a", "/b/c", token + "0", 2000)):
+        with pytest.raises(cursors.CursorError):
+            api.apply_relocation(spark, generations, *wrong)
+    before = generations.open(spark)
+    assert api.apply_relocation(spark, generations, "/a", "/b/c", token, 2000)
+    assert sorted(r["source_path"] for r in generations.open(spark).source_scans.collect()) == ["/ab/x.jsonl", "/b/c/x.jsonl"] and before.source_scans.count() == 2
+    with pytest.raises(cursors.CursorError, match="generation"):
+        api.apply_relocation(spark, generations, "/a", "/b/c", token, 2000)
     told = {r["provider_id"]: r for r in api.discovery(spark, f"file://{home}").collect()}
     assert (told["claude-code"]["complete"], told["claude-code"]["found"], told["claude-code"]["new"]) == (True, 2, 2) and (told["pi"]["complete"], told["pi"]["found"]) == (False, 0)
 
