@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: five stages, each over all that the one before it kept."""
+"""From raw documents to packed training sequences: five stages, each over all that the one before it kept.
+
+Every stage reads whole texts, however long, takes extra columns of any name along (the
+last returns its pieces alone), and gives an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +18,27 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the rules, weighed by their estimated accuracies, reject."""
+    """Drops documents that the rules, weighed by their estimated accuracies, reject.  Null and empty texts go; of repeated rows all stay or none."""
     return quality.keep_good(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one of the documents that are equal but for white space."""
+    """Keeps one of the documents that are equal but for white space, the longest, then that of the smallest doc_id.  Null and empty texts are equal; of repeated rows one stays; a row with a repeated or null doc_id leaves for its own text alone."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates, that of the smallest doc_id.  Texts without words all stay; of repeated rows one stays; a row with a repeated or null doc_id leaves for its own text alone."""
     return minhash.drop_near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts by its kind and restates their lengths."""
+    """Replaces personal data in the texts by its kind and restates their lengths.  Nulls stay null, and every row stays."""
     return pii.redact_documents(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of tokens; a row is a piece."""
+    """Packs the documents into sequences of tokens; a row is a piece.  A null or empty text has the end id alone; repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
