@@ -17,7 +17,7 @@ from palaver.functions.binding import bind
 from palaver.functions.text import bounded_index_text, index_text, tokens
 
 K1, B = 1.2, 0.75
-TERM_BUCKETS = 64
+TERM_BUCKETS = 16
 
 
 def query_phrases(query: str) -> list[list[str]]:

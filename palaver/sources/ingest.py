@@ -11,6 +11,7 @@ import json
 import time
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -304,8 +305,9 @@ class Generations:
 
     def _write_index(self, spark: SparkSession, folder: str, name: str) -> None:
         store = Store.read(spark, f"{self.root.rstrip('/')}/{folder}")
-        lexical.write_index(store.messages, "message_id", "text", f"{self.root.rstrip('/')}/{name}/messages")
-        lexical.write_index(search_text(store), "session_id", "text", f"{self.root.rstrip('/')}/{name}/sessions")
+        corpora = {"messages": (store.messages, "message_id"), "sessions": (search_text(store), "session_id")}
+        with ThreadPoolExecutor(len(corpora)) as pool:
+            list(pool.map(lambda c: lexical.write_index(*corpora[c], "text", f"{self.root.rstrip('/')}/{name}/{c}"), corpora))
 
     def commit(self, store: Store, content: str) -> bool:
         """Write a generation with its index and name it; False, and nothing written, where the content is that of the current one."""
