@@ -43,6 +43,7 @@ PLAIN = (
     "the password was {w} {w} {w}", "a secret {w} {w} {w} {w}", "token {w} {w} {w}", "forgot password? {W} {w}", "password {w} {w}", "the name of {w} {w} {w}", "{w} name {w} {w}", "{W} {W} {w} {w}", "{w} contact {w} {w} {w}", "dear {w} {w} {w}", "{w} dot {w} {w}", "look at {w} dot {w}", "the key to {w} {w}",
     "{w} {number} people {w} {w}", "{number} {w} {w} {w}", "{w} {number} streets {w}", "on the road {w} {w} {number}", "{W} {w} st {w} {number}", "{w}. {W} {W}, {number} {w}", "{W} {w}, {number} {w} {w}", "GNU General Public License, version {small}.", "Licensed under the {W} License, Version {version}.", "{w} {CAPS} {CAPS} {number}", "call {w} {w} {number}", "phone {w} {w}", "{w} {code32} {w}",
     "Chapter {small}: {W} {w}", "Section {small}. {W} {W} {w}", "{w} account {w} {w} {number}", "{w} id {small} {w}", "{w} {w} {W} {w} {W} {w}", "{W} {w} {w} {date}, {W} {w}", "© {year} {W} {w}", "{w} {number},{number} {w}", "{w} {small}-{small} {w}", "{CAPS} {small}{small} {w}",
+    "{prose}", "{prose}", "{nouns}", "{nouns}", "{same}", "{same}", "{prose} {number} {w}",
 )
 
 
@@ -98,6 +99,29 @@ class _Values:
         local = self.r.choice([self.r.choice(FIRST_NAMES), made, made + self.digits(2), f"{made} dot {self.r.choice(_LAST_NAMES)}"])
         return f"{local} at {self.r.choice(['site', 'example', 'mail', 'post', made[:4]])} dot {self.r.choice(['com', 'org', 'net', 'de'])}"
 
+    def _made(self) -> str:
+        return "".join(self.r.choice(["b", "c", "d", "f", "l", "m", "n", "r", "s", "t", "th", "ch", "ñ", "ç", ""]) + self.r.choice("aeiouaeioué") for _ in range(self.r.choice([1, 1, 2, 2, 3, 4, 5, 7])))
+
+    def prose(self, capitals: float = 0.03) -> str:
+        """Sentences of made words, among them short ones of several languages."""
+        short = "de la le en un el y is am by to at from und der die a be as will may".split()
+        out, begins = [], True
+        for _ in range(self.r.randrange(5, 12)):
+            word = self.r.choice(short) if self.r.random() < 0.4 else self._made()
+            mark = self.r.choice(["", "", "", "", "", ",", ".", "."])
+            out.append((word.title() if begins or self.r.random() < capitals else word) + mark)
+            begins = mark == "."
+        return " ".join(out)
+
+    def nouns(self) -> str:
+        return self.prose(0.4)
+
+    def same(self) -> str:
+        """A word over and over."""
+        word = self.r.choice([self._made(), self.w(), self.r.choice(["de", "en", "a", "at", "la"])])
+        word = self.r.choice([word, word.title(), word.title(), word.upper()]) + self.r.choice(["", "", ".", ","])
+        return " ".join([word] * self.r.randrange(3, 12))
+
     def ip(self) -> str:
         return ".".join(str(self.r.randrange(256)) for _ in range(4))
 

@@ -1,16 +1,17 @@
 """Personal data: exact patterns, and a conditional random field that adds what they don't cover.
 
 The field labels words by their shapes and by the shapes of the words around them, and
-is trained here on the small labelled table of ``personal_data``.  A word that is more
-than ``REACH`` words from any sign of personal data (a digit, an at sign, a title, a first
-name, a word such as password, IBAN or dot) can only be outside of any span, so the chain
-falls apart there, and decoding the runs between by themselves is decoding the whole text.
+is trained here on the small labelled table of ``personal_data``.  It scores every word of
+every text.  Where a word's scores make it certain that it is outside of any span, whatever
+its neighbours are, the chain falls apart, and decoding the parts by themselves is decoding
+the whole text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,11 +27,11 @@ from .personal_data import table as labelled_table
 from .tables import bound_batches, table
 
 STATES = ("O", *(f"{p}-{k}" for k in KINDS for p in ("B", "I") if p == "B" or k in LONG))
-#: Words beside a sign of personal data that the field looks at.
-REACH = 5
-#: Sequences, and cells of sequence times longest, that are decoded at once.
-BATCH_SEQUENCES, BATCH_CELLS = 512, 65_536
-#: Rows whose words a worker holds at once, and words that it remembers the scores of.
+#: Code points of a text whose words are scored at once.
+PIECE = 1 << 18
+#: Words of chains that are held to be decoded, and cells of chain times longest that are decoded at once.
+HELD_WORDS, BATCH_CELLS = 1 << 16, 1 << 13
+#: Rows whose spans a worker holds at once, and words that it remembers the scores of.
 SLICE_ROWS, REMEMBERED = 256, 1 << 16
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
@@ -77,7 +78,8 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-_CORE = re.compile(r"\A[^\w+(@]*(.*?)[^\w)]*\Z", re.S)
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+_OPENS, _CLOSES = re.compile(r"[\w+(@]"), re.compile(r"[\w)]")
 _LETTERS = re.compile(r"[^\W\d_]")
 _NOT_LETTERS = re.compile(r"[\W\d]+")
 
@@ -102,8 +104,6 @@ _TELLING = {
     "bank": _words("iban account konto transfer"),
     "id": _words("ssn social security id passport"),
 }
-#: Those that alone are a sign of personal data near them.
-_SIGNS = frozenset().union(*(_TELLING[k] for k in ("title", "name", "first name", "secret", "dot"))) | _words("iban ssn")
 _SHAPES = (
     re.compile(r"[^@]+@[^@]+\.[^@.]+"), re.compile(r"[0-9]+(\.[0-9]+){3}"), re.compile(r"[0-9A-Fa-f]{32,}"), re.compile(r"\([0-9]+\)"), re.compile(r"[0-9]+-[0-9-]+"),
     re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), re.compile(r"[A-Z]{2}[0-9]{2}[0-9A-Z]{0,30}"), re.compile(r"[0-9A-Z]{1,4}"), re.compile(r"[^\W\d_a-zß-ÿ][a-zß-ÿ'’-]+"), re.compile(r"[^\W\d_a-zß-ÿ]{2,}"), re.compile(r"[A-Z]"), re.compile(r"[^\W\d_A-ZÀ-Þ]+"), re.compile(r"[0-9]{1,5}"),
@@ -113,32 +113,25 @@ _OWN = 26 + len(_SHAPES) + len(_TELLING)
 _FEATURES = 5 * _OWN
 
 
-#: Marks around a word.
-_EDGE = ".,;:!?\"'()[]{}<>*#%$&|~`“”„‚‘’«»…–—-/\\="
-
-
-def _is_sign(token: str) -> bool:
-    """Whether a word is a sign of personal data: it has a digit or an at sign, or is one of those that tell; a first name is one in capitals only."""
-    if _ODD.search(token):
-        return True
-    bare = token.strip(_EDGE)
-    low = bare.lower()
-    return low in _SIGNS and (low not in _TELLING["first name"] or bare[:1].isupper())
-
-
-def _sign_places(words: list[str]) -> list[int]:
-    signs = {w for w in set(words) if _is_sign(w)}
-    return [k for k, w in enumerate(words) if w in signs] if signs else []
+def _core(token: str) -> tuple[int, int]:
+    """The ends of a word, or of words, without the marks around."""
+    found = _OPENS.search(token)
+    start = found.start() if found else len(token)
+    stop = len(token)
+    while stop > start and not _CLOSES.match(token, stop - 1):
+        stop -= 1
+    return start, stop
 
 
 def _shape(token: str) -> tuple[int, ...]:
     """The features of a word by itself."""
-    core = _CORE.match(token)[1]
+    start, stop = _core(token)
+    core = token[start:stop]
     digits = "".join(c for c in core if "0" <= c <= "9")
     letters = len(_LETTERS.findall(core))
     n, size = len(digits), len(core)
     low = _NOT_LETTERS.sub("", core.lower())
-    tail = token[token.rfind(core) + size :] if core else token
+    tail = token[stop:] if core else token
     f = [
         True, "@" in core, n <= 2 and n > 0, 3 <= n <= 4, 5 <= n <= 8, 9 <= n <= 11, 12 <= n <= 19, n > 19, letters > 0,
         size >= 24 and letters > 0 and n > 2 and re.fullmatch(r"[0-9A-Za-z_-]+", core) is not None, core.startswith("+"), 12 <= n <= 19 and not letters and luhn(digits), n == 4 and size == 4,
@@ -150,60 +143,112 @@ def _shape(token: str) -> tuple[int, ...]:
     return tuple(k for k, x in enumerate(f) if x)
 
 
-def _look(token: str) -> tuple[int, ...]:
-    return _shape(token if len(token) <= 512 else token[:256] + token[-256:])
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)[.,;:!?]?")
+_TELLS = frozenset().union(*_TELLING.values())
 
 
-def _near(signs: list[int], n: int) -> Iterator[tuple[int, int]]:
-    """The runs [first, stop) of n words that are within reach of a sign."""
-    at = 0
-    while at < len(signs):
-        first = max(0, signs[at] - REACH)
-        while at + 1 < len(signs) and signs[at + 1] - signs[at] <= 2 * REACH:
-            at += 1
-        yield first, min(n, signs[at] + REACH + 1)
-        at += 1
+def _like(word: str) -> str:
+    """A word of the same shape, one for the many plain words whose lengths the features don't tell apart."""
+    if len(word) < 32 and (m := _PLAIN.fullmatch(word)) and (low := m[1].lower()) not in _TELLS:
+        size = len(low)
+        return ("x" if m[1] == low else "X") + "x" * ((13 if size >= 14 else 7 if size >= 8 else 1) if size > 1 else 0) + word[size:]
+    return word
 
 
 def _features(words: list[str]) -> list[tuple[int, np.ndarray]]:
-    """(place of the first word, features) of the runs of words that are near a sign of personal data."""
-    shapes = [_look(w) for w in words]
-    out: list[tuple[int, np.ndarray]] = []
-    for first, stop in _near(_sign_places(words), len(words)):
-        f = np.zeros((stop - first, _FEATURES), np.float32)
-        for k in range(max(0, first - 2), min(len(words), stop + 2)):
-            for block, row in enumerate((k, k + 1, k + 2, k - 1, k - 2)):
-                if first <= row < stop:
-                    f[row - first, [block * _OWN + x for x in shapes[k]]] = 1
-        out.append((first, f))
-    return out
+    """(0, features) of all words of a text; nothing for none."""
+    if not words:
+        return []
+    f = np.zeros((len(words), _FEATURES), np.float32)
+    for k, word in enumerate(words):
+        shape = _shape(word)
+        for block, row in enumerate((k, k + 1, k + 2, k - 1, k - 2)):
+            if 0 <= row < len(words):
+                f[row, [block * _OWN + x for x in shape]] = 1
+    return [(0, f)]
+
+
+def _cuts(text: str) -> Iterator[int]:
+    """Places between words that cut a text into pieces, its end the last."""
+    at = 0
+    while at < len(text):
+        m = _SPACE.search(text, at + PIECE)
+        at = m.start() if m else len(text)
+        yield at
 
 
 class Field:
-    """Scores of words by a trained field: what a word adds to its own states and to those of its neighbours is remembered by word."""
+    """Scores of words by a trained field: what words of a shape add to their own states and to those of their neighbours is made once, and the shapes of words are remembered."""
 
     def __init__(self, crf: Crf) -> None:
         self.crf = crf
         self._weights = crf.weights.reshape(5, _OWN, -1).astype(np.float32)
-        self._known: dict[str, np.ndarray] = {}
-        self._nothing = np.zeros(self._weights[:, 0].shape, np.float32)
-
-    def _word(self, token: str) -> np.ndarray:
-        found = self._known.get(token)
-        if found is None:
-            found = self._weights[:, list(_look(token))].sum(1)
-            if len(token) <= 64:
-                shrink(self._known, REMEMBERED, REMEMBERED // 2)
-                self._known[token] = found
-        return found
+        self._forget()
+
+    def _forget(self) -> None:
+        self._rows: dict[str, int] = {}
+        self._shapes: dict[tuple[int, ...], int] = {}
+        self._told = np.zeros((1024, *self._weights[:, 0].shape), np.float32)  # by the number of a shape; 0: no word
+
+    def _row(self, word: str) -> int:
+        """The number of a word's shape."""
+        row = self._rows.get(word)
+        if row is not None:
+            return row
+        like = _like(word)
+        row = self._rows.get(like)
+        if row is None:
+            shape = _shape(like)
+            row = self._shapes.get(shape)
+            if row is None:
+                row = self._shapes[shape] = len(self._shapes) + 1
+                if row == len(self._told):
+                    self._told = np.concatenate([self._told, np.zeros_like(self._told)])
+                self._told[row] = self._weights[:, list(shape)].sum(1)
+            if len(like) <= 64:
+                self._rows[like] = row
+        if len(word) <= 64:
+            self._rows[word] = row
+        return row
+
+    def _told_by(self, words: list[str]) -> np.ndarray:
+        """What each word adds [word, place, state]."""
+        if len(self._shapes) > REMEMBERED:
+            self._forget()
+        shrink(self._rows, REMEMBERED, REMEMBERED // 2)
+        rows = list(map(self._rows.get, words))
+        if None in rows:
+            rows = [self._row(w) if r is None else r for w, r in zip(words, rows, strict=True)]
+        return self._told.take(np.array(rows, np.intp), 0)
+
+    def scores(self, text: str) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(start, end, scores [word, state]) of the pieces of a text: every word is scored, with those beside it, also of the next piece."""
+        nothing = self._told[[0, 0]]
+        before, held = nothing, None
+        words, begin, at = [], 0, 0
+        for end in _cuts(text):
+            words += _WORD.findall(text, at, end)
+            at = end
+            if len(words) < 2 and end < len(text):
+                continue
+            told = self._told_by(words)
+            if held:
+                yield *held[:2], self._sum(before, held[2], np.concatenate([told[:2], nothing])[:2])
+                before = held[2][-2:]
+            held = begin, end, told
+            words, begin = [], end
+        if held:
+            yield *held[:2], self._sum(before, held[2], nothing)
+
+    @staticmethod
+    def _sum(before: np.ndarray, told: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        x = np.concatenate([before, told, behind])
+        return x[2:-2, 0] + x[1:-3, 1] + x[:-4, 2] + x[3:-1, 3] + x[4:, 4]
 
     def runs(self, words: list[str]) -> list[tuple[int, np.ndarray]]:
-        """(place of the first word, scores [word, state]) of the runs of words that are near a sign of personal data."""
-        out = []
-        for first, stop in _near(_sign_places(words), len(words)):
-            told = np.stack([self._word(words[k]) if 0 <= k < len(words) else self._nothing for k in range(first - 2, stop + 2)])
-            out.append((first, told[2:-2, 0] + told[1:-3, 1] + told[:-4, 2] + told[3:-1, 3] + told[4:, 4]))
-        return out
+        """(0, scores [word, state]) of all words of a text; nothing for none."""
+        parts = [x for _, _, x in self.scores(" ".join(words))]
+        return [(0, np.concatenate(parts))] if parts else []
 
 
 def _labelled(text: str, spans: list[tuple[int, str, int]]) -> tuple[list[str], list[int]]:
@@ -211,8 +256,7 @@ def _labelled(text: str, spans: list[tuple[int, str, int]]) -> tuple[list[str],
     words = list(_WORD.finditer(text))
     states = []
     for m in words:
-        inner = _CORE.match(m[0])
-        start, end = m.start() + inner.start(1), m.start() + inner.end(1)
+        start, end = (m.start() + x for x in _core(m[0]))
         own = next((s for s in spans if s[0] < max(end, start + 1) and start < s[2]), None)
         states.append("O" if own is None or start == end else f"{'B' if start <= own[0] < end or own[1] not in LONG else 'I'}-{own[1]}")
     return [m[0] for m in words], [STATES.index(x) for x in states]
@@ -232,6 +276,9 @@ def model() -> Field:
     return Field(train(features, lengths, states, len(STATES), steps=120))
 
 
+_AT = re.compile(r"@|\bat\b.*(\bdot\b|\.)", re.I | re.S)
+
+
 def _valid(kind: str, span: str) -> bool:
     digits = "".join(c for c in span if "0" <= c <= "9")
     if kind == "card":
@@ -241,55 +288,127 @@ def _valid(kind: str, span: str) -> bool:
     if kind == "iban":
         return 15 <= sum(c.isalnum() for c in span) <= 34
     if kind == "name":
-        return len(span.split()) >= 2
+        return len(set(span.split())) >= 2
+    if kind == "email":
+        return _AT.search(span) is not None
+    if kind == "address":
+        return digits != ""
     return len(span) >= 6 if kind == "secret" else True
 
 
+class _Words:
+    """Places of the words of a text by their number."""
+
+    def __init__(self, text: str) -> None:
+        self._text = text
+        self._firsts: list[int] = []  # numbers of the first words of the pieces
+        self._pieces: list[tuple[int, int]] = []
+        self._found: tuple[int, list[tuple[int, int]]] = -1, []
+        self.count = 0
+
+    def add(self, start: int, end: int, count: int) -> None:
+        self._firsts.append(self.count)
+        self._pieces.append((start, end))
+        self.count += count
+
+    def place(self, number: int) -> tuple[int, int]:
+        piece = bisect_right(self._firsts, number) - 1
+        if self._found[0] != piece:
+            self._found = piece, [m.span() for m in _WORD.finditer(self._text, *self._pieces[piece])]
+        return self._found[1][number - self._firsts[piece]]
+
+
+def _chains(text: str, words: _Words, field: Field) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the first word, scores) of the chains that a text falls apart into; every word that is in none is outside of spans on every best path.
+
+    The scores of a text of several pieces are made twice rather than held.
+    """
+    found = list(field.scores(text)) if len(text) <= PIECE else None
+    gains = []
+    for start, end, scores in found or field.scores(text):
+        words.add(start, end, len(scores))
+        gains.append(field.crf.gains(scores))
+    if not words.count:
+        return
+    edges = np.flatnonzero(np.diff(field.crf.open(np.concatenate(gains)), prepend=False, append=False)).tolist()
+    first, at, held = 0, 0, []
+    for _, _, scores in found or field.scores(text):
+        stop = first + len(scores)
+        while at < len(edges) and edges[at] < stop:
+            begin, end = edges[at : at + 2]
+            held.append(scores[max(0, begin - first) : end - first])
+            if end > stop:
+                break
+            yield begin, np.concatenate(held) if len(held) > 1 else held[0]
+            held, at = [], at + 2
+        first = stop
+
+
 def field_spans(texts: list[str], field: Field) -> list[list[Span]]:
-    """Spans that the field finds in each of the texts."""
-    runs = [(len(f), row, k, f) for row, t in enumerate(texts) for k, f in field.runs(_WORD.findall(t))]
-    words: dict[int, list[re.Match]] = {}  # of texts with a span
-    runs.sort(key=lambda r: r[:3])
+    """Spans that the field finds in each of the texts: a best path over all of their words."""
     out: list[list[Span]] = [[] for _ in texts]
-    at = 0
-    while at < len(runs):
-        end = at + 1
-        while end < len(runs) and end - at < BATCH_SEQUENCES and runs[end][0] * (end + 1 - at) <= BATCH_CELLS:
-            end += 1
-        part, at = runs[at:end], end
-        lengths = np.array([r[0] for r in part])
-        scores = np.zeros((len(part), lengths.max(), len(STATES)), np.float32)
-        for row, r in enumerate(part):
-            scores[row, : r[0]] = r[3]
-        for (n, row, k, _), states in zip(part, field.crf.decode(scores, lengths), strict=True):
-            t = 0
-            while t < n:
-                name = STATES[states[t]]
-                if name == "O":
-                    t += 1
-                    continue
-                kind, stop = name[2:], t + 1
-                while stop < n and STATES[states[stop]] == f"I-{kind}":
-                    stop += 1
-                if row not in words:
-                    words[row] = list(_WORD.finditer(texts[row]))
-                first, final = words[row][k + t], words[row][k + stop - 1]
-                inner = _CORE.match(texts[row][first.start() : final.end()])
-                start, close = first.start() + inner.start(1), first.start() + inner.end(1)
-                if start < close and _valid(kind, texts[row][start:close]):
-                    out[row].append((start, KINDS.index(kind), close))
-                t = stop
+    words = [_Words(t) for t in texts]
+
+    def decode(chains: list[tuple[int, int, np.ndarray]]) -> None:
+        chains.sort(key=lambda c: len(c[2]))
+        at = 0
+        while at < len(chains):
+            end = at + 1
+            while end < len(chains) and len(chains[end][2]) * (end + 1 - at) <= BATCH_CELLS:
+                end += 1
+            part, at = chains[at:end], end
+            lengths = np.array([len(c[2]) for c in part])
+            scores = np.zeros((len(part), lengths.max(), len(STATES)), np.float32)
+            for row, c in enumerate(part):
+                scores[row, : len(c[2])] = c[2]
+            states = field.crf.decode(scores, lengths)
+            for row in np.flatnonzero(states.any(1)).tolist():
+                k, first, _ = part[row]
+                out[k] += _read(texts[k], words[k], first, states[row, : lengths[row]].tolist())
+
+    chains, size = [], 0
+    for k, text in enumerate(texts):
+        for first, scores in _chains(text, words[k], field):
+            chains.append((k, first, scores))
+            size += len(scores)
+            if size >= HELD_WORDS:
+                decode(chains)
+                chains, size = [], 0
+    decode(chains)
     return out
 
 
+def _read(text: str, words: _Words, first: int, states: list[int]) -> Iterator[Span]:
+    """The spans that the states of a chain tell."""
+    t = 0
+    while t < len(states):
+        name = STATES[states[t]]
+        if name == "O":
+            t += 1
+            continue
+        kind, stop = name[2:], t + 1
+        while stop < len(states) and STATES[states[stop]] == f"I-{kind}":
+            stop += 1
+        start, close = words.place(first + t)[0], words.place(first + stop - 1)[1]
+        start, close = (start + x for x in _core(text[start:close]))
+        if start < close and _valid(kind, text[start:close]):
+            yield start, KINDS.index(kind), close
+        t = stop
+
+
 def find_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """(spans of the patterns, all spans) of each text: what the field adds overlaps no span of a pattern."""
     out = []
     for text, added in zip(texts, field_spans(texts, field), strict=True):
         base = base_spans(text)
-        spans, floor = list(base), 0
+        spans, floor, at, taken = list(base), 0, 0, 0
         for s, kind, e in sorted(added):
-            if s >= floor and not any(s < y and x < e for x, _, y in base):
+            if s < floor:
+                continue
+            while at < len(base) and base[at][0] < e:  # those that begin before its end, and how far they reach
+                taken = max(taken, base[at][2])
+                at += 1
+            if taken <= s:
                 spans.append((s, kind, e))
                 floor = e
         out.append((base, sorted(spans)))

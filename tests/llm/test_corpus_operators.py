@@ -643,6 +643,39 @@ def test_field_sees_what_patterns_do_not():
     assert not base and [(pii.KINDS[k], text[a:b]) for a, k, b in every] == want
 
 
+def test_field_decodes_every_word(monkeypatch):
+    """A name is found without a sign anywhere near it, and the parts that texts fall apart into have the best path of each whole text."""
+    field = pii.model()
+    plain = "the rain was over and people went back to work some time after it " * 3
+    text = f"{plain}so send it to Delu Schmidt, {plain}"
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find_spans([text], field)[0][1]] == [("name", "Delu Schmidt")]
+    r = random.Random(8)
+    rows = [text for text, _ in pii.labelled_table(seed=4, rounds=1)]
+    texts = ["", " \n", "x" * 3000, "a " * 2000, *(" ".join(r.choice(rows) if r.random() < 0.3 else plain for _ in range(r.randrange(1, 60))) for _ in range(30))]
+    want = []
+    for t in texts:
+        scores = [x for _, x in field.runs(WORD.findall(t))]
+        assert sum(map(len, scores)) == len(WORD.findall(t))
+        states = field.crf.decode(scores[0][None].astype(float), np.array([len(scores[0])]))[0].tolist() if scores and len(scores[0]) else []
+        words = pii._Words(t)
+        words.add(0, len(t), len(states))
+        want.append(sorted(pii._read(t, words, 0, states)))
+    assert sum(map(len, want)) > 100
+    assert [sorted(x) for x in pii.field_spans(texts, field)] == want
+    for size in (1, 50):  # pieces of a word or a few
+        monkeypatch.setattr(pii, "PIECE", size)
+        assert [sorted(x) for x in pii.field_spans(texts, field)] == want
+
+
+def test_plain_words_have_the_shapes_of_their_like():
+    r = random.Random(9)
+    for _ in range(20_000):
+        word = "".join(r.choice("aeZÉéßœЖ日1'-+@.,;:!?\"(") if r.random() < 0.2 else r.choice("abc") for _ in range(r.randrange(1, 40)))
+        for w in (word, word.title(), word + r.choice(".,;:!?")):
+            assert pii._shape(pii._like(w)) == pii._shape(w), w
+    assert pii._like("mr") == "mr" and pii._like("river.") != "river."
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
