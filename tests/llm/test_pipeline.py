@@ -87,3 +87,10 @@ def test_stages_on_awkward_rows(spark):
         assert left.columns == docs.columns and left.count() == len(want)
         pieces = corpus_pipeline.STAGES[4][1](spark, left, SF).toPandas()
         assert (pieces.start == 0).sum() == len(want) and pieces.groupby("sequence_id").length.sum().le(4096).all()
+
+
+def test_personal_data_far_from_any_sign(spark):
+    plain = "the rain was over and people went back to work some time after it " * 3
+    docs = spark.createDataFrame([(1, f"{plain}so send it to Delu Schmidt, {plain}")], "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["personal_data"](spark, docs, SF).first()["text"] == f"{plain}so send it to [NAME], {plain}"
